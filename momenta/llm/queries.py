@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momenta.llm import quality, simhash
+from momenta.llm import decontaminate, mixing, quality, simhash, token_counts, token_files
 from momenta.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("file", "place")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents")).drop("distance")
 
@@ -18,5 +40,55 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+OP4_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+    FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sources),
+running AS (
+    SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest_weight,
+           3 * coalesce(sum(source_size) OVER w, 0) AS capped
+    FROM weighted WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+leveled AS (
+    SELECT *, max(CASE WHEN (total - capped) / rest_weight * weight <= 3 * source_size THEN (total - capped) / rest_weight END) OVER () AS level
+    FROM running),
+targets AS (SELECT source, source_size, least(coalesce(level * weight, 3 * source_size), 3 * source_size)::DOUBLE AS target FROM leveled),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM targets),
+grouped AS (SELECT source, h, sum(size)::BIGINT AS size FROM sized GROUP BY source, h),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM grouped),
+passing AS (
+    SELECT p.source, p.target - p.whole * p.source_size AS budget, min(CASE WHEN s.upto > p.target - p.whole * p.source_size THEN s.h END) AS open
+    FROM plan p JOIN summed s ON p.source IS NOT DISTINCT FROM s.source GROUP BY ALL),
+cuts AS (
+    SELECT p.source, CASE WHEN p.open IS NULL THEN 1152921504606846976 WHEN s.upto - p.budget < p.budget - (s.upto - s.size) THEN p.open + 1 ELSE p.open END AS cut
+    FROM passing p LEFT JOIN summed s ON p.source IS NOT DISTINCT FROM s.source AND p.open = s.h),
+copied AS (
+    SELECT d.doc_id, d.size, p.source_size, p.target,
+           (CASE WHEN p.source_size = 0 THEN 0 ELSE p.whole + CASE WHEN p.whole < 3 AND d.h < c.cut THEN 1 ELSE 0 END END)::BIGINT AS copies
+    FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM copied"""
+
+OP8_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+    SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+needed AS (SELECT item_id, w, least(len(w), 13) AS n FROM item WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM needed)),
+lengths AS (SELECT DISTINCT n FROM grams),
+spots AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lengths WHERE len(w) >= n)),
+found AS (SELECT s.doc_id, s.i, s.n, g.item_id FROM spots s JOIN grams g ON s.n = g.n AND s.g = g.g),
+hits AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+          FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       coalesce(i.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_token_counts, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
