@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momenta.llm import decontaminate, mixing, quality, simhash, token_counts, token_files
+from momenta.llm import decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, token_counts, token_files, warc
 from momenta.llm.common import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -23,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("file", "place")
 
@@ -40,6 +56,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP1_SQL = r"""
+WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+each AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM lines),
+full_ AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM each WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+runs AS (SELECT doc_id, j, i AS s, lead(i, 2) OVER w AS e, x AS x1, lead(x, 1) OVER w AS x2, lead(x, 2) OVER w AS x3 FROM full_ WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+marks AS (SELECT doc_id, j, s, e FROM (SELECT *, row_number() OVER (PARTITION BY x1, x2, x3 ORDER BY doc_id, j) AS r FROM runs WHERE e IS NOT NULL) WHERE r > 1),
+fresh AS (SELECT *, CASE WHEN j > lag(j) OVER (PARTITION BY doc_id ORDER BY j) + 3 THEN 1 ELSE 0 END AS new FROM marks),
+spans AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY j) AS g FROM fresh) GROUP BY doc_id, g),
+gone AS (SELECT doc_id, unnest(range(s, e + 1)) AS i FROM spans),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS text, count(*) FILTER (regexp_matches(x, '[^\x20\x09-\x0D]')) AS n
+         FROM each LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_lines FROM full_ GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(c.n_lines, 0) AS n_lines,
+       CASE WHEN s.doc_id IS NULL THEN 0 ELSE coalesce(c.n_lines, 0) - coalesce(k.n, 0) END AS n_removed
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM spans) s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN counted c USING (doc_id)"""
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
 OP4_SQL = r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -90,5 +129,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coa
        coalesce(i.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_token_counts, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
