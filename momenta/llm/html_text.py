@@ -2,8 +2,8 @@
 
 A page is read into leaf blocks (runs of text between block-level tags) with the tags, classes and ids above them.
 Each block gets features from those ancestors and from its text; the chain of a page's blocks is labelled main text or
-not by Viterbi's algorithm. Weights are learnt, when the process starts, from labelled pages: small pages of known
-layout in which each block's label is known. Pages are independent, so the job is a map over the table.
+not by Viterbi's algorithm. Weights are learnt from labelled pages, small pages of known layout in which each
+block's label is known, and travel with the job. Pages are independent, so the job is a map over the table.
 """
 
 from __future__ import annotations
@@ -19,7 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>?"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>"
+    r"|<[a-zA-Z/][^<>]*+\Z",
+    re.S,
+)
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
@@ -325,8 +330,9 @@ def extract(pages: DataFrame, chain: ChainModel | None = None) -> DataFrame:
     default that of labelled_pages(). Rows that repeat a page_id each come back. An empty table gives none.
     """
 
+    use = chain or model()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = chain or model()
         for batch in batches:
             text = [main_text(h.as_py(), use) for h in batch["html"]]
             yield pa.record_batch([batch["page_id"], batch["url"], pa.array(text, pa.string())], ["page_id", "url", "text"])
