@@ -26,10 +26,14 @@ def matching(m: Column, key: str) -> Column:
     return F.when(F.array_contains(F.map_keys(m), key), F.lit(key)).otherwise(F.get(found, 0))
 
 
+def _holds(key: str, value: str):
+    return lambda e: e["key"].endswith(key) & (e["value"] == value)
+
+
 def filter_rows(df: DataFrame, m: str, wanted: dict[str, str]) -> DataFrame:
     """Rows that for every wanted (key, value) have a name that ends with key and holds just that value."""
     for k, v in wanted.items():
-        df = df.where(F.exists(F.map_entries(m), lambda e, k=k, v=v: e["key"].endswith(k) & (e["value"] == v)))
+        df = df.where(F.exists(F.map_entries(m), _holds(k, v)))
     return df
 
 
