@@ -1,0 +1,276 @@
+"""Estimators by the method of moments: moments are Spark aggregations, the rest works on k by k by k objects."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from momenta.functions import vectors as V
+from momenta.operators import coo as C
+from momenta.operators import mixtures as X
+from momenta.operators import moments as M
+from momenta.operators import ngrams as N
+from momenta.plans.hmm import Chain
+from momenta.plans.small import power_method, to_simplex, whitener
+from momenta.sources.scratch import saved
+
+
+def _frame(spark, m: np.ndarray) -> DataFrame:
+    """A matrix of thin size as (i, j, v)."""
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i int, j int, v double")
+
+
+def gaussian_factor(index: DataFrame, p: int, seed: int = 0) -> DataFrame:
+    """(i, j, v): a row of p normal numbers for every index (i), drawn from hashes, so any task draws the same."""
+    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed + s), "i", "j"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    cells = index.select("i").distinct().select("i", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j"))
+    return cells.withColumn("v", F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * np.pi * u(1)))
+
+
+def _gram(y: DataFrame, p: int) -> np.ndarray:
+    """Y'Y of a tall factor (i, j, v) with p columns."""
+    rows = y.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
+    x = F.array(*(F.coalesce(F.try_element_at("m", F.lit(j)), F.lit(0.0)) for j in range(p)))
+    n = rows.count()
+    return M.collect_matrix(M.pairs(rows.select(x.alias("x1"), x.alias("x2"))), p, p) * n
+
+
+def orthonormal(y: DataFrame, p: int) -> DataFrame:
+    """The columns of a tall factor made orthonormal through its Gram matrix; directions of no size are left out."""
+    values, vectors = np.linalg.eigh(_gram(y, p))
+    keep = values > 1e-12 * values.max()
+    return C.multilinear(y, {"j": _frame(y.sparkSession, vectors[:, keep] / np.sqrt(values[keep]))})
+
+
+def randomized_svd(m: DataFrame, k: int, extra: int = 4, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(U, s, V) of the leading k directions of a sparse matrix (i, j, v), by products with thin factors alone."""
+    p = k + extra
+    turned = m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    y = C.contract(m, gaussian_factor(turned, p, seed), "j", "_j").withColumnRenamed("_j", "j")
+    q = saved(orthonormal(saved(y, "range"), p), "basis")
+    b = saved(C.contract(turned, q, "j", "_j").withColumnRenamed("_j", "j"), "small")
+    values, vectors = np.linalg.eigh(_gram(b, p))
+    values, vectors = np.sqrt(np.maximum(values[::-1][:k], 0)), vectors[:, ::-1][:, :k]
+    u = C.multilinear(q, {"j": _frame(m.sparkSession, vectors)})
+    v = C.multilinear(b, {"j": _frame(m.sparkSession, vectors / np.maximum(values, 1e-300))})
+    return u, values, v
+
+
+def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (k) and third-view means (d3, k) from exact or sampled moments: the other views are turned into the third, whitened, and split by power steps."""
+    u1, u2, u3 = (np.linalg.svd(a, full_matrices=False)[s][:, :k] if s == 0 else np.linalg.svd(a, full_matrices=False)[2].T[:, :k] for a, s in ((p12, 0), (p12, 2), (p13, 2)))
+    a12, a32, a13 = u1.T @ p12 @ u2, u3.T @ p32 @ u2, u1.T @ p13 @ u3
+    a123 = np.einsum("abc,ai,bj,ck->ijk", p123, u1, u2, u3)
+    to3_1 = a32 @ np.linalg.pinv(a12)
+    to3_2 = a13.T @ np.linalg.pinv(a12.T)
+    pairs = to3_1 @ a12 @ to3_2.T
+    triples = np.einsum("abc,ia,jb->ijc", a123, to3_1, to3_2)
+    w = whitener((pairs + pairs.T) / 2, k)
+    t = np.einsum("abc,ai,bj,ck->ijk", triples, w, w, w)
+    t = sum(t.transpose(o) for o in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))) / 6
+    values, vectors = power_method(t, seed=seed)
+    means = u3 @ (np.linalg.pinv(w.T) @ (vectors * values[:, None]).T)
+    weights = 1 / np.maximum(values, 1e-300) ** 2
+    return weights, means
+
+
+def view_moments(views: DataFrame, d: int) -> dict[str, np.ndarray]:
+    """The four arrays of a views table (view, x1, x2, x3, p) over d symbols; d bounds what is collected (d^3 cells at most)."""
+    out = {v: np.zeros((d,) * len(v)) for v in ("12", "13", "32", "123")}
+    for r in views.collect():
+        cell = {"12": (r.x1, r.x2), "13": (r.x1, r.x3), "32": (r.x3, r.x2), "123": (r.x1, r.x2, r.x3)}[r["view"]]
+        out[r["view"]][cell] += r.p
+    return out
+
+
+def three_view_exact(views: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and symbol distributions (d, k) of the third view from full moments."""
+    m = view_moments(views, d)
+    weights, means = decompose_views(m["12"], m["32"], m["13"], m["123"], k)
+    return weights / weights.sum(), to_simplex(means)
+
+
+def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order: tuple[int, int, int] = (0, 2, 1)) -> tuple[np.ndarray, DataFrame]:
+    """Weights and the third view's means (i, j, v) for a vocabulary of any size: all moments are projected to k + extra directions before they are held.
+
+    trigrams is (w0, w1, w2, n).
+    """
+    t = N.share(trigrams, "n", name="v").select(*(F.col(f"w{o}").alias(c) for o, c in zip(order, "ijk", strict=True)), "v")
+    t = saved(t, "trigrams")
+    p = k + extra
+
+    def basis(a: str, b: str, s: int) -> DataFrame:
+        """Leading directions of view a in its moment with view b."""
+        m = t.groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.sum("v").alias("v"))
+        return saved(randomized_svd(m, p, extra, seed + s)[0], "view")
+
+    u1, u2, u3 = basis("i", "j", 0), basis("j", "i", 1), basis("k", "j", 2)
+    projected = M.collect_matrix(C.multilinear(t, {"i": u1, "j": u2, "k": u3}), p, p, p)
+    two = lambda a, b, ua, ub: M.collect_matrix(C.multilinear(t.groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.sum("v").alias("v")), {"i": ua, "j": ub}), p, p)
+    weights, means = decompose_views(two("i", "j", u1, u2), two("k", "j", u3, u2), two("i", "k", u1, u3), projected, k)
+    return weights / weights.sum(), C.multilinear(u3, {"j": _frame(t.sparkSession, means)})
+
+
+def simultaneous_diag(points: DataFrame, d: tuple[int, int, int], k: int, seed: int = 0, restarts: int = 20) -> np.ndarray:
+    """Means (d3, k) of the third view of points (x1, x2, x3): the moments along random directions share eigenvectors, and the eigenvalues are the means' coordinates."""
+    p12 = M.collect_matrix(M.pairs(points), d[0], d[1])
+    p123 = M.collect_matrix(M.triples(points), *d)
+    u1, _, v2 = np.linalg.svd(p12)
+    u1, u2 = u1[:, :k], v2.T[:, :k]
+    inverse = np.linalg.inv(u1.T @ p12 @ u2)
+    rng = np.random.default_rng(seed)
+    for _ in range(restarts):
+        thetas = np.linalg.qr(rng.standard_normal((d[2], d[2])))[0]
+        b = [u1.T @ np.einsum("abc,c->ab", p123, th) @ u2 @ inverse for th in thetas]
+        values, r = np.linalg.eig(b[0])
+        if np.abs(values.imag).max() < 1e-9:
+            lam = np.array([np.diag(np.linalg.inv(r.real) @ x @ r.real) for x in b])
+            return np.linalg.solve(thetas, lam)
+    raise ValueError("no direction gave real eigenvalues: the moments are too noisy for this many components")
+
+
+def lda(docs: DataFrame, d: int, k: int, alpha0: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights and word distributions (d, k) from the bag-of-words triples of encoded documents (x ARRAY<INT>), with the Dirichlet correction.
+
+    A document gives its words in three parts by place; the moments are over documents of three words and more.
+    """
+    at = lambda s: lambda v, i: i % 3 == s
+    parts = [F.filter("x", at(s)) for s in range(3)]
+    part = lambda c: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda w: F.size(F.filter(c, lambda v: v == w)) / F.size(c).cast("double"))
+    rows = saved(docs.where(F.size("x") >= 3).select(*(part(c).alias(f"x{i + 1}") for i, c in enumerate(parts))), "parts")
+    m1 = sum(M.collect_matrix(M.first_moment(rows, f"x{i}"), d) for i in (1, 2, 3)) / 3
+    m2 = M.collect_matrix(M.pairs(rows), d, d)
+    m2 = (m2 + m2.T) / 2 - alpha0 / (alpha0 + 1) * np.outer(m1, m1)
+    w = whitener(m2, k)
+    # whitened in the rows, so the third moment has k^3 cells
+    thin = lambda c: F.array(*(V.dot(F.col(c), F.array(*map(F.lit, map(float, w[:, j])))) for j in range(k)))
+    white = rows.select(*(thin(f"x{i}").alias(f"x{i}") for i in (1, 2, 3)))
+    t = M.collect_matrix(M.triples(white), k, k, k)
+    t = sum(t.transpose(o) for o in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))) / 6
+    a = w.T @ m1
+    p = w.T @ (m2 + alpha0 / (alpha0 + 1) * np.outer(m1, m1)) @ w
+    cross = np.einsum("ab,c->abc", p, a) + np.einsum("ac,b->abc", p, a) + np.einsum("bc,a->abc", p, a)
+    t = t - alpha0 / (alpha0 + 2) * cross + 2 * alpha0**2 / ((alpha0 + 1) * (alpha0 + 2)) * np.einsum("a,b,c->abc", a, a, a)
+    values, vectors = power_method(t, seed=seed)
+    topics = to_simplex(np.linalg.pinv(w.T) @ (vectors * values[:, None]).T)
+    weights = 1 / np.maximum(values, 1e-300) ** 2
+    return weights / weights.sum(), topics
+
+
+def spherical_gmm(points: DataFrame, d: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, means (d, k) and variance of spherical Gaussians over points (id, x): the least eigenvalue of the covariance is the variance, which is taken off the second and third moments."""
+    rows = points.select("id", F.col("x").alias("x1"), F.col("x").alias("x2"))
+    m1 = M.collect_matrix(M.first_moment(rows), d)
+    e2 = M.collect_matrix(M.pairs(rows), d, d)
+    sigma2 = float(max(np.linalg.eigvalsh(e2 - np.outer(m1, m1))[0], 0.0))
+    w = whitener(e2 - sigma2 * np.eye(d), k)
+    thin = F.array(*(V.dot(F.col("x1"), F.array(*map(F.lit, map(float, w[:, j])))) for j in range(k)))
+    white = rows.select(thin.alias("x1")).select("x1", F.col("x1").alias("x2"), F.col("x1").alias("x3"))
+    t = M.collect_matrix(M.triples(white), k, k, k)
+    a, s = w.T @ m1, sigma2 * (w.T @ w)
+    t = t - (np.einsum("a,bc->abc", a, s) + np.einsum("b,ac->abc", a, s) + np.einsum("c,ab->abc", a, s))
+    values, vectors = power_method(t, seed=seed)
+    means = np.linalg.pinv(w.T) @ (vectors * values[:, None]).T
+    weights = 1 / np.maximum(values, 1e-300) ** 2
+    return weights / weights.sum(), means, sigma2
+
+
+def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothing: float = 1e-6) -> Chain:
+    """A chain from the views (t, t+2, t+1): the third view has the emissions, the second is emission after transition."""
+    m = view_moments(views, d)
+    weights, o = decompose_views(m["12"], m["32"], m["13"], m["123"], k)
+    o = to_simplex(o, smoothing)
+    # columns of view 2 given the state: P32 = O diag(w) (O T')'
+    w = to_simplex(weights[:, None], smoothing)[:, 0]
+    after = (np.linalg.pinv(o @ np.diag(w)) @ m["32"]).T
+    t = to_simplex(np.linalg.pinv(o) @ after, smoothing).T
+    pi = to_simplex((np.linalg.pinv(o) @ first)[:, None], smoothing)[:, 0]
+    return Chain(pi, t, o.T)
+
+
+def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
+    """Weights, the three views' means and each component's variance for points (id, x1, x2, x3)."""
+    p = {"12": M.pairs(points, "x1", "x2"), "32": M.pairs(points, "x3", "x2"), "13": M.pairs(points, "x1", "x3")}
+    size = {"12": (d[0], d[1]), "32": (d[2], d[1]), "13": (d[0], d[2])}
+    m = {n: M.collect_matrix(df, *size[n]) for n, df in p.items()}
+    weights, m3 = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(points), *d), k)
+    weights = np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum()
+    right = np.linalg.pinv(m3 * weights).T
+    means = [m["13"] @ right, m["32"].T @ right, m3]
+    spark = points.sparkSession
+    centres = spark.createDataFrame([(j, [float(v) for x in means for v in x[:, j]], float(weights[j])) for j in range(k)], "k int, m array<double>, w double")
+    joined = points.select("id", F.concat("x1", "x2", "x3").alias("x"))
+    sigma2 = points.select(F.concat("x1", "x2", "x3").alias("x")).agg(F.avg(V.dot(F.col("x"), F.col("x"))) / sum(d)).first()[0]
+    step = X.gmm_step(joined, centres, float(sigma2), sum(d))
+    return weights, means, step.select("k", "n", "var")
+
+
+def regression_moments(samples: DataFrame, d: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First, second and third moments of the coefficients of a mixture of regressions over (y, x): y, y^2 and y^3 on the products of x, by normal equations."""
+    from momenta.plans.estimators import ridge as solve
+
+    y = F.col("y")
+    b1 = solve(samples, d, ridge)
+    s2 = samples.select(V.sym_expand2(F.col("x"), d).alias("x"), (y * y).alias("y"))
+    b2 = solve(s2, d * (d + 1) // 2, ridge)
+    s3 = samples.select(V.sym_expand3(F.col("x"), d).alias("x"), (y * y * y).alias("y"))
+    b3 = solve(s3, d * (d + 1) * (d + 2) // 6, ridge)
+    m2, m3 = np.zeros((d, d)), np.zeros((d, d, d))
+    at = iter(b2)
+    for i in range(d):
+        for j in range(i, d):
+            m2[i, j] = m2[j, i] = next(at)
+    at = iter(b3)
+    for i in range(d):
+        for j in range(i, d):
+            for k in range(j, d):
+                v = next(at)
+                for a, b, c in {(i, j, k), (i, k, j), (j, i, k), (j, k, i), (k, i, j), (k, j, i)}:
+                    m3[a, b, c] = v
+    return b1, m2, m3
+
+
+def regression_mixture(samples: DataFrame, d: int, k: int, ridge: float = 1e-6, noise: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and coefficients (k, d) of a mixture of regressions from its moments; noise is the variance of y given x."""
+    _, m2, m3 = regression_moments(samples, d, ridge)
+    if noise:
+        # y^2 holds the noise's variance beside the products, if x has a constant coordinate 0 it falls on that
+        m2 = m2 - noise * np.outer(np.eye(d)[0], np.eye(d)[0])
+    w = whitener(m2, k)
+    t = np.einsum("abc,ai,bj,ck->ijk", m3, w, w, w)
+    values, vectors = power_method(t, seed=seed)
+    betas = (np.linalg.pinv(w.T) @ (vectors * values[:, None]).T).T
+    weights = 1 / np.maximum(values, 1e-300) ** 2
+    return weights / weights.sum(), betas
+
+
+def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, seed: int = 0) -> DataFrame:
+    """(tok, c, dist): words projected to p random directions, centres from their three views, each word to its nearest centre.
+
+    trigrams is (w0, w1, w2, n), words (tok).
+    """
+    z = saved(gaussian_factor(words.select(F.col("tok").alias("i")), p, seed), "projection")
+    row = z.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"] / np.sqrt(p)).alias("x"))
+    t = trigrams
+    for n in range(3):
+        t = t.join(row.select(F.col("i").alias(f"w{n}"), F.col("x").alias(f"x{n + 1}")), f"w{n}")
+    # counts as weights: the moments over windows are weighted sums over distinct trigrams
+    total = t.agg(F.sum("n")).first()[0]
+    weighted = t.select(F.transform("x1", lambda v: v * F.col("n")).alias("x1"), "x2", "x3", F.col("n"))
+    scale = t.count() / total
+    order = {"12": ("x1", "x3"), "13": ("x1", "x2")}
+    p12, p13 = (M.collect_matrix(M.pairs(weighted, *c), p, p) * scale for c in order.values())
+    p32 = M.collect_matrix(M.pairs(t.select(F.transform("x2", lambda v: v * F.col("n")).alias("x2"), "x3"), "x2", "x3"), p, p) * scale
+    p123 = M.collect_matrix(M.triples(weighted, "x1", "x3", "x2"), p, p, p) * scale
+    _, means = decompose_views(p12, p32, p13, p123, k, seed)
+    centres = t.sparkSession.createDataFrame([(j, [float(v) for v in means[:, j]]) for j in range(k)], "k int, m array<double>")
+    return X.nearest(row.select(F.col("i").alias("id"), "x"), centres).select(F.col("id").alias("tok"), F.col("k").alias("c"), "dist")
+
+
+def first_tokens(tokens: DataFrame, d: int) -> np.ndarray:
+    """Shares of the first tokens of sequences (d symbols)."""
+    out = np.zeros(d)
+    for r in N.share(tokens.where("pos = 0").groupBy("tok").agg(F.count("*").alias("n")), "n").collect():
+        out[r.tok] = r.p
+    return out
