@@ -78,7 +78,7 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kinds = N.sorted_ids(events, "event_type")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).join(F.broadcast(kinds), "event_type")
+    rows = events.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).join(kinds, "event_type")
     tag = F.when(F.col("value") < 20, 0).when(F.col("value") < 60, 1).otherwise(2)
     return rows.select(F.col("user_id").alias("seq_id"), "pos", F.col("tok").cast("int").alias("tok"), tag.alias("tag"))
 
