@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +105,15 @@ def _bound(column, low: np.ndarray, high: np.ndarray, value: np.ndarray, right:
     return low
 
 
-def search(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every benchmark suffix: the length of its longest match, and the range of the suffix array where its window (or item) is.
+def search(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every benchmark suffix: the length of its longest match, a place of it in text, and the range of the suffix array where its window (or item) is.
 
     The range is empty where the window doesn't occur; matches go on to the suffix's end, beyond the window.
     """
     n, m = len(text), len(items.start)
     padded = np.r_[text, -1]
     low, high = np.zeros(m, np.int64), np.full(m, n, np.int64)
-    longest, first, last = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    longest, where, first, last = (np.zeros(m, np.int64) for _ in range(4))
     live, depth = np.arange(m), 0
     while len(live):
         value = items.text[items.start[live] + depth]
@@ -122,10 +123,11 @@ def search(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarra
         low[live], high[live] = a, b
         live, depth = live[b > a], depth + 1
         longest[live] = depth
+        where[live] = order[low[live]]
         full = live[items.need[live] == depth]
         first[full], last[full] = low[full], high[full]
         live = live[items.length[live] > depth]
-    return longest, first, last
+    return longest, where, first, last
 
 
 class Shard:
@@ -150,8 +152,8 @@ class Shard:
         self.order = suffix_array(self.text, int(items.length.max(initial=1))) if len(self.text) else np.zeros(0, np.int64)
 
     def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix of the benchmark, document of the batch, word in it) of every occurrence of a window, and the longest matches are search()'s."""
-        _, first, last = search(self.text, self.order, self.items)
+        """(suffix of the benchmark, document of the batch, word in it) of every occurrence of a window."""
+        _, _, first, last = search(self.text, self.order, self.items)
         count = last - first
         suffix = np.repeat(np.arange(len(count)), count)
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -159,6 +161,14 @@ class Shard:
         doc = np.searchsorted(self.offset, at, side="right") - 1
         return suffix, doc, at - self.offset[doc]
 
+    def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix of the benchmark, length, document of the batch, word in it) of the longest match of each suffix that has one of a window's length or more."""
+        length, where, _, _ = search(self.text, self.order, self.items)
+        suffix = np.flatnonzero((length >= self.items.need) & (length > 0))
+        at = self.place[where[suffix]] if len(suffix) else np.zeros(0, np.int64)
+        doc = np.searchsorted(self.offset, at, side="right") - 1
+        return suffix, length[suffix], doc, at - self.offset[doc]
+
 
 def _contained(doc: np.ndarray, at: np.ndarray, n: int, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Marks of all words of the shard that lie in [at, at + size) of their document."""
@@ -198,6 +208,40 @@ def _pass(items: Items, last: bool):
     return run
 
 
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark as Items in blocks of about block_bytes of text, and whether it is the last."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for k in range(blocks):
+        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        yield build_items([tuple(r) for r in part.collect()], window), k == blocks - 1
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item_id, at, length, doc_id, place): for every benchmark suffix (item_id, word at) its longest verbatim match in docs and where that is.
+
+    Only matches of a window (or a whole shorter item) and more are given; of equally long ones that of the smallest
+    doc_id, then place. A shard sends one row for a suffix at most; the rows meet by aggregation.
+    """
+    parts = []
+    for items, _ in _blocks(benchmark, window, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            use = shared.value
+            inside = np.arange(len(use.item)) - np.searchsorted(use.item, use.item)
+            for batch in batches:
+                suffix, length, doc, place = Shard(batch["text"].to_pylist(), use).longest()
+                names = pa.array([use.ids[i] for i in use.item[suffix]], pa.string())
+                yield pa.record_batch([names, pa.array(inside[suffix]), pa.array(length), batch["doc_id"].take(pa.array(doc)), pa.array(place)], ["item_id", "at", "length", "doc_id", "place"])
+
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        parts.append(rows.mapInArrow(run, "item_id string, at long, length long, doc_id long, place long"))
+    best = reduce(DataFrame.unionAll, parts).groupBy("item_id", "at").agg(F.min(F.struct((-F.col("length")).alias("n"), "doc_id", "place")).alias("b"))
+    return best.select("item_id", "at", (-F.col("b.n")).alias("length"), "b.doc_id", "b.place")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) of every row of docs (doc_id, text): hit words and the items whose windows occur.
 
@@ -207,18 +251,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     benchmark is read to the tasks in blocks of at most block_bytes of text (or one item), one pass over docs for each.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     df = df.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
-    for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        items = build_items([tuple(r) for r in part.collect()], window)
-        # the benchmark's block is a broadcast variable of bounded size
+    for items, last in _blocks(benchmark, window, block_bytes):
+        # a block of the benchmark is a broadcast variable of bounded size
         shared = spark.sparkContext.broadcast(items)
-        df = df.mapInArrow(lambda it, shared=shared, last=k == blocks - 1: _pass(shared.value, last)(it), df.schema)
-        if k < blocks - 1:
+        df = df.mapInArrow(lambda it, shared=shared, last=last: _pass(shared.value, last)(it), df.schema)
+        if not last:
             df = saved(df, "matches")
     return df.drop("text")
 

@@ -298,11 +298,18 @@ def test_decontamination_against_loops(spark):
 def test_longest_matches():
     items = decontaminate.build_items([("x", "a b c d e"), ("y", "c d q")], window=3)
     shard = decontaminate.Shard(["z a b c d z", "c d e"], items)
-    longest, first, last = decontaminate.search(shard.text, shard.order, items)
+    longest, where, first, last = decontaminate.search(shard.text, shard.order, items)
     assert longest.tolist() == [4, 3, 3, 2, 1, 2, 1, 0]
     assert (last - first).tolist()[:3] == [1, 1, 1]
 
 
+def test_longest_matches_of_a_table(spark):
+    docs = spark.createDataFrame([(5, "z a b c d z"), (3, "c d e"), (4, "C, d. e"), (9, None)], "doc_id long, text string")
+    bench_ = spark.createDataFrame([(1, "a b c d e"), (2, "c d q"), (3, "d e")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.longest_matches(docs, bench_, window=3).collect())
+    assert got == [("1", 0, 4, 5, 1), ("1", 1, 3, 5, 2), ("1", 2, 3, 3, 0), ("3", 0, 2, 3, 1)]
+
+
 def test_surrogates(spark):
     rows = [
         (1, 'Mail john.Doe@Mail-3.example.co.uk, call +1 (743) 555-3824 or 555-123-4567. Ms. Anna Smith met Mr. John Smith; token = "24be64439e3e49cf" card 4111 1111 1111 1111 ip 8.8.4.4.'),
