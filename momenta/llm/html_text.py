@@ -25,14 +25,15 @@ _TAG = re.compile(
     r"|<[a-zA-Z/][^<>]*+\Z",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
 #: Tags whose content is no text of the page.
-_RAW = frozenset("script style noscript template textarea svg math iframe object select title head".split())
+_RAW = frozenset("script style noscript template textarea svg math iframe object select title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-_PARA = frozenset("p li dt dd option tr td th h1 h2 h3 h4 h5 h6".split())
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_PARA = frozenset(("p", "li", "dt", "dd", "option", "tr", "td", "th", *_HEADINGS))
 #: An opening tag of the left ends an open element of the right, up to the nearest container.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("div section article main aside nav header footer ul ol dl table form body html blockquote figure".split())
@@ -59,71 +60,63 @@ class _Page:
 
 
 def _marks(attributes: str) -> str:
-    """The words of class, id and role, and 'hidden' if the element is hidden."""
-    out = []
-    for name, a, b, c in _ATTR.findall(attributes) if attributes else ():
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            out.append("hidden")
-        elif name in ("class", "id", "role"):
-            out.append(value)
-    return " ".join(out)
+    """The words of class, id and role."""
+    return " ".join((a or b or c).lower() for a, b, c in _ATTR.findall(attributes)) if attributes else ""
+
+
+def _open_from(stack: list[tuple[str, str]], name: str) -> int | None:
+    """Where the element begins that an opening block tag ends: an open paragraph, or the item before, in the same container."""
+    ended = {"p", *_ENDS.get(name, ()), *(_HEADINGS if name in _PARA else ())}
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] in ended:
+            return k
+        if stack[k][0] in _SCOPE:
+            return None
+    return None
 
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; markup may be broken: what isn't closed ends with its container."""
-    out, stack, at, raw = _Page(), [], 0, None
+    out, stack, at, links = _Page(), [], 0, 0
     page = page or ""
-    n, links = len(page), 0
-    while at < n:
+
+    def cut(k: int) -> int:
+        """Ends the elements from place k on; returns how many links are still open."""
+        del stack[k:]
+        return sum(x[0] == "a" for x in stack)
+
+    while at < len(page):
         m = _TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at and raw is None:
-            piece = page[at:end]
+        piece = page[at : m.start() if m else len(page)]
+        if piece:
             out.text.append(piece)
-            if links:
-                out.linked += len(piece)
+            out.linked += len(piece) if links else 0
         if m is None:
             break
         at = m.end()
-        close, name, attributes = m[1], (m[2] or "").lower(), m[3]
-        if not name:
-            continue
-        if name in _RAW and not close and not (attributes or "").endswith("/"):
-            if name == "head":
-                continue
+        close, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
+        empty = attributes.endswith("/")
+        if name in _RAW and not close and not empty:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
-            continue
-        if name in _VOID:
-            if name in ("br", "hr", "wbr"):
-                if name == "hr":
-                    out.flush(stack)
-                elif name == "br":
-                    out.text.append(" ")
-            continue
-        inline = name in _INLINE
-        if not inline:
+            at = stop.end() if stop else len(page)
+        elif name == "br":
+            out.text.append(" ")
+        elif name == "hr":
             out.flush(stack)
-        if close:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None and not (inline and any(x[0] not in _INLINE for x in stack[depth + 1 :])):
-                links -= sum(x[0] == "a" for x in stack[depth:])
-                del stack[depth:]
-            continue
-        if not inline:
-            # a block ends an open paragraph, and an item the item before
-            ended = {"p"} | _ENDS.get(name, set()) | ({"h1", "h2", "h3", "h4", "h5", "h6"} if name in _PARA else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended and (stack[k][0] != "p" or name not in _INLINE):
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-        if not (attributes or "").endswith("/"):
-            stack.append((name, _marks(attributes)))
-            links += name == "a"
+        elif name and name not in _VOID:
+            inline = name in _INLINE
+            if not inline:
+                out.flush(stack)
+            if close:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                if k is not None and not (inline and any(x[0] not in _INLINE for x in stack[k + 1 :])):
+                    links = cut(k)
+                continue
+            if not inline and (k := _open_from(stack, name)) is not None:
+                links = cut(k)
+            if not empty:
+                stack.append((name, _marks(attributes)))
+                links += name == "a"
     out.flush(stack)
     return out.blocks
 
@@ -138,7 +131,6 @@ _HINTS = (
     ("talk", "comment comments reply replies respond disqus discussion reader feedback"),
     ("share", "share social follow tags meta byline author-box search login form"),
     ("main", "article content main post entry story body text page-content article-body"),
-    ("hide", "hidden visually-hidden sr-only"),
 )
 _HINT_OF = {w: h for h, ws in _HINTS for w in ws.split()}
 _MARK = re.compile(r"[a-z]+(?:-[a-z]+)*")
