@@ -1,7 +1,8 @@
 """Token ids in Arrow's file format, in equal-length sequences.
 
 Documents are dealt by ranges of doc_id and each task writes one file: record batches with a fixed-size list of
-uint32 ids and one of mask bytes (1: an id, 0: filling behind the last). Fixed-size lists lie back to back in memory,
+ids (two bytes each where the vocabulary allows it) and one of mask bits (1: an id, 0: filling behind the last), eight
+to a byte, lowest first. Fixed-size lists lie back to back in memory,
 so a reader maps a file and takes any sequence, or any document, as a slice without copying or parsing. The index, a
 Parquet table, says where each document is. A file counts only once its rows are in the index, so tasks that are run
 again leave nothing wrong behind.
@@ -26,17 +27,19 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
 END_ID = 2
-#: Words whose ids a task remembers.
-MEMORY = 1 << 18
+#: Pieces whose ids a task remembers, and texts that are encoded together.
+MEMORY = 1_000_000
+TOGETHER = 64
 
 _INDEX = "file string, part long, doc_id long, place long, n_tokens long"
 
 
 class Encoder:
-    """ids of a whole text as the tokenizer gives them, through its own ids of the pieces between spaces.
+    """ids of whole texts as the tokenizer gives them, through its own ids of the pieces between spaces.
 
     The tokenizer drops white space and lets no token cross it, and its special strings hold none, so a text's ids are
-    those of its pieces, one after the other; pieces seen before are looked up. Only for tokenizers of which that holds.
+    those of its pieces, one after the other; pieces seen before are looked up, the new ones of several texts go to the
+    tokenizer as one text. Only for tokenizers of which that holds.
     """
 
     def __init__(self, path: str):
@@ -46,57 +49,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Two bytes an id where the vocabulary allows it.
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids = np.array(found.ids, self.dtype).tobytes()
+        starts = np.fromiter((s for s, _ in found.offsets), np.int64, len(found.ids))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        at = 0
+        for piece, end in zip(pieces, (np.searchsorted(starts, ends) * self.dtype.itemsize).tolist(), strict=True):
+            self.known[piece] = ids[at:end]
+            at = end
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text the ids as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            if new := [p for p in {*pieces} if p not in self.known]:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                    new = [*{*pieces}]
-                for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, pieces))
+        """For each text its ids, as dtype."""
+        for k in range(0, len(texts), TOGETHER):
+            pieces = [(text or "").replace("\n", " ").split(" ") for text in texts[k : k + TOGETHER]]
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            if new := set().union(*pieces).difference(self.known):
+                self._learn(list(new))
+            for p in pieces:
+                yield b"".join(map(self.known.__getitem__, p))
 
 
 class SequenceWriter:
     """One file of equal-length sequences; ids are written on as full batches come together."""
 
-    def __init__(self, folder: str, name: str, sequence: int):
-        self.sequence = sequence
+    def __init__(self, folder: str, name: str, sequence: int, dtype: np.dtype):
+        if sequence % 8:
+            raise ValueError("mask bits are packed: sequences have a multiple of 8 ids")
+        self.sequence, self.dtype = sequence, dtype
         self.fs, root = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.stream = self.fs.open_output_stream(f"{root}/{name}")
-        kind = lambda t: pa.list_(pa.field("item", t, nullable=False), sequence)
-        self.schema = pa.schema([pa.field("ids", kind(pa.uint32()), nullable=False), pa.field("mask", kind(pa.uint8()), nullable=False)])
+        kind = lambda t, n: pa.list_(pa.field("item", t, nullable=False), n)
+        self.schema = pa.schema([pa.field("ids", kind(pa.from_numpy_dtype(dtype), sequence), nullable=False), pa.field("mask", kind(pa.uint8(), sequence // 8), nullable=False)])
         self.file = pa.ipc.new_file(self.stream, self.schema)
         self.waiting: list[bytes] = []
         self.size = self.total = 0
 
     def add(self, ids: bytes) -> int:
         """Appends the ids and returns the place of the first."""
-        at = self.total
+        at, n = self.total, len(ids) // self.dtype.itemsize
         self.waiting.append(ids)
-        self.size += len(ids) // 4
-        self.total += len(ids) // 4
+        self.size += n
+        self.total += n
         if self.size >= self.sequence * BATCH:
             self._write(self.size // (self.sequence * BATCH) * BATCH)
         return at
 
     def _write(self, sequences: int) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), "<u4")
+        ids = np.frombuffer(b"".join(self.waiting), self.dtype)
         whole, n = sequences * self.sequence, len(ids)
-        mask = np.ones(whole, np.uint8)
-        mask[n:] = 0
+        mask = np.packbits(np.arange(whole) < n, bitorder="little")
         rest = ids[whole:].tobytes()
         ids = np.pad(ids[:whole], (0, max(0, whole - n)))
         for k in range(0, sequences, BATCH):
-            part = slice(k * self.sequence, min(k + BATCH, sequences) * self.sequence)
-            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
+            first, last = k * self.sequence, min(k + BATCH, sequences) * self.sequence
+            parts = ids[first:last], mask[first // 8 : last // 8]
+            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip(parts, self.schema, strict=True)]
             self.file.write_batch(pa.record_batch(arrays, schema=self.schema))
-        self.waiting, self.size = [rest], len(rest) // 4
+        self.waiting, self.size = [rest], len(rest) // self.dtype.itemsize
 
     def close(self) -> None:
         if self.size:
@@ -131,9 +147,10 @@ class SequenceReader:
             k, at, n = k + 1, 0, n - len(ids)
 
     def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of the i-th sequence, without copying."""
-        k, at = divmod(i * self.sequence, self.ids)
-        return tuple(self._batch(k)[c].flatten().to_numpy(zero_copy_only=True)[at : at + self.sequence] for c in ("ids", "mask"))
+        """The ids and the packed mask of the i-th sequence, without copying."""
+        k, at = divmod(i, self.ids // self.sequence)
+        flat = (self._batch(k)[c].flatten().to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        return tuple(x[at * n : (at + 1) * n] for x, n in zip(flat, (self.sequence, self.sequence // 8), strict=True))
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sequence: int = SEQUENCE) -> DataFrame:
@@ -146,15 +163,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.arrow"
-        encoder, out, end = Encoder(tokenizer), None, np.array([end_id], "<u4").tobytes()
+        encoder, out = Encoder(tokenizer), None
+        end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             if not len(batch):
                 continue
-            out = out or SequenceWriter(folder, name, sequence)
+            out = out or SequenceWriter(folder, name, sequence, encoder.dtype)
             place, size = [], []
             for ids in encoder.encode(batch["text"].to_pylist()):
                 place.append(out.add(ids + end))
-                size.append(len(ids) // 4 + 1)
+                size.append(len(ids) // encoder.dtype.itemsize + 1)
             n = len(batch)
             yield pa.record_batch([pa.array([f"{folder}/{name}"] * n), pa.array([part] * n, pa.int64()), batch["doc_id"], pa.array(place, pa.int64()), pa.array(size, pa.int64())], ["file", "part", "doc_id", "place", "n_tokens"])
         if out:
@@ -180,7 +198,7 @@ def read(index: DataFrame) -> DataFrame:
                     name, reader = file, SequenceReader(file)
                 value = 0
                 for ids in reader.slices(place, n):
-                    value = zlib.crc32(ids, value)
+                    value = zlib.crc32(ids.astype("<u4"), value)
                 crc.append(value)
             yield pa.record_batch([*batch.columns, pa.array(crc, pa.int64())], [*batch.schema.names, "ids_crc32"])
 
