@@ -10,12 +10,15 @@ again leave nothing wrong behind.
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,10 +30,16 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
 END_ID = 2
-#: Pieces whose ids a task remembers, and texts that are encoded together.
+#: Words and other pieces whose ids a task remembers, and texts whose ids are put together at once.
 MEMORY = 1_000_000
 TOGETHER = 64
 
+#: What may stand behind a word without touching its tokens: ASCII marks but the apostrophe, which begins endings.
+_STOPS = string.punctuation.replace("'", "")
+#: Byte-level vocabularies name a byte by a character: printable ones by themselves, the others by 256, 257, ... in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _INDEX = "file string, part long, doc_id long, place long, n_tokens long"
 
 
@@ -38,8 +47,9 @@ class Encoder:
     """ids of whole texts as the tokenizer gives them, through its own ids of the pieces between spaces.
 
     The tokenizer drops white space and lets no token cross it, and its special strings hold none, so a text's ids are
-    those of its pieces, one after the other; pieces seen before are looked up, the new ones of several texts go to the
-    tokenizer as one text. Only for tokenizers of which that holds.
+    those of its pieces, one after the other; pieces seen before are looked up. New pieces go to the tokenizer as one
+    text, but for words of Latin letters, which its model takes as they are, and stops behind such.
+    Only for tokenizers of which that holds.
     """
 
     def __init__(self, path: str):
@@ -52,8 +62,48 @@ class Encoder:
         #: Two bytes an id where the vocabulary allows it.
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
+        self.tails: dict[str, bytes] = {}
+
+        self.model, self.words = self.tokenizer.model, {}
+        #: Whether words of letters may go to the model itself and stops behind them apart: tried on a sample of both.
+        sample = ["Hello", "straße", "Éléphant", "zzyzxqv", "niño", "thndhely", "ÀÉÎ", "a"]
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.direct = all(ids(w + t) == self._word(w.lower()).tolist() + ids(t) for w in sample for t in (*_STOPS, "?!", "...", "***"))
+
+    def _word(self, word: str) -> array:
+        """ids of a word of lower-case Latin letters, from the model behind the tokenizer's normalizer and splitter."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(mapped)])
+
+    def _look_up(self, pieces: Iterable[str]) -> list[bytes]:
+        """ids of every piece. Words are remembered by their lower-case letters alone, other pieces as they are."""
+        out: list[bytes | None] = []
+        words, known, others = self.words, self.known, []
+        for piece in pieces:
+            word = piece.rstrip(_STOPS) if self.direct else ""
+            if word.isalpha() and (word.isascii() or max(word) < "Ā"):
+                low = word.lower()
+                ids = words.get(low)
+                if ids is None:
+                    ids = words[low] = self._word(low).tobytes()
+                out.append(ids if len(word) == len(piece) else ids + self._tail(piece[len(word) :]))
+            else:
+                out.append(known.get(piece))
+                if out[-1] is None:
+                    others.append((len(out) - 1, piece))
+        if others:
+            self._learn_together([*{p for _, p in others}])
+            for k, piece in others:
+                out[k] = known[piece]
+        return out
+
+    def _tail(self, stops: str) -> bytes:
+        if stops not in self.tails:
+            self.tails[stops] = np.array(self.tokenizer.encode(stops, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.tails[stops]
+
+    def _learn_together(self, pieces: list[str]) -> None:
+        """Several pieces as one text; the ids' places tell which are whose."""
         found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
         ids = np.array(found.ids, self.dtype).tobytes()
         starts = np.fromiter((s for s, _ in found.offsets), np.int64, len(found.ids))
@@ -63,16 +113,30 @@ class Encoder:
             self.known[piece] = ids[at:end]
             at = end
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids, as dtype."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text its ids, as dtype; the distinct pieces of the texts are looked up, and their ids taken by place."""
+        if not len(texts):
+            return
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        del pieces, coded
+        for memory in (self.words, self.known, self.tails):
+            if len(memory) > MEMORY:
+                memory.clear()
+        found = self._look_up(distinct)
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
         for k in range(0, len(texts), TOGETHER):
-            pieces = [(text or "").replace("\n", " ").split(" ") for text in texts[k : k + TOGETHER]]
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            if new := set().union(*pieces).difference(self.known):
-                self._learn(list(new))
-            for p in pieces:
-                yield b"".join(map(self.known.__getitem__, p))
+            ends = bounds[k : k + TOGETHER + 1] - bounds[k]
+            block = at[bounds[k] : bounds[min(k + TOGETHER, len(texts))]]
+            n = size[block]
+            upto = np.r_[0, np.cumsum(n)]
+            out = ids[np.repeat(first[block] - upto[:-1], n) + np.arange(upto[-1])]
+            for s, e in zip(upto[ends[:-1]].tolist(), upto[ends[1:]].tolist(), strict=True):
+                yield out[s:e].tobytes()
 
 
 class SequenceWriter:
@@ -170,7 +234,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, se
                 continue
             out = out or SequenceWriter(folder, name, sequence, encoder.dtype)
             place, size = [], []
-            for ids in encoder.encode(batch["text"].to_pylist()):
+            for ids in encoder.encode(batch["text"]):
                 place.append(out.add(ids + end))
                 size.append(len(ids) // encoder.dtype.itemsize + 1)
             n = len(batch)
