@@ -197,12 +197,13 @@ RUN = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 
 
 def _running(name, f):
-    @query(name, f"SELECT event_id, round({f}(value) {RUN}, 6) AS v FROM events")
+    @query(name, f"SELECT event_id, round({f}(value) {RUN}, 9) AS v FROM events")
     def run(spark, d):
         from pyspark.sql import Window
 
         w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-        return table(spark, d, "events").select("event_id", r6(getattr(F, f)("value").over(w)).alias("v"))
+        # a mean of two-decimal values over up to some hundred rows has no edge at nine digits
+        return table(spark, d, "events").select("event_id", F.round(getattr(F, f)("value").over(w), 9).alias("v"))
 
 
 for _name, _f in (("win_running_mean", "avg"), ("win_running_max", "max"), ("win_running_min", "min")):
