@@ -57,14 +57,21 @@ def randomized_svd(m: DataFrame, k: int, extra: int = 4, seed: int = 0) -> tuple
     return u, values, v
 
 
-def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (k) and third-view means (d3, k) from exact or sampled moments: the other views are turned into the third, whitened, and split by power steps."""
+def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.ndarray, k: int, seed: int = 0, fewer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (k) and third-view means (d3, k) from exact or sampled moments: the other views are turned into the third, whitened, and split by power steps.
+
+    Moments of rank below k are an error, or with `fewer` give as many components as their rank.
+    """
     u1, u2, u3 = (np.linalg.svd(a, full_matrices=False)[s][:, :k] if s == 0 else np.linalg.svd(a, full_matrices=False)[2].T[:, :k] for a, s in ((p12, 0), (p12, 2), (p13, 2)))
     a12, a32, a13 = u1.T @ p12 @ u2, u3.T @ p32 @ u2, u1.T @ p13 @ u3
     a123 = np.einsum("abc,ai,bj,ck->ijk", p123, u1, u2, u3)
     to3_1 = a32 @ np.linalg.pinv(a12)
     to3_2 = a13.T @ np.linalg.pinv(a12.T)
     pairs = to3_1 @ a12 @ to3_2.T
+    values = np.linalg.eigvalsh((pairs + pairs.T) / 2)
+    rank = int((values > 1e-12 * max(values[-1], 1e-300)).sum())
+    if fewer and 0 < rank < k:
+        return decompose_views(p12, p32, p13, p123, rank, seed, fewer)
     triples = np.einsum("abc,ia,jb->ijc", a123, to3_1, to3_2)
     w = whitener((pairs + pairs.T) / 2, k)
     t = np.einsum("abc,ai,bj,ck->ijk", triples, w, w, w)
@@ -84,14 +91,14 @@ def view_moments(views: DataFrame, d: int) -> dict[str, np.ndarray]:
     return out
 
 
-def three_view_exact(views: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def three_view_exact(views: DataFrame, d: int, k: int, fewer: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Weights and symbol distributions (d, k) of the third view from full moments."""
     m = view_moments(views, d)
-    weights, means = decompose_views(m["12"], m["32"], m["13"], m["123"], k)
+    weights, means = decompose_views(m["12"], m["32"], m["13"], m["123"], k, fewer=fewer)
     return weights / weights.sum(), to_simplex(means)
 
 
-def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order: tuple[int, int, int] = (0, 2, 1)) -> tuple[np.ndarray, DataFrame]:
+def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order: tuple[int, int, int] = (0, 2, 1), fewer: bool = False) -> tuple[np.ndarray, DataFrame]:
     """Weights and the third view's means (i, j, v) for a vocabulary of any size: all moments are projected to k + extra directions before they are held.
 
     trigrams is (w0, w1, w2, n).
@@ -108,7 +115,7 @@ def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order
     u1, u2, u3 = basis("i", "j", 0), basis("j", "i", 1), basis("k", "j", 2)
     projected = M.collect_matrix(C.multilinear(t, {"i": u1, "j": u2, "k": u3}), p, p, p)
     two = lambda a, b, ua, ub: M.collect_matrix(C.multilinear(t.groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.sum("v").alias("v")), {"i": ua, "j": ub}), p, p)
-    weights, means = decompose_views(two("i", "j", u1, u2), two("k", "j", u3, u2), two("i", "k", u1, u3), projected, k)
+    weights, means = decompose_views(two("i", "j", u1, u2), two("k", "j", u3, u2), two("i", "k", u1, u3), projected, k, seed, fewer)
     return weights / weights.sum(), C.multilinear(u3, {"j": _frame(t.sparkSession, means)})
 
 
@@ -176,10 +183,10 @@ def spherical_gmm(points: DataFrame, d: int, k: int, seed: int = 0) -> tuple[np.
     return weights / weights.sum(), means, sigma2
 
 
-def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothing: float = 1e-6) -> Chain:
+def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothing: float = 1e-6, fewer: bool = False) -> Chain:
     """A chain from the views (t, t+2, t+1): the third view has the emissions, the second is emission after transition."""
     m = view_moments(views, d)
-    weights, o = decompose_views(m["12"], m["32"], m["13"], m["123"], k)
+    weights, o = decompose_views(m["12"], m["32"], m["13"], m["123"], k, fewer=fewer)
     o = to_simplex(o, smoothing)
     # columns of view 2 given the state: P32 = O diag(w) (O T')'
     w = to_simplex(weights[:, None], smoothing)[:, 0]
@@ -189,17 +196,17 @@ def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothin
     return Chain(pi, t, o.T)
 
 
-def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
+def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int, fewer: bool = False) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
     """Weights, the three views' means and each component's variance for points (id, x1, x2, x3)."""
     p = {"12": M.pairs(points, "x1", "x2"), "32": M.pairs(points, "x3", "x2"), "13": M.pairs(points, "x1", "x3")}
     size = {"12": (d[0], d[1]), "32": (d[2], d[1]), "13": (d[0], d[2])}
     m = {n: M.collect_matrix(df, *size[n]) for n, df in p.items()}
-    weights, m3 = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(points), *d), k)
+    weights, m3 = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(points), *d), k, fewer=fewer)
     weights = np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum()
     right = np.linalg.pinv(m3 * weights).T
     means = [m["13"] @ right, m["32"].T @ right, m3]
     spark = points.sparkSession
-    centres = spark.createDataFrame([(j, [float(v) for x in means for v in x[:, j]], float(weights[j])) for j in range(k)], "k int, m array<double>, w double")
+    centres = spark.createDataFrame([(j, [float(v) for x in means for v in x[:, j]], float(weights[j])) for j in range(len(weights))], "k int, m array<double>, w double")
     joined = points.select("id", F.concat("x1", "x2", "x3").alias("x"))
     sigma2 = points.select(F.concat("x1", "x2", "x3").alias("x")).agg(F.avg(V.dot(F.col("x"), F.col("x"))) / sum(d)).first()[0]
     step = X.gmm_step(joined, centres, float(sigma2), sum(d))
@@ -245,7 +252,7 @@ def regression_mixture(samples: DataFrame, d: int, k: int, ridge: float = 1e-6,
     return weights / weights.sum(), betas
 
 
-def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, seed: int = 0) -> DataFrame:
+def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, seed: int = 0, fewer: bool = False) -> DataFrame:
     """(tok, c, dist): words projected to p random directions, centres from their three views, each word to its nearest centre.
 
     trigrams is (w0, w1, w2, n), words (tok).
@@ -263,8 +270,8 @@ def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, see
     p12, p13 = (M.collect_matrix(M.pairs(weighted, *c), p, p) * scale for c in order.values())
     p32 = M.collect_matrix(M.pairs(t.select(F.transform("x2", lambda v: v * F.col("n")).alias("x2"), "x3"), "x2", "x3"), p, p) * scale
     p123 = M.collect_matrix(M.triples(weighted, "x1", "x3", "x2"), p, p, p) * scale
-    _, means = decompose_views(p12, p32, p13, p123, k, seed)
-    centres = t.sparkSession.createDataFrame([(j, [float(v) for v in means[:, j]]) for j in range(k)], "k int, m array<double>")
+    _, means = decompose_views(p12, p32, p13, p123, k, seed, fewer)
+    centres = t.sparkSession.createDataFrame([(j, [float(v) for v in means[:, j]]) for j in range(means.shape[1])], "k int, m array<double>")
     return X.nearest(row.select(F.col("i").alias("id"), "x"), centres).select(F.col("id").alias("tok"), F.col("k").alias("c"), "dist")
 
 

@@ -216,13 +216,13 @@ def est_randomized_svd(spark, d):
 
 @query("est_three_view")
 def est_three_view(spark, d):
-    _, means = spectral.three_view(trigram_counts(spark, d), 2)
+    _, means = spectral.three_view(trigram_counts(spark, d), 2, fewer=True)
     return means
 
 
 @query("est_three_view_exact")
 def est_three_view_exact(spark, d):
-    w, o = spectral.three_view_exact(N.views(trigram_counts(spark, d)), WORDS, 2)
+    w, o = spectral.three_view_exact(N.views(trigram_counts(spark, d)), WORDS, 2, fewer=True)
     return _matrix(spark, o).join(_matrix(spark, w).select("j", F.col("v").alias("w")), "j")
 
 
@@ -247,12 +247,12 @@ def est_spherical_gmm(spark, d):
 def est_hmm_from_views(spark, d):
     rows = chains(spark, d)
     tri = N.counts(N.windows(rows, 3), "w0", "w1", "w2")
-    return _matrix(spark, spectral.hmm_from_views(N.views(tri), spectral.first_tokens(rows, D), D, 2).t)
+    return _matrix(spark, spectral.hmm_from_views(N.views(tri), spectral.first_tokens(rows, D), D, 2, fewer=True).t)
 
 
 @query("est_gmm_from_views")
 def est_gmm_from_views(spark, d):
-    return spectral.gmm_from_views(wide_views(spark, d), (16, 16, 16), 2)[2]
+    return spectral.gmm_from_views(wide_views(spark, d), (16, 16, 16), 2, fewer=True)[2]
 
 
 @query("est_regression_mixture")
@@ -318,7 +318,7 @@ def est_brown_costs(spark, d):
 @query("est_word_clusters")
 def est_word_clusters(spark, d):
     tri = saved(trigram_counts(spark, d), "trigrams")
-    return spectral.word_clusters(tri, tri.select(F.col("w0").alias("tok")).union(tri.select("w1")).union(tri.select("w2")).distinct(), 2)
+    return spectral.word_clusters(tri, tri.select(F.col("w0").alias("tok")).union(tri.select("w1")).union(tri.select("w2")).distinct(), 2, fewer=True)
 
 
 @query("est_kmeans_pp_init")
@@ -349,7 +349,7 @@ def est_measurement_em(spark, d):
 def est_spectral_measurements(spark, d):
     """Expected counts of (state, symbol) in a sequence: its mean length times state share times emission, from the views."""
     rows = chains(spark, d)
-    w, o = spectral.three_view_exact(N.views(N.counts(N.windows(rows, 3), "w0", "w1", "w2")), D, 2)
+    w, o = spectral.three_view_exact(N.views(N.counts(N.windows(rows, 3), "w0", "w1", "w2")), D, 2, fewer=True)
     length = sequences(spark, d).agg(F.avg(F.size("x"))).first()[0]
     return _matrix(spark, length * w[:, None] * o.T)
 
