@@ -103,6 +103,15 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept[1] > 0.99 and kept[0] < 0.2
 
 
+def test_quality_drops_symbols_among_constant_texts(spark):
+    """A text with 8.4 % symbols in a group that has none lies beyond the chi-square's tail of 1e-4."""
+    texts = [" ".join(f"w{chr(97 + i)}{k:03}" for k in range(100)) for i in range(20)]
+    texts.append(" ".join("#" + w[1:] if k < 42 else w for k, w in enumerate(texts[0].split(" "))))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.rate(docs).collect()}
+    assert kept == {i: i < 20 for i in range(21)}
+
+
 def test_fingerprints_and_components(spark):
     xxh = pytest.importorskip("xxhash")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
