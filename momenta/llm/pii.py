@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from momenta.llm.common import let, saved
 
 KEY = "momenta"
-MAX_ROUNDS = 40
+#: Attempts in a value's own format; each one after them draws a further syllable or character, so that room outgrows the values.
+OWN_FORMAT = 6
 
 _MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Господин|г-н|Κύριος"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Signora|Госпожа|г-жа|Κυρία"
@@ -81,7 +82,9 @@ def _parts(match: Column) -> Column:
         full = F.array(title, part(F.concat(F.lit("name_"), gender), F.get(w, 1)), part(F.lit(None), F.lit(" ")), last(F.get(w, 2)))
         return F.when(F.size(w) > 2, full).otherwise(F.array(title, last(F.get(w, 1))))
 
-    return let(_type(match), lambda t: F.when(t == "person", let(F.split(match, " "), person)).otherwise(F.array(part(t, match))))
+    # a masked secret (no letter or digit) hides nothing
+    one = lambda t: F.array(part(F.when(match.rlike(r"[\p{L}\p{N}]"), t), match))
+    return let(_type(match), lambda t: F.when(t == "person", let(F.split(match, " "), person)).otherwise(one(t)))
 
 
 def entities(text: Column) -> Column:
@@ -98,8 +101,12 @@ def _stream(seed: Column, size: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), (size / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 256)), "")
 
 
+def _texts(options: list[str]) -> Column:
+    return F.array(*map(F.lit, options))
+
+
 def _pick(options: list[str], byte: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), byte % len(options) + 1)
+    return F.element_at(_texts(options), byte % len(options) + 1)
 
 
 def _shaped(value: Column, seed: Column) -> Column:
@@ -127,14 +134,21 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((10 - total % 10) % 10).cast("string"))
 
 
-def _name(kind: Column, value: Column, seed: Column) -> Column:
+def _wider(options: Column, seed: Column, attempt: Column) -> Column:
+    """What a surrogate is widened by: one of options for each attempt beyond OWN_FORMAT."""
+    more = F.greatest(attempt - (OWN_FORMAT - 1), F.lit(0))
+    drawn = lambda stream: F.transform(F.sequence(F.lit(1), more), lambda i: F.element_at(options, _byte(stream, i) % F.size(options) + 1))
+    return F.when(more > 0, F.array_join(let(_stream(F.concat_ws("|", seed, F.lit("wider")), more), drawn), "")).otherwise("")
+
+
+def _name(kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
     def drawn(stream: Column) -> Column:
         out = None
         for script, pattern in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
             syllables, endings = _SYLLABLES[script]
             end = reduce(lambda a, e: F.when(kind == f"name_{e[0]}", _pick(e[1].split(), _byte(stream, F.lit(3)))).otherwise(a), endings.items(), F.lit(""))
             stem = [_pick(syllables.split(), _byte(stream, F.lit(k))) for k in range(3)]
-            name = F.initcap(F.concat(stem[0], stem[1], F.when(_byte(stream, F.lit(4)) % 2 == 0, stem[2]).otherwise(""), end))
+            name = F.initcap(F.concat(stem[0], stem[1], F.when(_byte(stream, F.lit(4)) % 2 == 0, stem[2]).otherwise(""), _wider(_texts(syllables.split()), seed, attempt), end))
             out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
         return out
 
@@ -142,28 +156,35 @@ def _name(kind: Column, value: Column, seed: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of a value; another attempt gives another. An e-mail keeps its top-level domain, and one domain always becomes the same."""
+    """The surrogate of a value; another attempt gives another. An e-mail keeps its top-level domain, and one domain always becomes the same.
+
+    From attempt OWN_FORMAT on it has that many more syllables (names), letters (e-mails, before the @) or digits.
+    """
     seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
     octets = let(_stream(seed, F.lit(4)), lambda s: F.concat_ws(".", *((_byte(s, F.lit(k)) % 254 + 1).cast("string") for k in range(4))))
     domain = F.regexp_extract(value, r"@(.*)\.[^.]*$", 1)
-    mail = F.concat(_shaped(F.regexp_extract(value, "^([^@]*)@", 1), seed), F.lit("@"), _shaped(domain, F.concat_ws("|", F.lit(key), F.lit("domain"), domain)), F.regexp_extract(value, r"(\.[^.]*)$", 1))
+    letters, digits = (_wider(_texts(list(c)), seed, attempt) for c in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
+    mail = F.concat(_shaped(F.regexp_extract(value, "^([^@]*)@", 1), seed), letters, F.lit("@"), _shaped(domain, F.concat_ws("|", F.lit(key), F.lit("domain"), domain)), F.regexp_extract(value, r"(\.[^.]*)$", 1))
     iban = F.concat(F.substring(value, 1, 2), _shaped(F.substring(value, F.lit(3), F.length(value) - 2), seed))
     code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))", 1)
     phone = F.concat(code, _shaped(F.substring(value, F.length(code) + 1, F.length(value)), seed))
-    out = F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "phone", phone)
-    return out.when(kind == "card", _luhn(_shaped(value, seed))).when(kind.startswith("name_"), _name(kind, value, seed)).otherwise(_shaped(value, seed))
+    name = _name(kind, value, seed, attempt)
+    out = F.when(kind == "email", mail).when(kind == "card", _luhn(F.concat(_shaped(value, seed), digits))).when(kind.startswith("name_"), name)
+    own = F.when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "phone", phone).otherwise(_shaped(value, seed))
+    return out.otherwise(F.concat(own, digits))
 
 
 def assign(values: DataFrame, key: str = KEY) -> DataFrame:
     """(type, value, surrogate) for the distinct (type, value): no surrogate twice in a type, none that is a value of the type.
 
     Each round hashes anew the values that collide: of values with one surrogate those that had it before keep it, else
-    the smallest does. Rounds work on all values by aggregation; they end as collisions are rare.
+    the smallest does. Rounds work on all values by aggregation; they end as collisions are rare or, where a format
+    has hardly more room than values, as the attempts from OWN_FORMAT on widen it by a factor of ten or more each.
     """
     draw = lambda df: df.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.col("attempt"), key))
     state = saved(draw(values.select("type", "value").withColumn("attempt", F.lit(0))), "surrogates")
     taken = values.select("type", F.col("value").alias("surrogate"), F.lit(None).cast("struct<attempt:int,value:string>").alias("who"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         claims = state.select("type", "surrogate", F.struct("attempt", "value").alias("who")).unionByName(taken)
         groups = claims.groupBy("type", "surrogate").agg(F.count("*").alias("n"), F.count("who").alias("m"), F.min("who").alias("keeps"))
         clash = groups.where("n > 1 and m > 0").select("type", "surrogate", F.when(F.col("n") == F.col("m"), F.col("keeps")).alias("keeps"))
@@ -172,7 +193,6 @@ def assign(values: DataFrame, key: str = KEY) -> DataFrame:
         if lost.isEmpty():
             return state.select("type", "value", "surrogate")
         state = saved(state.join(lost, ["type", "value"], "left_anti").unionByName(draw(lost)), "surrogates")
-    raise RuntimeError("surrogates still collide: a type has more values than its format has room for")
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:

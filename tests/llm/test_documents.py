@@ -349,3 +349,15 @@ def test_surrogates_stay_distinct(spark):
     got = pii.assign(values).collect()
     assert len({r.surrogate for r in got}) == len(got) == values.count()
     assert not {r.surrogate for r in got} & {r.value for r in got}
+
+
+def test_surrogates_where_a_format_has_no_room(spark):
+    """Every form of a format is a value: all get surrogates, wider ones. Masked secrets stay."""
+    pins = [("secret", f"{c}{i}") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for i in range(10)]
+    got = {r.value: r.surrogate for r in pii.assign(spark.createDataFrame(pins, "type string, value string")).collect()}
+    assert len(set(got.values())) == len(got) == 260
+    assert all(re.fullmatch(r"[A-Z]\d{2,}", x) for x in got.values())
+    texts = ['password = "******", token: "......"', 'password = "******" and token = "a1b2c3"']
+    masked = sorted(tuple(r) for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert masked[0] == (0, texts[0], 0, []) and masked[1][2:] == (1, ["secret"])
+    assert masked[1][1].startswith('password = "******" and token = "') and "a1b2c3" not in masked[1][1]
