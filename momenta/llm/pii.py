@@ -22,7 +22,8 @@ OWN_FORMAT = 6
 _MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Господин|г-н|Κύριος"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Signora|Госпожа|г-жа|Κυρία"
 _NEUTRAL = "Dr|Prof"
-_NAME = r"\p{Lu}\p{Ll}[\p{Ll}'’-]{0,30}"
+#: Two letters or more with inner capitals, apostrophes and hyphens, to the end of the word; a possessive 's is not part of it.
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]\p{L}))(?:['’-](?![sS](?![\p{L}\p{M}]))[\p{L}\p{M}]++){0,8}+(?![\p{L}\p{M}])"
 
 #: type -> pattern. Quantifiers are possessive or bounded and starts are tied down, so time is linear in a text without blanks too.
 PATTERNS = {
@@ -199,7 +200,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities, types) of every row of docs (doc_id, text; other columns are not read).
 
     text has every entity replaced, n_entities counts them (a name's first and last part are two), types are the
-    distinct types, sorted. A null text stays null; texts without entities stay as they are. One value has one
+    distinct types, sorted. A name found behind a title is replaced (and counted) wherever it is a word of that text. A null text stays null; texts without entities stay as they are. One value has one
     surrogate in the whole table, and the same key gives the same surrogates for the same table. Rows that repeat a
     doc_id each come back. Rows without doc_id are replaced like the others. An empty table gives none.
     """
@@ -208,23 +209,43 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = rows.withColumn("row_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2("text", 256))))
     found = rows.select("row_key", F.explode(F.array_distinct(F.flatten(entities(F.col("text"))))).alias("e")).select("row_key", "e.*").where("type is not null")
     found = saved(found, "entities")
-    values = found.select("type", "value").distinct()
-    drawn = assign(saved(values, "values"), key)
+    # one gender for a first name, whatever its titles: f, m or, if no title tells, n
+    first = found.where("type in ('name_f', 'name_m', 'name_n')").groupBy("value").agg(F.min("type").alias("gender"))
+    kinds = found.select("type", "value").distinct().join(first, "value", "left")
+    kinds = kinds.select("type", "value", F.when(F.col("type") == "name_l", "name_l").otherwise(F.when(F.col("type").startswith("name_"), F.col("gender")).otherwise(F.col("type"))).alias("as"))
+    kinds = saved(kinds, "values")
+    drawn = assign(kinds.select(F.col("as").alias("type"), "value").distinct(), key).withColumnRenamed("type", "as")
+    drawn = kinds.join(drawn, ["as", "value"]).drop("as")
     name = F.concat_ws(":", "type", "value")
     maps = found.distinct().join(drawn, ["type", "value"]).groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("surrogate")))).alias("to"))
     out = rows.join(maps.withColumnRenamed("row_key", "map_key"), rows["row_key"] == F.col("map_key"), "left")
 
+    # mentions without a title of the names found in the text: last names before first names, longer ones first
+    names = F.filter(F.map_keys("to"), lambda k: k.startswith("name_"))
+    values = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda k: F.substring(k, F.lit(8), F.length(k))))))
+    mention = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(values, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+
+    def named(v: Column) -> Column:
+        return F.coalesce(*(F.try_element_at(F.col("to"), F.concat(F.lit(f"name_{g}:"), v)) for g in "lfmn"))
+
+    def gap(g: Column) -> Column:
+        new = F.transform(F.regexp_extract_all(g, F.col("mention"), F.lit(0)), named)
+        return F.array_join(F.flatten(F.zip_with(F.split(g, F.col("mention"), -1), new, lambda x, y: F.array(x, F.coalesce(y, F.lit(""))))), "")
+
     def replaced(e: Column) -> Column:
         one = lambda p: F.when(p["type"].isNull(), p["value"]).otherwise(F.try_element_at(F.col("to"), F.concat_ws(":", p["type"], p["value"])))
         new = F.transform(e, lambda m: F.array_join(F.transform(m, one), ""))
-        gaps = F.split("text", ANY, -1)
+        gaps = F.col("gaps")
+        gaps = F.when(F.col("mention").isNull(), gaps).otherwise(F.transform(gaps, gap))
         return F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "")
 
+    out = out.withColumns({"mention": F.when(F.size(names) > 0, mention), "gaps": F.when(F.col("to").isNotNull(), F.split("text", ANY, -1))})
+    mentions = F.aggregate(F.transform("gaps", lambda g: F.size(F.regexp_extract_all(g, F.col("mention"), F.lit(0)))), F.lit(0), lambda a, n: a + n)
     out = out.withColumn("e", F.when(F.col("to").isNotNull(), entities(F.col("text"))))
     kinds = F.filter(F.transform(F.flatten("e"), lambda p: p["type"]), lambda t: t.isNotNull())
     return out.select(
         "doc_id",
         F.when(F.col("to").isNull(), F.col("text")).otherwise(replaced(F.col("e"))).alias("text"),
-        F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_entities"),
+        (F.coalesce(F.size(kinds), F.lit(0)) + F.when(F.col("mention").isNotNull(), mentions).otherwise(0)).cast("long").alias("n_entities"),
         F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")).alias("types"),
     )

@@ -361,3 +361,18 @@ def test_surrogates_where_a_format_has_no_room(spark):
     masked = sorted(tuple(r) for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert masked[0] == (0, texts[0], 0, []) and masked[1][2:] == (1, ["secret"])
     assert masked[1][1].startswith('password = "******" and token = "') and "a1b2c3" not in masked[1][1]
+
+
+def test_whole_names_and_their_mentions(spark):
+    rows = [
+        (1, "Mr McDonald and Dr Jean-Luc Picard met Mr O'Brien. McDonald, Picard's and O'Brien stay; Picards, Lucas too."),
+        (2, "Dr John Smith, Mr John Smith's and Smith; Smithson."),
+        (3, "Smith is not known here."),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    w = r"(\w+)"
+    one = re.fullmatch(rf"Mr {w} and Dr {w} {w} met Mr {w}\. {w}, {w}'s and {w} stay; Picards, Lucas too\.", got[1].text)
+    assert one and one[1] == one[5] and one[3] == one[6] and one[4] == one[7] and not set(one.groups()) & {"McDonald", "Jean", "Luc", "Picard", "Brien"}
+    two = re.fullmatch(rf"Dr {w} {w}, Mr {w} {w}'s and {w}; Smithson\.", got[2].text)
+    assert two and two[1] == two[3] and two[2] == two[4] == two[5] and "John" not in two.groups() and "Smith" not in two.groups()
+    assert got[3].text == rows[2][1] and (got[1].n_entities, got[2].n_entities) == (7, 5)
