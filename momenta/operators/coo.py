@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from momenta.operators.ngrams import dense_index, share, within
+
 
 def contract(t: DataFrame, factor: DataFrame, axis: str, to: str, index: str = "i", out: str = "j") -> DataFrame:
     """Sum over axis of t * factor: the axis gives way to the column `to`, the factor's other index.
@@ -93,27 +95,25 @@ def permute(m: DataFrame, axis: str, permutation: DataFrame) -> DataFrame:
 
 def normalized(m: DataFrame, *group: str) -> DataFrame:
     """v over its sum in the group: stochastic rows or columns."""
-    return m.withColumn("v", F.col("v") / F.sum("v").over(Window.partitionBy(*group)))
+    return share(m, "v", *group, name="v").select(m.columns)
 
 
 def minmax_rows(m: DataFrame, row: str = "i") -> DataFrame:
     """Rows scaled to [-1, 1] by their least and greatest values, with both; a constant row becomes 0."""
-    by = Window.partitionBy(row)
-    low, high = F.min("v").over(by), F.max("v").over(by)
-    return m.select("*", low.alias("low"), high.alias("high")).withColumn("v", F.when(F.col("high") > F.col("low"), 2 * (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) - 1).otherwise(F.lit(0.0)))
+    return within(m, [row], F.min("v").alias("low"), F.max("v").alias("high")).withColumn("v", F.when(F.col("high") > F.col("low"), 2 * (F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) - 1).otherwise(F.lit(0.0)))
 
 
 def maxabs(m: DataFrame, by: str) -> DataFrame:
     """v over the greatest |v| of its row or column, with that factor; an all-zero one stays."""
-    top = F.max(F.abs("v")).over(Window.partitionBy(by))
-    return m.select("*", top.alias("factor")).withColumn("v", F.when(F.col("factor") > 0, F.col("v") / F.col("factor")).otherwise(F.col("v")))
+    return within(m, [by], F.max(F.abs("v")).alias("factor")).withColumn("v", F.when(F.col("factor") > 0, F.col("v") / F.col("factor")).otherwise(F.col("v")))
 
 
 def simplex_columns(m: DataFrame, smoothing: float = 0.0, column: str = "j") -> DataFrame:
     """Columns onto the simplex: sign turned if fewer than half the entries are positive, clipped, smoothed, normalised."""
-    by = Window.partitionBy(column)
-    sign = F.when(2 * F.sum(F.when(F.col("v") > 0, 1).otherwise(0)).over(by) < F.count("*").over(by), -1.0).otherwise(1.0)
-    return normalized(m.withColumn("v", F.col("v") * sign).withColumn("v", F.greatest("v", F.lit(0.0)) + smoothing), column)
+    sums = within(m, [column], F.count_if(F.col("v") > 0).alias("_up"), F.count("*").alias("_n"))
+    sign = F.when(2 * F.col("_up") < F.col("_n"), -1.0).otherwise(1.0)
+    turned = sums.withColumn("v", F.greatest(F.col("v") * sign, F.lit(0.0)) + smoothing).select(m.columns)
+    return normalized(turned, column)
 
 
 def allclose(a: DataFrame, b: DataFrame, eps: float) -> DataFrame:
@@ -152,8 +152,8 @@ def canonical(m: DataFrame) -> DataFrame:
     """m with its rows in the order of the column through the least element and its columns in the order of the row through it."""
     least = m.agg(F.min(F.struct("v", "i", "j")).alias("_m")).select(F.col("_m.i").alias("_i"), F.col("_m.j").alias("_j"))
     at = m.join(F.broadcast(least))
-    rows = at.where("j = _j").select("i", (F.row_number().over(Window.orderBy("v", "i")) - 1).alias("_r"))
-    columns = at.where("i = _i").select("j", (F.row_number().over(Window.orderBy("v", "j")) - 1).alias("_c"))
+    order = lambda line, c, name: dense_index(line.select(c, "v").repartitionByRange("v", c).sortWithinPartitions("v", c), name).select(c, name)
+    rows, columns = order(at.where("j = _j"), "i", "_r"), order(at.where("i = _i"), "j", "_c")
     return m.join(rows, "i").join(columns, "j").select(F.col("_r").alias("i"), F.col("_c").alias("j"), "v")
 
 

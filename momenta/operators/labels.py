@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from momenta.operators.ngrams import transitions
+from momenta.operators.ngrams import share, transitions
 from momenta.plans.small import best_matching
 
 
 def _stochastic(counts: DataFrame, smoothing: float, group: list[str]) -> DataFrame:
-    n = F.col("n") + smoothing
-    return counts.withColumn("p", n / F.sum(n).over(Window.partitionBy(*group)) if group else n / F.sum(n).over(Window.partitionBy(F.lit(0))))
+    return share(counts.withColumn("n", F.col("n") + smoothing), "n", *group)
 
 
 def supervised_chain(tokens: DataFrame, smoothing: float = 0.0, first_only: bool = False) -> DataFrame:
@@ -43,7 +42,7 @@ def feature_counts(tokens: DataFrame) -> DataFrame:
 
 
 def top_emissions(emissions: DataFrame, m: int) -> DataFrame:
-    """The m likeliest tokens of each state, their probabilities summing to 1 again; of equal ones the smaller token."""
+    """The m likeliest tokens of each state, their probabilities summing to 1 again; of equal ones the smaller token. Tasks pass on m rows of a state."""
     best = emissions.withColumn("_r", F.row_number().over(Window.partitionBy("h1").orderBy(F.col("p").desc(), "h2"))).where(F.col("_r") <= m).drop("_r")
     return best.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("h1")))
 
@@ -58,7 +57,7 @@ def many_to_one(conf: DataFrame) -> DataFrame:
 
 
 def one_to_one(conf: DataFrame) -> DataFrame:
-    """(gold, pred, n, accuracy) of the matching of labels with the most hits; the table of labels is matched on the driver."""
+    """(gold, pred, n, accuracy) of the matching of labels with the most hits; the table of labels, of which there are some thousands at most, is matched on the driver."""
     rows = conf.collect()
     gold, pred = sorted({r.gold for r in rows}, key=str), sorted({r.pred for r in rows}, key=str)
     n = {(r.gold, r.pred): r.n for r in rows}

@@ -46,10 +46,10 @@ def distances(points: DataFrame, centres: DataFrame) -> DataFrame:
     return rows.select("id", F.col("c.k").alias("k"), F.sqrt(_squared(F.col("x"), F.col("c.m"))).alias("dist"))
 
 
-def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, k, dist) of the nearest centre; of equally near ones the lowest k. Found in the row, without a shuffle of points."""
+def nearest(points: DataFrame, centres: DataFrame, *carry: str) -> DataFrame:
+    """(id, k, dist) and the carried columns of the nearest centre; of equally near ones the lowest k. Found in the row, without a shuffle of points."""
     best = F.array_min(F.transform("_c", lambda c: F.struct(F.round(_squared(F.col("x"), c["m"]), 9).alias("r"), c["k"].alias("k"), _squared(F.col("x"), c["m"]).alias("d"))))
-    return points.crossJoin(F.broadcast(_components(centres))).select("id", best.alias("b")).select("id", F.col("b.k").alias("k"), F.sqrt("b.d").alias("dist"))
+    return points.crossJoin(F.broadcast(_components(centres))).select("id", *carry, best.alias("b")).select("id", F.col("b.k").alias("k"), F.sqrt("b.d").alias("dist"), *carry)
 
 
 def gaussian_scores(points: DataFrame, centres: DataFrame, sigma2: float, *carry: str) -> DataFrame:
@@ -85,6 +85,18 @@ def gmm_step(points: DataFrame, centres: DataFrame, sigma2: float, d: int) -> Da
     return out.select("k", "w", "m", "n", ((F.col("q") / F.col("n") - V.dot(F.col("m"), F.col("m"))) / d).alias("var"))
 
 
+def multiview_scores(points: DataFrame, centres: DataFrame, sigmas: list[float], sizes: tuple[int, ...]) -> DataFrame:
+    """points (id, x1, x2, ...) with s as gaussian_scores() gives it; a centre's m has the views one after the other, each view its own variance."""
+    start = [sum(sizes[:v]) + 1 for v in range(len(sizes))]
+    const = sum(-n / 2 * math.log(2 * math.pi * s) for n, s in zip(sizes, sigmas, strict=True))
+
+    def one(c: Column) -> Column:
+        near = [_squared(F.col(f"x{v + 1}"), F.slice(c["m"], start[v], n)) / (2 * sigmas[v]) for v, n in enumerate(sizes)]
+        return F.struct(c["k"].alias("k"), (F.ln(c["w"]) + const - sum(near[1:], near[0])).alias("lp"))
+
+    return points.crossJoin(F.broadcast(_components(centres))).withColumn("s", F.transform("_c", one)).drop("_c")
+
+
 def least_residual(y: Column, x: Column, betas: list[list[float]]) -> Column:
     return F.array_min(F.array(*((y - linear(b)(x)) * (y - linear(b)(x)) for b in betas)))
 
@@ -155,15 +167,28 @@ def kernel_smooth(df: DataFrame, landmarks: DataFrame) -> DataFrame:
     return rows.select(F.col("c.k").alias("k"), "y", w.alias("w")).groupBy("k").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
 
 
+def kernel_smooth_all(points: DataFrame, landmarks: DataFrame, d: int) -> DataFrame:
+    """(k, j, y): for every landmark (k, m) the mean of each of the d coordinates of points (id, x) with weights exp(-|m - x|^2)."""
+    rows = points.crossJoin(F.broadcast(_components(landmarks))).select("x", F.explode("_c").alias("c"))
+    rows = rows.select(F.col("c.k").alias("k"), "x", F.exp(-_squared(F.col("x"), F.col("c.m"))).alias("w"))
+    sums = rows.groupBy("k").agg(F.array(*(F.sum(F.col("w") * F.col("x")[j]) for j in range(d))).alias("s"), F.sum("w").alias("w"))
+    return sums.select("k", F.posexplode("s").alias("j", "s"), "w").select("k", "j", (F.col("s") / F.col("w")).alias("y"))
+
+
+def _dealt(seed: int, *columns: str) -> Column:
+    """A number of 28 bits from the md5 of the seed and the columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))), 1, 7), 16, 10).cast("long")
+
+
 def smooth(df: DataFrame, m: int, d: int, seed: int = 0) -> DataFrame:
     """(g, y, x, n): the averages of m groups of rows, dealt by a hash of id and n."""
-    g = F.pmod(F.xxhash64(F.lit(seed), "id", "n"), F.lit(m)).alias("g")
+    g = (_dealt(seed, "id", "n") % m).alias("g")
     return df.groupBy(g).agg(F.avg("y").alias("y"), F.array(*(F.avg(F.col("x")[i]) for i in range(d))).alias("x"), F.count("*").alias("n"))
 
 
 def smooth_random(df: DataFrame, m: int, d: int, seed: int = 0) -> DataFrame:
     """(g, y, x): m averages over all rows, each with its own weights from a hash."""
-    w = lambda k: F.pmod(F.xxhash64(F.lit(seed), k, "id", "n"), F.lit(1000)) / 1000.0
+    w = lambda k: _dealt(seed, k, "id", "n") % 1000 / 1000.0
     rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("g")).withColumn("w", w("g"))
     mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
     return rows.groupBy("g").agg(mean(F.col("y")).alias("y"), F.array(*(mean(F.col("x")[i]) for i in range(d))).alias("x"))

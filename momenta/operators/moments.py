@@ -13,6 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def _dense(column: pa.Array) -> np.ndarray:
+    """Numbers as they lie, or arrays of one length as rows of a matrix."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _blocks(df: DataFrame, columns: list[str], weight: str | None, spec: str, out: list[str], mean: bool) -> DataFrame:
     """einsum of the columns (and the weight, as n) summed over all rows: (out, v)."""
     names = [*columns, *([weight] if weight else [])]
@@ -22,7 +30,7 @@ def _blocks(df: DataFrame, columns: list[str], weight: str | None, spec: str, ou
         for batch in batches:
             if not len(batch):
                 continue
-            arrays = [np.array(batch[c].to_pylist(), np.float64) for c in names]
+            arrays = [_dense(batch[c]) for c in names]
             part = np.einsum(spec, *arrays)
             total, count = part if total is None else total + part, count + len(batch)
         if total is not None:
@@ -36,6 +44,11 @@ def _blocks(df: DataFrame, columns: list[str], weight: str | None, spec: str, ou
     return parts.groupBy(*out).agg(value.alias("v"))
 
 
+def join_views(x1: DataFrame, x2: DataFrame, x3: DataFrame, id_: str = "id") -> DataFrame:
+    """(id, x1, x2, x3) of the points that all three tables (id, x1), (id, x2), (id, x3) have; one exchange by id for each."""
+    return x1.select(id_, "x1").join(x2.select(id_, "x2"), id_).join(x3.select(id_, "x3"), id_)
+
+
 def first_moment(df: DataFrame, x: str = "x1") -> DataFrame:
     return _blocks(df, [x], None, "na->a", ["i"], True)
 

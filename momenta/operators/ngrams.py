@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momenta.functions.text import DIGIT, LOWER, MISC, UPPER, word_class
+from momenta.sources.scratch import saved
 
 
 def word_counts(tokens: DataFrame, word: str = "word") -> DataFrame:
@@ -29,8 +36,12 @@ def sorted_ids(words: DataFrame, word: str = "word") -> DataFrame:
 
 
 def dense_index(df: DataFrame, name: str) -> DataFrame:
-    """df with the number of a row in the order of partitions and the rows in them, from 0."""
+    """df with the number of a row in the order of partitions and the rows in them, from 0.
+
+    Places are written down first, so that sizes and numbers are of one and the same partitioning.
+    """
     place = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.expr("_at & 8589934591"))
+    place = saved(place, "places")
     sizes = place.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return place.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
@@ -56,6 +67,27 @@ def encode_top(tokens: DataFrame, top: DataFrame, k: int) -> DataFrame:
     return joined.select("seq_id", "pos", F.coalesce("tok", number[word_class(F.col("word"))]).cast("int").alias("tok"))
 
 
+def encode_packed(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(seq_id, x) of docs (seq_id, ws ARRAY<STRING>) as encode_top() encodes with these words, in order of rank.
+
+    A batch's distinct words are looked up once and its tokens take their numbers by place.
+    """
+    k = len(words)
+    classes = {"Lu": k, "Nd": k + 1, "Ll": k + 2}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {w: i for i, w in enumerate(words)}
+        for batch in batches:
+            ws = batch["ws"]
+            flat = ws.flatten().dictionary_encode()
+            known = [rank.get(w, classes.get(unicodedata.category(w[0]), k + 3)) for w in flat.dictionary.to_pylist()]
+            x = pa.array(known, pa.int32()).take(flat.indices)
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(ws), 0).to_numpy())].astype(np.int32)
+            yield pa.record_batch([batch["seq_id"], pa.ListArray.from_arrays(pa.array(ends), x)], ["seq_id", "x"])
+
+    return docs.select(F.col("seq_id").cast("long").alias("seq_id"), "ws").mapInArrow(run, "seq_id long, x array<int>")
+
+
 def pack(tokens: DataFrame, value: str = "tok", name: str = "x") -> DataFrame:
     """(seq_id, x): each sequence's values in order as an array."""
     packed = F.array_sort(F.collect_list(F.struct("pos", value)))
@@ -91,21 +123,30 @@ def counts(windows_: DataFrame, *keys: str) -> DataFrame:
 def views(trigrams: DataFrame, order: tuple[int, int, int] = (0, 2, 1)) -> DataFrame:
     """(view, x1, x2, x3, n, p): the four count tables of three views, from one table of trigram counts and one pass.
 
-    trigrams is (w0, w1, w2, n); view 1, 2 and 3 are w[order]. Tables: 13, 12, 32 and 123; a column that a table lacks is null.
+    trigrams is (w0, w1, w2, n); view 1, 2 and 3 are w[order]. Tables: 13, 12, 32 and 123; a column that a table lacks is
+    null. Each table's counts sum to the number of all trigrams, so that is one row for all four.
     """
     t = trigrams.select(*(F.col(f"w{o}").alias(f"x{i + 1}") for i, o in enumerate(order)), "n")
     sets = t.groupingSets([["x1", "x3"], ["x1", "x2"], ["x2", "x3"], ["x1", "x2", "x3"]], "x1", "x2", "x3").agg(F.sum("n").alias("n"), F.grouping_id("x1", "x2", "x3").alias("g"))
     name = F.create_map(*(F.lit(v) for k in ((2, "13"), (1, "12"), (4, "32"), (0, "123")) for v in k))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("g"))
-    return sets.select(name[F.col("g").cast("int")].alias("view"), "x1", "x2", "x3", "n", share.alias("p"))
+    total = t.agg(F.sum("n").alias("_total"))
+    sets = sets.join(F.broadcast(total))
+    return sets.select(name[F.col("g").cast("int")].alias("view"), "x1", "x2", "x3", "n", (F.col("n") / F.col("_total")).alias("p"))
 
 
 def share(df: DataFrame, value: str, *partition: str, name: str = "p") -> DataFrame:
-    """df with value over its sum within the partition (all rows if none is named)."""
+    """df with value over its sum within the partition (all rows if none is named). Partitions are summed and joined, so a large one isn't gathered."""
     if not partition:
         total = df.agg(F.sum(value).alias("_total"))
         return df.join(F.broadcast(total)).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
-    return df.withColumn(name, F.col(value) / F.sum(value).over(Window.partitionBy(*partition)))
+    return within(df, list(partition), F.sum(value).alias("_total")).withColumn(name, F.col(value) / F.col("_total")).drop("_total")
+
+
+def within(df: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+    """df with aggregates of its groups as columns behind its own; null keys are a group."""
+    totals = df.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(*sums)
+    joined = df.join(totals, [df[c].eqNullSafe(totals[f"_by_{c}"]) for c in by])
+    return joined.drop(*(f"_by_{c}" for c in by))
 
 
 def rank_in(partition: list[str], *order: Column) -> Column:

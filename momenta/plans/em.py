@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from momenta.functions import vectors as V
 from momenta.operators import mixtures as X
+from momenta.sources.scratch import saved
 
 OnStep = Callable[[int, object, float], None]
 
@@ -25,7 +27,7 @@ def kmeans_pp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     for n in range(1, k):
         centres = spark.createDataFrame([(i, m) for i, m in enumerate(picked)], "k int, m array<double>")
         u = (F.pmod(F.xxhash64(F.lit(seed + n), "id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        near = points.join(X.nearest(points, centres).select("id", "dist"), "id").where("dist > 0")
+        near = X.nearest(points, centres, "x").where("dist > 0")
         top = near.orderBy((F.ln(u) / (F.col("dist") * F.col("dist"))).desc(), "id").select("x").first()
         if top is None:
             break
@@ -33,18 +35,61 @@ def kmeans_pp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return spark.createDataFrame([(i, m) for i, m in enumerate(picked)], "k int, m array<double>")
 
 
-def fit_gmm(points: DataFrame, k: int, steps: int = 10, seed: int = 0, on_step: OnStep | None = None) -> tuple[DataFrame, float, list[float]]:
-    """((k, m, w), variance, log-likelihoods) of a mixture of spherical Gaussians over points (id, x)."""
+def _settled(history: list[float], gain: float) -> bool:
+    """Whether the last step raised the log-likelihood by no more than that part of it."""
+    return gain > 0 and len(history) > 1 and history[-1] - history[-2] <= gain * abs(history[-2])
+
+
+def multiview_step(points: DataFrame, centres: DataFrame, sigmas: list[float], sizes: tuple[int, ...]) -> tuple[DataFrame, list[float]]:
+    """((k, w, m), variances): one step of EM over points (id, x1, x2, ...), each view with a variance of its own; weights count one more point."""
+    scored = X.multiview_scores(points, centres, sigmas, sizes)
+    names = [f"x{v + 1}" for v in range(len(sizes))]
+    rows = X.responsibilities(scored).select("k", "r", F.concat(*names).alias("x"))
+    r, x = F.col("r"), F.col("x")
+    sums = rows.groupBy("k").agg(F.sum(r).alias("n"), F.array(*(F.sum(r * x[i]) for i in range(sum(sizes)))).alias("s"), F.array(*(F.sum(r * x[i] * x[i]) for i in range(sum(sizes)))).alias("q"))
+    found = sums.collect()
+    total, spread = sum(c.n for c in found), np.zeros(sum(sizes))
+    for c in found:
+        spread += np.array(c.q) - np.array(c.s) ** 2 / max(c.n, 1e-300)
+    cuts = np.cumsum(sizes)[:-1]
+    variances = [max(float(part.sum()) / (total * n), 1e-9) for part, n in zip(np.split(spread, cuts), sizes, strict=True)]
+    weight = sum(c.n + 1 for c in found)
+    rows = [(c.k, float((c.n + 1) / weight), [float(v / max(c.n, 1e-300)) for v in c.s]) for c in found]
+    return points.sparkSession.createDataFrame(rows, "k int, w double, m array<double>"), variances
+
+
+def fit_multiview(points: DataFrame, k: int, sizes: tuple[int, ...], steps: int = 10, seed: int = 0, gain: float = 0.0) -> tuple[DataFrame, list[float], list[float]]:
+    """((k, w, m), variances, log-likelihoods) of a mixture over views, until a step gains less than that part of the log-likelihood."""
+    points = points.persist()
+    try:
+        joined = points.select("id", F.concat(*(f"x{v + 1}" for v in range(len(sizes)))).alias("x"))
+        centres = kmeans_pp(joined, k, seed).withColumn("w", F.lit(1.0 / k))
+        spread = X.nearest(joined, centres).agg(F.avg(F.col("dist") * F.col("dist")) / sum(sizes)).first()[0] or 1.0
+        sigmas, history = [spread] * len(sizes), []
+        for _ in range(steps):
+            history.append(X.loglik(X.multiview_scores(points, centres, sigmas, sizes)).first().loglik)
+            if _settled(history, gain):
+                break
+            centres, sigmas = multiview_step(points, centres, sigmas, sizes)
+        return centres, sigmas, history
+    finally:
+        points.unpersist()
+
+
+def fit_gmm(points: DataFrame, k: int, steps: int = 10, seed: int = 0, on_step: OnStep | None = None, gain: float = 0.0) -> tuple[DataFrame, float, list[float]]:
+    """((k, m, w), variance, log-likelihoods) of a mixture of spherical Gaussians over points (id, x), until a step gains less than that part of the log-likelihood."""
     spark, points = points.sparkSession, points.select("id", "x").persist()
     try:
         centres = kmeans_pp(points, k, seed)
         n = centres.count()
         centres = centres.withColumn("w", F.lit(1.0 / n))
         d = len(points.select("x").first().x)
-        sigma2 = points.join(X.nearest(points, centres).select("id", "dist"), "id").agg(F.avg(F.col("dist") * F.col("dist")) / d).first()[0] or 1.0
+        sigma2 = X.nearest(points, centres).agg(F.avg(F.col("dist") * F.col("dist")) / d).first()[0] or 1.0
         history = []
         for step in range(steps):
             history.append(X.loglik(X.gaussian_scores(points, centres, sigma2)).first().loglik)
+            if _settled(history, gain):
+                break
             rows = X.gmm_step(points, centres, sigma2, d).collect()
             centres = spark.createDataFrame([(r.k, list(r.m), r.w) for r in rows], "k int, m array<double>, w double")
             sigma2 = max(sum(r.n * r["var"] for r in rows) / sum(r.n for r in rows), 1e-9)
@@ -55,8 +100,8 @@ def fit_gmm(points: DataFrame, k: int, steps: int = 10, seed: int = 0, on_step:
         points.unpersist()
 
 
-def fit_regressions(df: DataFrame, k: int, steps: int = 10, seed: int = 0, betas: list[list[float]] | None = None, on_step: OnStep | None = None) -> tuple[np.ndarray, np.ndarray, float, list[float]]:
-    """(betas, weights, variance, log-likelihoods) of a mixture of linear regressions over (y, x)."""
+def fit_regressions(df: DataFrame, k: int, steps: int = 10, seed: int = 0, betas: list[list[float]] | None = None, on_step: OnStep | None = None, gain: float = 0.0) -> tuple[np.ndarray, np.ndarray, float, list[float]]:
+    """(betas, weights, variance, log-likelihoods) of a mixture of linear regressions over (y, x), until a step gains less than that part of the log-likelihood."""
     df = df.select("y", "x").persist()
     try:
         d = len(df.select("x").first().x)
@@ -64,6 +109,8 @@ def fit_regressions(df: DataFrame, k: int, steps: int = 10, seed: int = 0, betas
         w, sigma2, history = np.full(k, 1 / k), float(df.agg(F.var_pop("y")).first()[0] or 1.0), []
         for step in range(steps):
             history.append(X.regression_loglik(df, b.tolist(), w.tolist(), sigma2).first().loglik)
+            if _settled(history, gain):
+                break
             g, n = np.zeros((k, d + 1, d + 1)), np.zeros(k)
             for r in X.regression_gram(df, b.tolist(), w.tolist(), sigma2).collect():
                 g[r.k, r.i, r.j], n[r.k] = r.v, r.n
@@ -124,6 +171,31 @@ def pair_step(counts: DataFrame, z: DataFrame, o: DataFrame) -> DataFrame:
     return post.groupBy("k1", "k2").agg(F.sum("r").alias("r")).crossJoin(F.broadcast(total)).select("k1", "k2", (F.col("r") / F.col("t")).alias("w"))
 
 
+def mixing_fit(counts: DataFrame, z: dict[tuple, float], o: DataFrame, keys: list[str], steps: int, least: float = 0.0) -> dict[tuple, float]:
+    """The weights w of hidden states after steps of EM, emissions o (k, x, p) fixed; keys are the counts' symbol columns (x, or x1 and x2), and z maps a state for each of them to its first weight.
+
+    The likelihoods of a row's symbols by state are put beside its count once; a step is then one sum over the rows, as
+    many numbers as there are states. It ends as no weight moves by more than least.
+    """
+    states = sorted(z)
+    rows = counts.select(*keys, "n")
+    for i, c in enumerate(keys):
+        # a symbol's likelihoods by state, as a map of some states
+        one = o.groupBy(F.col("x").alias(c)).agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias(f"p{i}"))
+        rows = rows.join(one, c)
+    product = lambda s: reduce(lambda a, b: a * b, (F.coalesce(F.try_element_at(f"p{i}", F.lit(k)), F.lit(0.0)) for i, k in enumerate(s)))
+    rows = saved(rows.select("n", *(product(s).alias(f"g{j}") for j, s in enumerate(states))), "likelihoods")
+    w = [z[s] for s in states]
+    for _ in range(steps):
+        parts = [F.col(f"g{j}") * float(v) for j, v in enumerate(w)]
+        total = reduce(lambda a, b: a + b, parts)
+        new = rows.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * p / total).alias(f"w{j}") for j, p in enumerate(parts))).first()
+        old, w = w, [float(new[f"w{j}"] / new.n) for j in range(len(states))]
+        if max(abs(a - b) for a, b in zip(old, w, strict=True)) <= least:
+            break
+    return dict(zip(states, w, strict=True))
+
+
 def composite_loglik(counts: DataFrame, z: DataFrame, o: DataFrame) -> DataFrame:
     """One row (loglik): sum over x of n ln p(x) for states z (k, w) and emissions o (k, x, p)."""
     p = counts.join(o, "x").join(z, "k").groupBy("x", "n").agg(F.sum(F.col("w") * F.col("p")).alias("q"))
@@ -147,8 +219,15 @@ def pair_information(counts: DataFrame, z: DataFrame, o: DataFrame) -> DataFrame
     return left.join(right, ["x1", "x2"]).groupBy("a1", "a2", "b1", "b2").agg(F.sum(v).alias("v"))
 
 
-def repeat(step: Callable[[DataFrame], DataFrame], z: DataFrame, steps: int) -> DataFrame:
-    """step() applied over and over to a small table, which is collected between steps, so plans don't grow."""
+def repeat(step: Callable[[DataFrame], DataFrame], z: DataFrame, steps: int, least: float = 0.0) -> DataFrame:
+    """step() applied over and over to a small table (keys, w), which is collected between steps, so plans don't grow; it ends as no w moves by more than least."""
+    keys = [c for c in z.columns if c != "w"]
+    old = {tuple(r[c] for c in keys): r.w for r in z.collect()}
     for _ in range(steps):
-        z = z.sparkSession.createDataFrame(step(z).collect(), z.schema)
+        rows = step(z).select(z.columns).collect()
+        z = z.sparkSession.createDataFrame(rows, z.schema)
+        new = {tuple(r[c] for c in keys): r.w for r in rows}
+        if max((abs(w - old.get(k, 0.0)) for k, w in new.items()), default=0.0) <= least:
+            break
+        old = new
     return z

@@ -13,6 +13,11 @@ from momenta.operators import mixtures as X
 from momenta.operators import moments as M
 from momenta.operators import ngrams as N
 from momenta.plans.small import soft_threshold
+from momenta.sources.scratch import saved
+
+
+#: Cells of a Gram matrix that are held on the driver at most.
+MOST_CELLS = 1 << 21
 
 
 def statistics(samples: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +32,13 @@ def ridge(samples: DataFrame, d: int, penalty: float = 0.0) -> np.ndarray:
     return np.linalg.lstsq(a + penalty * np.eye(d), b, rcond=None)[0]
 
 
+def white(samples: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """pinv(X) y and pinv(X) X of the sample's rows X: the normal equations' solution, and the projection on the directions that X has."""
+    a, b = statistics(samples, d)
+    inverse = np.linalg.pinv(a, rcond=1e-12, hermitian=True)
+    return inverse @ b, inverse @ a
+
+
 def direction(points: DataFrame, d: int) -> DataFrame:
     """(id, v): points (id, x, y) projected on S^-1 s_xy, the direction that goes with y most."""
     rows = points.select("id", F.col("x").alias("x1"), F.concat("x", F.array("y")).alias("x2"))
@@ -46,6 +58,8 @@ def prox_low_rank(samples: DataFrame, d: int, degree: int, start: np.ndarray | N
     if degree == 3:
         z = F.flatten(F.transform(x, lambda a: F.flatten(F.transform(x, lambda b: F.transform(x, lambda c: a * b * c)))))
     size = d**degree
+    if size**2 > MOST_CELLS:
+        raise ValueError(f"{size} products of {d} coordinates have too many pairs for the driver")
     rows = samples.select(z.alias("x"), "y")
     a, b = statistics(rows, size)
     yy = rows.agg(F.avg(F.col("y") * F.col("y"))).first()[0]
@@ -73,43 +87,57 @@ def mutual_information_costs(bigrams: DataFrame) -> DataFrame:
     return p.join(left, "c1").join(right, "c2").select("c1", "c2", q.alias("q"))
 
 
-def brown_clusters(bigrams: DataFrame, order: list[int], k: int) -> dict[int, int]:
+def _information(m: np.ndarray) -> float:
+    l, r = m.sum(axis=1), m.sum(axis=0)  # noqa: E741
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.nansum(np.where(m > 0, m * np.log(m / np.outer(l, r)), 0)))
+
+
+def _merged(m: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The table with row and column b added to a's and taken out."""
+    j = m.copy()
+    j[a] += j[b]
+    j[:, a] += j[:, b]
+    return np.delete(np.delete(j, b, 0), b, 1)
+
+
+def brown_clusters(bigrams: DataFrame, order: list[int], k: int, batch: int = 64) -> dict[int, int]:
     """word -> cluster: words (in `order`, most frequent first) come in one by one, and the two clusters whose merging loses least mutual information merge.
 
-    bigrams is (c1, c2, n) over those words: the only pass over the corpus. The table of at most (k + 1)^2 cells is
-    worked on the driver; words are as many as `order` has.
+    bigrams is (c1, c2, n) over words. The words by words table stays in Spark: for each batch of words it is summed to
+    the clusters so far and the batch's words, (k + batch)^2 cells at most, which is all that the driver holds besides
+    the words' clusters.
     """
-    place = {w: i for i, w in enumerate(order)}
-    p = np.zeros((len(order),) * 2)
-    for r in bigrams.collect():
-        if r.c1 in place and r.c2 in place:
-            p[place[r.c1], place[r.c2]] = r.n
-    p /= max(p.sum(), 1)
-
-    def information(m: np.ndarray) -> float:
-        l, r = m.sum(axis=1), m.sum(axis=0)  # noqa: E741
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return float(np.nansum(np.where(m > 0, m * np.log(m / np.outer(l, r)), 0)))
-
-    groups = [[i] for i in range(min(k, len(order)))]
-    for i in range(len(groups), len(order) + 1):
-        if i < len(order):
-            groups.append([i])
-        elif len(groups) <= k:
-            break
-        m = np.array([[p[np.ix_(a, b)].sum() for b in groups] for a in groups])
-        best = None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                j = m.copy()
-                j[a] += j[b]
-                j[:, a] += j[:, b]
-                value = information(np.delete(np.delete(j, b, 0), b, 1))
-                if best is None or value > best[0] + 1e-15:
-                    best = value, a, b
-        _, a, b = best
-        groups[a] += groups.pop(b)
-    return {order[i]: c for c, g in enumerate(groups) for i in g}
+    spark = bigrams.sparkSession
+    place = lambda df, c, name: df.select(F.col("tok").alias(c), F.col("c").alias(name))
+    words = spark.createDataFrame([(w, 0) for w in order], "tok int, c int")
+    inside = bigrams.join(place(words, "c1", "_l"), "c1").join(place(words, "c2", "_r"), "c2").select("c1", "c2", "n")
+    inside = saved(inside, "bigrams")
+    total = inside.agg(F.sum("n")).first()[0] or 1
+    cluster: dict[int, int] = {}
+    for at in range(0, len(order), batch):
+        new, n = order[at : at + batch], max(cluster.values(), default=-1) + 1
+        known = spark.createDataFrame([*cluster.items(), *((w, n + i) for i, w in enumerate(new))], "tok int, c int")
+        sums = inside.join(place(known, "c1", "l"), "c1").join(place(known, "c2", "r"), "c2").groupBy("l", "r").agg(F.sum("n").alias("n"))
+        p = np.zeros((n + len(new),) * 2)
+        for r in sums.collect():
+            p[r.l, r.r] = r.n / total
+        groups = [[c] for c in range(n)]
+        for c in range(n, n + len(new)):
+            groups.append([c])
+            while len(groups) > k:
+                m = np.array([[p[np.ix_(a, b)].sum() for b in groups] for a in groups])
+                best = None
+                for a in range(len(groups)):
+                    for b in range(a + 1, len(groups)):
+                        value = _information(_merged(m, a, b))
+                        if best is None or value > best[0] + 1e-15:
+                            best = value, a, b
+                _, a, b = best
+                groups[a] += groups.pop(b)
+        now = {c: g for g, members in enumerate(groups) for c in members}
+        cluster = {w: now[c] for w, c in cluster.items()} | {w: now[n + i] for i, w in enumerate(new)}
+    return cluster
 
 
 def loglinear_em(expected: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]], start: np.ndarray, steps: int = 30, rate: float = 0.5, penalty: float = 1e-3) -> tuple[np.ndarray, list[float]]:
@@ -138,7 +166,7 @@ def bag_features(bags: DataFrame, k: int, d: int) -> Callable[[np.ndarray], tupl
     """expected() for a log-linear mixture of independent symbols over distinct bags (x ARRAY<INT>, n) of one length: weights h (k), then (h, x) (k d)."""
     from momenta.plans.em import categorical_step
 
-    bags = bags.persist()
+    bags = saved(bags, "bags")
     total, length = bags.agg(F.sum("n"), F.max(F.size("x"))).first()
 
     def expected(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -11,10 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Positions that are worked through at once: sequences times the longest one's length.
+CELLS = 1 << 20
+
+
 @dataclass
 class Chain:
     """pi (K), t (K, K) and o (K, D): rows sum to one."""
@@ -67,8 +72,11 @@ def forward(c: Chain, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return a, logs, e
 
 
-def posteriors(c: Chain, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """State posteriors (sequence, position, state), summed edge posteriors (K, K), and log-likelihoods."""
+def posteriors(c: Chain, x: np.ndarray, size: np.ndarray, on_edge: Callable[[np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State posteriors (sequence, position, state), summed edge posteriors (K, K), and log-likelihoods.
+
+    on_edge takes the edge posteriors (sequence, K, K) of each place, the last first.
+    """
     a, logs, e = forward(c, x, size)
     b = np.ones(a.shape[::2])
     g, edges = np.zeros_like(a), np.zeros_like(c.t)
@@ -79,7 +87,10 @@ def posteriors(c: Chain, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
             # normalised as a pair, so scales need not be carried
             pair = a[:, p][:, :, None] * c.t * later[:, None, :]
             total = np.maximum(pair.sum(axis=(1, 2)), 1e-300)
-            edges += (pair / total[:, None, None])[inside[:, 0]].sum(axis=0)
+            pair = pair / total[:, None, None]
+            if on_edge:
+                on_edge(pair)
+            edges += pair[inside[:, 0]].sum(axis=0)
             back = later @ c.t.T
             b = np.where(inside, back / np.maximum(back.max(axis=1, keepdims=True), 1e-300), 1.0)
         now = a[:, p] * b
@@ -109,11 +120,23 @@ def best_states(c: Chain, x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(batch: pa.RecordBatch, cells: int) -> Iterator[pa.RecordBatch]:
+    """The rows by length, in parts whose padded arrays have at most so many cells; a longer sequence is a part of its own."""
+    size = pc.fill_null(pc.list_value_length(batch["x"]), 0).to_numpy().astype(np.int64)
+    order, start = np.argsort(size, kind="stable"), 0
+    while start < len(order):
+        # lengths rise, so the part's width is its last row's
+        width = np.maximum(size[order[start:]], 1) * np.arange(1, len(order) - start + 1)
+        n = max(1, int(np.searchsorted(width, cells, side="right")))
+        yield batch.take(pa.array(order[start : start + n]))
+        start += n
+
+
 def _over(seq: DataFrame, schema: str, f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yield f(batch)
+                yield from map(f, _slices(batch, CELLS))
 
     return seq.select("seq_id", F.col("x").cast("array<int>").alias("x")).mapInArrow(run, schema)
 
@@ -129,6 +152,23 @@ def viterbi(seq: DataFrame, c: Chain) -> DataFrame:
     return _over(seq, "seq_id long, h array<int>", f)
 
 
+def edge_posteriors(seq: DataFrame, c: Chain) -> DataFrame:
+    """(seq_id, pos, a, b, p): the probability of states a at pos - 1 and b at pos, for every edge of a sequence."""
+
+    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, size = _padded(batch)
+        k, pairs = len(c.pi), []
+        posteriors(c, x, size, pairs.append)
+        p = np.stack(pairs[::-1], axis=1) if pairs else np.zeros((len(x), 0, k, k))
+        row, edge = np.nonzero(np.arange(1, x.shape[1]) < size[:, None])
+        ids = batch["seq_id"].take(pa.array(np.repeat(row, k * k)))
+        state = np.arange(k, dtype=np.int32)
+        places = [np.repeat(edge + 1, k * k).astype(np.int32), np.tile(np.repeat(state, k), len(row)), np.tile(state, k * len(row))]
+        return pa.record_batch([ids, *map(pa.array, places), pa.array(p[row, edge].ravel())], ["seq_id", "pos", "a", "b", "p"])
+
+    return _over(seq, "seq_id long, pos int, a int, b int, p double", f)
+
+
 def state_posteriors(seq: DataFrame, c: Chain) -> DataFrame:
     """(seq_id, pos, state, p)."""
 

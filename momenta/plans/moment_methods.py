@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +61,10 @@ def randomized_svd(m: DataFrame, k: int, extra: int = 4, seed: int = 0) -> tuple
     return u, values, v
 
 
-def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.ndarray, k: int, seed: int = 0, fewer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (k) and third-view means (d3, k) from exact or sampled moments: the other views are turned into the third, whitened, and split by power steps.
 
-    Moments of rank below k are an error, or with `fewer` give as many components as their rank.
+    Moments of rank below k are an error.
     """
     u1, u2, u3 = (np.linalg.svd(a, full_matrices=False)[s][:, :k] if s == 0 else np.linalg.svd(a, full_matrices=False)[2].T[:, :k] for a, s in ((p12, 0), (p12, 2), (p13, 2)))
     a12, a32, a13 = u1.T @ p12 @ u2, u3.T @ p32 @ u2, u1.T @ p13 @ u3
@@ -70,8 +74,8 @@ def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.
     pairs = to3_1 @ a12 @ to3_2.T
     values = np.linalg.eigvalsh((pairs + pairs.T) / 2)
     rank = int((values > 1e-12 * max(values[-1], 1e-300)).sum())
-    if fewer and 0 < rank < k:
-        return decompose_views(p12, p32, p13, p123, rank, seed, fewer)
+    if rank < k:
+        raise ValueError(f"the moments have rank {rank}: no {k} components can be told apart")
     triples = np.einsum("abc,ia,jb->ijc", a123, to3_1, to3_2)
     w = whitener((pairs + pairs.T) / 2, k)
     t = np.einsum("abc,ai,bj,ck->ijk", triples, w, w, w)
@@ -82,8 +86,14 @@ def decompose_views(p12: np.ndarray, p32: np.ndarray, p13: np.ndarray, p123: np.
     return weights, means
 
 
+#: Cells of a tensor that are held on the driver at most.
+MOST_CELLS = 1 << 21
+
+
 def view_moments(views: DataFrame, d: int) -> dict[str, np.ndarray]:
-    """The four arrays of a views table (view, x1, x2, x3, p) over d symbols; d bounds what is collected (d^3 cells at most)."""
+    """The four arrays of a views table (view, x1, x2, x3, p) over d symbols; for more than d^3 = MOST_CELLS cells there is three_view()."""
+    if d**3 > MOST_CELLS:
+        raise ValueError(f"{d} symbols are too many for full moments; three_view() projects them first")
     out = {v: np.zeros((d,) * len(v)) for v in ("12", "13", "32", "123")}
     for r in views.collect():
         cell = {"12": (r.x1, r.x2), "13": (r.x1, r.x3), "32": (r.x3, r.x2), "123": (r.x1, r.x2, r.x3)}[r["view"]]
@@ -91,14 +101,14 @@ def view_moments(views: DataFrame, d: int) -> dict[str, np.ndarray]:
     return out
 
 
-def three_view_exact(views: DataFrame, d: int, k: int, fewer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def three_view_exact(views: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and symbol distributions (d, k) of the third view from full moments."""
     m = view_moments(views, d)
-    weights, means = decompose_views(m["12"], m["32"], m["13"], m["123"], k, fewer=fewer)
+    weights, means = decompose_views(m["12"], m["32"], m["13"], m["123"], k)
     return weights / weights.sum(), to_simplex(means)
 
 
-def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order: tuple[int, int, int] = (0, 2, 1), fewer: bool = False) -> tuple[np.ndarray, DataFrame]:
+def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order: tuple[int, int, int] = (0, 2, 1)) -> tuple[np.ndarray, DataFrame]:
     """Weights and the third view's means (i, j, v) for a vocabulary of any size: all moments are projected to k + extra directions before they are held.
 
     trigrams is (w0, w1, w2, n).
@@ -115,7 +125,7 @@ def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order
     u1, u2, u3 = basis("i", "j", 0), basis("j", "i", 1), basis("k", "j", 2)
     projected = M.collect_matrix(C.multilinear(t, {"i": u1, "j": u2, "k": u3}), p, p, p)
     two = lambda a, b, ua, ub: M.collect_matrix(C.multilinear(t.groupBy(F.col(a).alias("i"), F.col(b).alias("j")).agg(F.sum("v").alias("v")), {"i": ua, "j": ub}), p, p)
-    weights, means = decompose_views(two("i", "j", u1, u2), two("k", "j", u3, u2), two("i", "k", u1, u3), projected, k, seed, fewer)
+    weights, means = decompose_views(two("i", "j", u1, u2), two("k", "j", u3, u2), two("i", "k", u1, u3), projected, k, seed)
     return weights / weights.sum(), C.multilinear(u3, {"j": _frame(t.sparkSession, means)})
 
 
@@ -142,10 +152,16 @@ def lda(docs: DataFrame, d: int, k: int, alpha0: float = 1.0, seed: int = 0) ->
 
     A document gives its words in three parts by place; the moments are over documents of three words and more.
     """
-    at = lambda s: lambda v, i: i % 3 == s
-    parts = [F.filter("x", at(s)) for s in range(3)]
-    part = lambda c: F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda w: F.size(F.filter(c, lambda v: v == w)) / F.size(c).cast("double"))
-    rows = saved(docs.where(F.size("x") >= 3).select(*(part(c).alias(f"x{i + 1}") for i, c in enumerate(parts))), "parts")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's shares of the d words in its first, second and last third of places."""
+        for batch in batches:
+            rows = [np.asarray(x, np.int64) for x in batch["x"].to_pylist()]
+            thirds = ([np.bincount(x[s::3], minlength=d) / len(x[s::3]) for x in rows] for s in range(3))
+            yield pa.record_batch([pa.array([v.tolist() for v in t], pa.list_(pa.float64())) for t in thirds], ["x1", "x2", "x3"])
+
+    long_enough = docs.where(F.size("x") >= 3).select(F.col("x").cast("array<int>").alias("x"))
+    rows = saved(long_enough.mapInArrow(parts, "x1 array<double>, x2 array<double>, x3 array<double>"), "parts")
     m1 = sum(M.collect_matrix(M.first_moment(rows, f"x{i}"), d) for i in (1, 2, 3)) / 3
     m2 = M.collect_matrix(M.pairs(rows), d, d)
     m2 = (m2 + m2.T) / 2 - alpha0 / (alpha0 + 1) * np.outer(m1, m1)
@@ -166,16 +182,21 @@ def lda(docs: DataFrame, d: int, k: int, alpha0: float = 1.0, seed: int = 0) ->
 
 
 def spherical_gmm(points: DataFrame, d: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, means (d, k) and variance of spherical Gaussians over points (id, x): the least eigenvalue of the covariance is the variance, which is taken off the second and third moments."""
-    rows = points.select("id", F.col("x").alias("x1"), F.col("x").alias("x2"))
+    """Weights, means (d, k) and variance of spherical Gaussians over points (id, x): the least eigenvalue of the covariance is the variance, which is taken off the second and third moments.
+
+    A hash of id halves the points: the second moment is one half's and the third the other's, so their errors are independent.
+    """
+    half = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2))
+    all_rows = points.select("id", F.col("x").alias("x1"), F.col("x").alias("x2"), half.alias("half"))
+    rows, other = all_rows.where("half = 0"), all_rows.where("half = 1")
     m1 = M.collect_matrix(M.first_moment(rows), d)
     e2 = M.collect_matrix(M.pairs(rows), d, d)
     sigma2 = float(max(np.linalg.eigvalsh(e2 - np.outer(m1, m1))[0], 0.0))
     w = whitener(e2 - sigma2 * np.eye(d), k)
     thin = F.array(*(V.dot(F.col("x1"), F.array(*map(F.lit, map(float, w[:, j])))) for j in range(k)))
-    white = rows.select(thin.alias("x1")).select("x1", F.col("x1").alias("x2"), F.col("x1").alias("x3"))
+    white = other.select(thin.alias("x1")).select("x1", F.col("x1").alias("x2"), F.col("x1").alias("x3"))
     t = M.collect_matrix(M.triples(white), k, k, k)
-    a, s = w.T @ m1, sigma2 * (w.T @ w)
+    a, s = M.collect_matrix(M.first_moment(white), k), sigma2 * (w.T @ w)
     t = t - (np.einsum("a,bc->abc", a, s) + np.einsum("b,ac->abc", a, s) + np.einsum("c,ab->abc", a, s))
     values, vectors = power_method(t, seed=seed)
     means = np.linalg.pinv(w.T) @ (vectors * values[:, None]).T
@@ -183,10 +204,10 @@ def spherical_gmm(points: DataFrame, d: int, k: int, seed: int = 0) -> tuple[np.
     return weights / weights.sum(), means, sigma2
 
 
-def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothing: float = 1e-6, fewer: bool = False) -> Chain:
+def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothing: float = 1e-6) -> Chain:
     """A chain from the views (t, t+2, t+1): the third view has the emissions, the second is emission after transition."""
     m = view_moments(views, d)
-    weights, o = decompose_views(m["12"], m["32"], m["13"], m["123"], k, fewer=fewer)
+    weights, o = decompose_views(m["12"], m["32"], m["13"], m["123"], k)
     o = to_simplex(o, smoothing)
     # columns of view 2 given the state: P32 = O diag(w) (O T')'
     w = to_simplex(weights[:, None], smoothing)[:, 0]
@@ -196,12 +217,12 @@ def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothin
     return Chain(pi, t, o.T)
 
 
-def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int, fewer: bool = False) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
+def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
     """Weights, the three views' means and each component's variance for points (id, x1, x2, x3)."""
     p = {"12": M.pairs(points, "x1", "x2"), "32": M.pairs(points, "x3", "x2"), "13": M.pairs(points, "x1", "x3")}
     size = {"12": (d[0], d[1]), "32": (d[2], d[1]), "13": (d[0], d[2])}
     m = {n: M.collect_matrix(df, *size[n]) for n, df in p.items()}
-    weights, m3 = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(points), *d), k, fewer=fewer)
+    weights, m3 = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(points), *d), k)
     weights = np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum()
     right = np.linalg.pinv(m3 * weights).T
     means = [m["13"] @ right, m["32"].T @ right, m3]
@@ -213,37 +234,31 @@ def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int, fewer: bo
     return weights, means, step.select("k", "n", "var")
 
 
-def regression_moments(samples: DataFrame, d: int, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First, second and third moments of the coefficients of a mixture of regressions over (y, x): y, y^2 and y^3 on the products of x, by normal equations."""
+def regression_moments(samples: DataFrame, d: int, ridge: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First, second and third moments of the coefficients of a mixture of regressions over (y, x): y, y^2 and y^3 on the products of x, by normal equations.
+
+    Noise of y adds its variance to y^2 and three times that times the mean to y^3, which a constant and x beside the
+    products take up; so x itself has no constant coordinate.
+    """
     from momenta.plans.estimators import ridge as solve
 
-    y = F.col("y")
+    x, y = F.col("x"), F.col("y")
+    n2, n3 = d * (d + 1) // 2, d * (d + 1) * (d + 2) // 6
     b1 = solve(samples, d, ridge)
-    s2 = samples.select(V.sym_expand2(F.col("x"), d).alias("x"), (y * y).alias("y"))
-    b2 = solve(s2, d * (d + 1) // 2, ridge)
-    s3 = samples.select(V.sym_expand3(F.col("x"), d).alias("x"), (y * y * y).alias("y"))
-    b3 = solve(s3, d * (d + 1) * (d + 2) // 6, ridge)
+    b2 = solve(samples.select(F.concat(V.sym_expand2(x, d), F.array(F.lit(1.0))).alias("x"), (y * y).alias("y")), n2 + 1, ridge)
+    b3 = solve(samples.select(F.concat(V.sym_expand3(x, d), x).alias("x"), (y * y * y).alias("y")), n3 + d, ridge)
     m2, m3 = np.zeros((d, d)), np.zeros((d, d, d))
-    at = iter(b2)
-    for i in range(d):
-        for j in range(i, d):
-            m2[i, j] = m2[j, i] = next(at)
-    at = iter(b3)
-    for i in range(d):
-        for j in range(i, d):
-            for k in range(j, d):
-                v = next(at)
-                for a, b, c in {(i, j, k), (i, k, j), (j, i, k), (j, k, i), (k, i, j), (k, j, i)}:
-                    m3[a, b, c] = v
+    for (i, j), v in zip(itertools.combinations_with_replacement(range(d), 2), b2, strict=False):
+        m2[i, j] = m2[j, i] = v
+    for cell, v in zip(itertools.combinations_with_replacement(range(d), 3), b3, strict=False):
+        for o in itertools.permutations(cell):
+            m3[o] = v
     return b1, m2, m3
 
 
-def regression_mixture(samples: DataFrame, d: int, k: int, ridge: float = 1e-6, noise: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and coefficients (k, d) of a mixture of regressions from its moments; noise is the variance of y given x."""
+def regression_mixture(samples: DataFrame, d: int, k: int, ridge: float = 1e-9, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and coefficients (k, d) of a mixture of regressions from its moments; em.fit_regressions() goes on from them."""
     _, m2, m3 = regression_moments(samples, d, ridge)
-    if noise:
-        # y^2 holds the noise's variance beside the products, if x has a constant coordinate 0 it falls on that
-        m2 = m2 - noise * np.outer(np.eye(d)[0], np.eye(d)[0])
     w = whitener(m2, k)
     t = np.einsum("abc,ai,bj,ck->ijk", m3, w, w, w)
     values, vectors = power_method(t, seed=seed)
@@ -252,7 +267,7 @@ def regression_mixture(samples: DataFrame, d: int, k: int, ridge: float = 1e-6,
     return weights / weights.sum(), betas
 
 
-def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, seed: int = 0, fewer: bool = False) -> DataFrame:
+def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, seed: int = 0) -> DataFrame:
     """(tok, c, dist): words projected to p random directions, centres from their three views, each word to its nearest centre.
 
     trigrams is (w0, w1, w2, n), words (tok).
@@ -270,7 +285,7 @@ def word_clusters(trigrams: DataFrame, words: DataFrame, k: int, p: int = 8, see
     p12, p13 = (M.collect_matrix(M.pairs(weighted, *c), p, p) * scale for c in order.values())
     p32 = M.collect_matrix(M.pairs(t.select(F.transform("x2", lambda v: v * F.col("n")).alias("x2"), "x3"), "x2", "x3"), p, p) * scale
     p123 = M.collect_matrix(M.triples(weighted, "x1", "x3", "x2"), p, p, p) * scale
-    _, means = decompose_views(p12, p32, p13, p123, k, seed, fewer)
+    _, means = decompose_views(p12, p32, p13, p123, k, seed)
     centres = t.sparkSession.createDataFrame([(j, [float(v) for v in means[:, j]]) for j in range(means.shape[1])], "k int, m array<double>")
     return X.nearest(row.select(F.col("i").alias("id"), "x"), centres).select(F.col("id").alias("tok"), F.col("k").alias("c"), "dist")
 

@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from momenta.functions import vectors as V
+from momenta.operators import coo as C
 from momenta.operators import labels as L
+from momenta.operators import mixtures as X
 from momenta.operators import ngrams as N
-from momenta.plans import em, estimators, hmm, spectral
+from momenta.plans import em, estimators, hmm, moment_methods
 from momenta.plans.small import best_matching
-from momenta.queries.numbers import samples, vectors
+from momenta.queries.numbers import BETAS, SIZES, _solved, samples, vectors
 from momenta.queries.registry import query
 from momenta.queries.sql import EV, TOP, chains, packed, r6, table, trigram_counts
 from momenta.sources.scratch import saved
@@ -35,18 +37,40 @@ def chain(spark, d):
 
 # ---- decoders
 
+#: The chain's parameters as agg_supervised_hmm has them, and the forward and backward variables by recursion over places.
+HMM_SQL = f"""WITH RECURSIVE {EV}, tr AS (SELECT lag(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS a, tag AS b FROM ev), tags AS (SELECT DISTINCT tag FROM ev), toks AS (SELECT DISTINCT tok FROM ev),
+pi AS (SELECT tag AS h, (count(*) + 1) / sum(count(*) + 1) OVER () AS p FROM ev GROUP BY tag),
+t AS (SELECT x.tag AS a, y.tag AS b, (count(tr.b) + 1) / sum(count(tr.b) + 1) OVER (PARTITION BY x.tag) AS p FROM tags x CROSS JOIN tags y LEFT JOIN tr ON tr.a = x.tag AND tr.b = y.tag GROUP BY x.tag, y.tag),
+o AS (SELECT x.tag AS h, y.tok, (count(ev.pos) + 1) / sum(count(ev.pos) + 1) OVER (PARTITION BY x.tag) AS p FROM tags x CROSS JOIN toks y LEFT JOIN ev ON ev.tag = x.tag AND ev.tok = y.tok GROUP BY x.tag, y.tok),
+f AS (SELECT seq_id, pos, h, pi.p * o.p AS v, 0::DOUBLE AS l FROM ev JOIN o USING (tok) JOIN pi USING (h) WHERE pos = 0
+    UNION ALL SELECT seq_id, pos, h, v / z, l + ln(z) FROM (SELECT *, sum(v) OVER (PARTITION BY seq_id) AS z FROM (
+        SELECT f.seq_id, ev.pos, o.h, sum(f.v * t.p) * any_value(o.p) AS v, any_value(f.l) AS l FROM f JOIN ev ON ev.seq_id = f.seq_id AND ev.pos = f.pos + 1 JOIN o ON o.tok = ev.tok JOIN t ON t.a = f.h AND t.b = o.h GROUP BY f.seq_id, ev.pos, o.h))),
+ll AS (SELECT seq_id, any_value(l) + ln(sum(v)) AS loglik, any_value(pos) + 1 AS n FROM (SELECT *, max(pos) OVER (PARTITION BY seq_id) AS last FROM f) WHERE pos = last GROUP BY seq_id)"""
+BACK_SQL = f"""{HMM_SQL}, b AS (SELECT seq_id, pos, h, 1::DOUBLE AS v FROM (SELECT seq_id, max(pos) AS pos FROM ev GROUP BY seq_id), (SELECT tag AS h FROM tags)
+    UNION ALL SELECT seq_id, pos, h, v / sum(v) OVER (PARTITION BY seq_id) FROM (
+        SELECT b.seq_id, b.pos - 1 AS pos, t.a AS h, sum(t.p * o.p * b.v) AS v FROM b JOIN ev ON ev.seq_id = b.seq_id AND ev.pos = b.pos JOIN o ON o.tok = ev.tok AND o.h = b.h JOIN t ON t.b = b.h WHERE b.pos > 0 GROUP BY b.seq_id, b.pos, t.a))"""
+
 
 @query("dec_viterbi")
 def dec_viterbi(spark, d):
     return hmm.viterbi(sequences(spark, d), chain(spark, d)).select("seq_id", F.posexplode("h").alias("pos", "h"))
 
 
-@query("dec_posteriors")
+@query("dec_posteriors", f"{BACK_SQL} SELECT seq_id, pos::INTEGER AS pos, h AS state, round(f.v * b.v / sum(f.v * b.v) OVER (PARTITION BY seq_id, pos), 6) AS p FROM f JOIN b USING (seq_id, pos, h)")
 def dec_posteriors(spark, d):
     return hmm.state_posteriors(sequences(spark, d), chain(spark, d)).withColumn("p", r6("p"))
 
 
-@query("dec_seq_loglik")
+@query(
+    "dec_edge_posteriors",
+    f"""{BACK_SQL} SELECT seq_id, pos::INTEGER AS pos, a, b, round(v / sum(v) OVER (PARTITION BY seq_id, pos), 6) AS p FROM (
+        SELECT f.seq_id, f.pos + 1 AS pos, f.h AS a, b.h AS b, f.v * t.p * o.p * b.v AS v FROM f JOIN b ON b.seq_id = f.seq_id AND b.pos = f.pos + 1 JOIN ev ON ev.seq_id = b.seq_id AND ev.pos = b.pos JOIN t ON t.a = f.h AND t.b = b.h JOIN o ON o.h = b.h AND o.tok = ev.tok)""",
+)
+def dec_edge_posteriors(spark, d):
+    return hmm.edge_posteriors(sequences(spark, d), chain(spark, d)).withColumn("p", r6("p"))
+
+
+@query("dec_seq_loglik", f"{HMM_SQL} SELECT seq_id, round(loglik, 6) AS loglik FROM ll")
 def dec_seq_loglik(spark, d):
     return hmm.log_likelihood(sequences(spark, d), chain(spark, d)).withColumn("loglik", r6("loglik"))
 
@@ -71,10 +95,10 @@ def dec_complete_loglik(spark, d):
     return joined.groupBy("seq_id").agg(F.round(F.sum(F.col("lp_O") + F.coalesce("lp_T", "lp_pi")), 5).alias("loglik"))
 
 
-@query("agg_dataset_loglik")
+@query("agg_dataset_loglik", f"{HMM_SQL} SELECT round(avg(loglik), 6) AS mean, round(exp(-sum(loglik) / sum(n)), 6) AS perplexity FROM ll")
 def agg_dataset_loglik(spark, d):
     scored = hmm.log_likelihood(sequences(spark, d), chain(spark, d)).join(N.pack(chains(spark, d), "tok", "x").select("seq_id", F.size("x").alias("n")), "seq_id")
-    return scored.agg(F.avg("loglik").alias("mean"), F.exp(-F.sum("loglik") / F.sum("n")).alias("perplexity"))
+    return scored.agg(r6(F.avg("loglik")).alias("mean"), r6(F.exp(-F.sum("loglik") / F.sum("n"))).alias("perplexity"))
 
 
 @query("score_pos_induction")
@@ -136,15 +160,42 @@ def agg_pair_loglik(spark, d):
 
 @query("est_pi_em", f"WITH {C_SQL}, j AS (SELECT x, k, n, w * p AS v FROM c1 JOIN o USING (x) JOIN z USING (k)) SELECT k, round(sum(r) / (SELECT sum(n) FROM c1), 6) AS w FROM (SELECT k, n * v / sum(v) OVER (PARTITION BY x) AS r FROM j) GROUP BY k")
 def est_pi_em(spark, d):
-    """One step; plans.em.repeat goes on."""
+    """One step; est_pi_em_fit goes on."""
     return em.state_step(_singles(spark, d), _z(spark), _emissions(spark)).withColumn("w", r6("w"))
 
 
+#: Steps that a fit goes on at most, in SQL always.
+SETTLED = 80
+Z = {(0,): 0.6, (1,): 0.4}
+ZZ = {(a, b): Z[a,] * Z[b,] for a in range(2) for b in range(2)}
+
+
+@query(
+    "est_pi_em_fit",
+    f"WITH RECURSIVE {C_SQL}, em(step, k, w) AS (SELECT 0, k, w FROM z UNION ALL SELECT step + 1, k, sum(r) / (SELECT sum(n) FROM c1) FROM ("
+    f"SELECT step, k, n * v / sum(v) OVER (PARTITION BY x) AS r FROM (SELECT em.step, em.k, x, n, em.w * p AS v FROM em JOIN o USING (k) JOIN c1 USING (x) WHERE em.step < {SETTLED})) GROUP BY step, k) SELECT k, round(w, 5) AS w FROM em WHERE step = {SETTLED}",
+)
+def est_pi_em_fit(spark, d):
+    w = em.mixing_fit(_singles(spark, d), Z, _emissions(spark), ["x"], SETTLED)
+    return spark.createDataFrame([(k, round(v, 5)) for (k,), v in w.items()], "k int, w double")
+
+
 @query("est_pair_em", f"WITH {J2_SQL} SELECT k1, k2, round(sum(n * v / q) / (SELECT sum(n) FROM c2), 6) AS w FROM q GROUP BY k1, k2")
 def est_pair_em(spark, d):
     return em.pair_step(_pairs(spark, d), _zz(spark), _emissions(spark)).withColumn("w", r6("w"))
 
 
+PAIR_FIT = f""", em(step, k1, k2, w) AS (SELECT 0, k1, k2, w FROM zz UNION ALL SELECT step + 1, k1, k2, sum(r) / (SELECT sum(n) FROM c2) FROM (
+SELECT step, k1, k2, n * v / sum(v) OVER (PARTITION BY x1, x2) AS r FROM (SELECT em.step, em.k1, em.k2, x1, x2, n, em.w * a.p * b.p AS v FROM em JOIN o a ON a.k = em.k1 JOIN o b ON b.k = em.k2 JOIN c2 ON c2.x1 = a.x AND c2.x2 = b.x WHERE em.step < {SETTLED}))
+GROUP BY step, k1, k2) SELECT k1, k2, round(w, 5) AS w FROM em WHERE step = {SETTLED}"""
+
+
+@query("est_pair_em_fit", f"WITH RECURSIVE {C_SQL}{PAIR_FIT}")
+def est_pair_em_fit(spark, d):
+    w = em.mixing_fit(_pairs(spark, d), ZZ, _emissions(spark), ["x1", "x2"], SETTLED)
+    return spark.createDataFrame([(*k, round(v, 5)) for k, v in w.items()], "k1 int, k2 int, w double")
+
+
 def _grid_pairs(spark, d):
     from momenta.queries.words import join_grid_neighbours
 
@@ -163,6 +214,12 @@ def est_grid_edge_em(spark, d):
     return em.pair_step(_grid_pairs(spark, d), _zz(spark), _emissions(spark)).withColumn("w", r6("w"))
 
 
+@query("est_grid_edge_em_fit", _grid_sql("").replace("WITH ", "WITH RECURSIVE ", 1).split(", j AS (")[0] + PAIR_FIT)
+def est_grid_edge_em_fit(spark, d):
+    w = em.mixing_fit(_grid_pairs(spark, d), ZZ, _emissions(spark), ["x1", "x2"], SETTLED)
+    return spark.createDataFrame([(*k, round(v, 5)) for k, v in w.items()], "k1 int, k2 int, w double")
+
+
 HESSIAN = "SELECT a.k1 AS a1, a.k2 AS a2, b.k1 AS b1, b.k2 AS b2, round(sum(a.n * a.g * b.g / (a.q * a.q)), 3) AS v FROM q a JOIN q b ON a.x1 = b.x1 AND a.x2 = b.x2 GROUP BY ALL"
 
 
@@ -176,18 +233,30 @@ def agg_grid_hessian(spark, d):
     return em.pair_information(_grid_pairs(spark, d), _zz(spark), _emissions(spark)).withColumn("v", F.round("v", 3))
 
 
-@query("est_pinv_marginals")
+EMISSIONS = [[0.4, 0.3, 0.1, 0.1, 0.1], [0.1, 0.1, 0.2, 0.3, 0.3]]
+#: The pseudo-inverse of two independent rows o: (o o')^-1 o.
+_G = [[sum(a * b for a, b in zip(p, q, strict=True)) for q in EMISSIONS] for p in EMISSIONS]
+_DET = _G[0][0] * _G[1][1] - _G[0][1] * _G[1][0]
+PINV = [[(_G[1 - k][1 - k] * EMISSIONS[k][x] - _G[0][1] * EMISSIONS[1 - k][x]) / _DET for x in range(5)] for k in range(2)]
+PINV_SQL = ", ".join(f"({k}, {x}, {v!r}::DOUBLE)" for k, row in enumerate(PINV) for x, v in enumerate(row))
+
+
+@query(
+    "est_pinv_marginals",
+    f"""WITH {C_SQL}, i AS (SELECT * FROM (VALUES {PINV_SQL}) v(k, x, q))
+    SELECT 'Z1' AS what, k AS i, 0 AS j, round(sum(n * q) / (SELECT sum(n) FROM c1), 6) AS v FROM c1 JOIN i USING (x) GROUP BY k
+    UNION ALL SELECT 'Z12', a.k, b.k, round(sum(n * a.q * b.q) / (SELECT sum(n) FROM c2), 6) FROM c2 JOIN i a ON a.x = x1 JOIN i b ON b.x = x2 GROUP BY a.k, b.k""",
+)
 def est_pinv_marginals(spark, d):
-    """States' and state pairs' shares through the inverse of the emissions."""
+    """States' shares (Z1) and state pairs' shares (Z12) through the pseudo-inverse of the emissions: products with a thin factor, so nothing of the symbols' size is collected."""
     o = np.zeros((5, 2))
     for r in _emissions(spark).collect():
         o[r.x, r.k] = r.p
-    inverse = np.linalg.pinv(o)
-    m12 = np.zeros((5, 5))
-    for r in _pairs(spark, d).collect():
-        m12[r.x1, r.x2] = r.n
-    m12 /= m12.sum()
-    return _matrix(spark, inverse @ m12 @ inverse.T)
+    inverse = _matrix(spark, np.linalg.pinv(o).T)
+    one = N.share(_singles(spark, d), "n", name="v").select(F.col("x").alias("i"), F.lit(0).alias("j"), "v")
+    two = N.share(_pairs(spark, d), "n", name="v").select(F.col("x1").alias("i"), F.col("x2").alias("j"), "v")
+    z1, z12 = C.multilinear(one, {"i": inverse}), C.multilinear(two, {"i": inverse, "j": inverse})
+    return z1.select(F.lit("Z1").alias("what"), "i", "j", r6("v").alias("v")).unionAll(z12.select(F.lit("Z12").alias("what"), "i", "j", r6("v").alias("v")))
 
 
 @query("est_em_categorical_mixture")
@@ -201,69 +270,83 @@ def est_em_categorical_mixture(spark, d):
 
 
 def wide_views(spark, d):
-    """Three views of 16 coordinates of the vectors, of their distance from -1, so that the moments are not about 0."""
+    """Three views of 21, 21 and 22 coordinates of the vectors, of their distance from -1, so that the moments are not about 0."""
     x = F.transform("x", lambda v: v + 1)
-    return vectors(spark, d).select("id", *(F.slice(x, 16 * i + 1, 16).alias(f"x{i + 1}") for i in range(3)))
+    return vectors(spark, d).select("id", *(F.slice(x, sum(SIZES[:i]) + 1, n).alias(f"x{i + 1}") for i, n in enumerate(SIZES)))
 
 
 @query("est_randomized_svd")
 def est_randomized_svd(spark, d):
     """The leading singular values of the co-occurrence of neighbouring words."""
     m = N.share(trigram_counts(spark, d).groupBy(F.col("w0").alias("i"), F.col("w1").alias("j")).agg(F.sum("n").alias("n")), "n", name="v").select("i", "j", "v")
-    _, s, _ = spectral.randomized_svd(saved(m, "pairs"), 4)
+    _, s, _ = moment_methods.randomized_svd(saved(m, "pairs"), 4)
     return _matrix(spark, s)
 
 
 @query("est_three_view")
 def est_three_view(spark, d):
-    _, means = spectral.three_view(trigram_counts(spark, d), 2, fewer=True)
+    _, means = moment_methods.three_view(trigram_counts(spark, d), 2)
     return means
 
 
 @query("est_three_view_exact")
 def est_three_view_exact(spark, d):
-    w, o = spectral.three_view_exact(N.views(trigram_counts(spark, d)), WORDS, 2, fewer=True)
+    w, o = moment_methods.three_view_exact(N.views(trigram_counts(spark, d)), WORDS, 2)
     return _matrix(spark, o).join(_matrix(spark, w).select("j", F.col("v").alias("w")), "j")
 
 
 @query("est_simultaneous_diag")
 def est_simultaneous_diag(spark, d):
-    return _matrix(spark, spectral.simultaneous_diag(wide_views(spark, d), (16, 16, 16), 2))
+    return _matrix(spark, moment_methods.simultaneous_diag(wide_views(spark, d), SIZES, 2))
 
 
 @query("est_lda_moments")
 def est_lda_moments(spark, d):
-    w, topics = spectral.lda(packed(spark, d), WORDS, 3)
+    w, topics = moment_methods.lda(packed(spark, d), WORDS, 3)
     return _matrix(spark, topics).join(_matrix(spark, w).select("j", F.col("v").alias("w")), "j")
 
 
 @query("est_spherical_gmm")
 def est_spherical_gmm(spark, d):
-    w, means, sigma2 = spectral.spherical_gmm(vectors(spark, d), 64, 3)
+    w, means, sigma2 = moment_methods.spherical_gmm(vectors(spark, d), 64, 3)
     return _matrix(spark, means).join(_matrix(spark, w).select("j", F.col("v").alias("w")), "j").withColumn("sigma2", F.lit(sigma2))
 
 
 @query("est_hmm_from_views")
 def est_hmm_from_views(spark, d):
-    rows = chains(spark, d)
-    tri = N.counts(N.windows(rows, 3), "w0", "w1", "w2")
-    return _matrix(spark, spectral.hmm_from_views(N.views(tri), spectral.first_tokens(rows, D), D, 2, fewer=True).t)
+    """A chain of two states behind the words of the corpus."""
+    seq = packed(spark, d)
+    return _matrix(spark, moment_methods.hmm_from_views(N.views(trigram_counts(spark, d)), moment_methods.first_tokens(seq.select("seq_id", F.posexplode("x").alias("pos", "tok")), WORDS), WORDS, 2).t)
 
 
 @query("est_gmm_from_views")
 def est_gmm_from_views(spark, d):
-    return spectral.gmm_from_views(wide_views(spark, d), (16, 16, 16), 2, fewer=True)[2]
+    return moment_methods.gmm_from_views(wide_views(spark, d), SIZES, 2)[2]
 
 
 @query("est_regression_mixture")
 def est_regression_mixture(spark, d):
-    """Second moments of the coefficients."""
-    return _matrix(spark, spectral.regression_moments(samples(spark, d), 3)[1])
+    """The mixture's coefficients and weights from its moments, taken on by EM: (stage, k, i, v, w, loglik)."""
+    rows = regression_rows(spark, d)
+    w0, b0 = moment_methods.regression_mixture(rows, 3, 2)
+    b, w, _, history = em.fit_regressions(rows, 2, steps=30, betas=b0.tolist(), gain=1e-6)
+    out = [(stage, k, i, float(v), float(weights[k]), ll) for stage, betas, weights, ll in (("moments", b0, w0, history[0]), ("em", b, w, history[-1])) for k, row in enumerate(betas) for i, v in enumerate(row)]
+    return spark.createDataFrame(out, "stage string, k int, i int, v double, w double, loglik double")
+
+
+def regression_rows(spark, d):
+    """A mixture of two regressions on standardised quantity, discount and tax: a line's hidden component is its status, its noise a hash: (y, x, status)."""
+    rows = table(spark, d, "lineitem")
+    x = F.array((F.col("l_quantity") - 25.5) / 14.4, (F.col("l_discount") - 0.05) / 0.0316, (F.col("l_tax") - 0.04) / 0.0258)
+    u = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(1 << 20)) / float(1 << 20)
+    rows = rows.select("l_linestatus", x.alias("x"), (0.6 * (u - 0.5)).alias("noise"))
+    y = F.when(F.col("l_linestatus") == "F", X.linear(BETAS[0])(F.col("x"))).otherwise(X.linear(BETAS[1])(F.col("x")))
+    return rows.select((y + F.col("noise")).alias("y"), "x", "l_linestatus")
 
 
-@query("est_ridge")
+@query("est_ridge", _solved(0.1))
 def est_ridge(spark, d):
-    return _matrix(spark, estimators.ridge(samples(spark, d), 3, 0.1))
+    return _matrix(spark, estimators.ridge(samples(spark, d), 3, 0.1)).withColumn("v", r6("v"))
 
 
 @query("est_prox_low_rank2")
@@ -280,14 +363,16 @@ def est_prox_low_rank3(spark, d):
 
 @query("agg_cov_projection")
 def agg_cov_projection(spark, d):
-    points = vectors(spark, d).select("id", F.slice("x", 1, 8).alias("x"), F.col("label").cast("double").alias("y"))
-    return estimators.direction(points, 8)
+    points = vectors(spark, d).select("id", "x", F.col("label").cast("double").alias("y"))
+    return estimators.direction(points, 64)
 
 
-@query("agg_smooth_white")
+@query("agg_smooth_white", f"SELECT 'y' AS what, j AS i, 0 AS j, v FROM ({_solved(0.0)}) UNION ALL SELECT 'X', i, j, (i = j)::INTEGER::DOUBLE FROM (SELECT unnest(range(3))::INTEGER AS i), (SELECT unnest(range(3))::INTEGER AS j)")
 def agg_smooth_white(spark, d):
-    """pinv(X) y: through the Gram matrix."""
-    return _matrix(spark, estimators.ridge(samples(spark, d), 3))
+    """The sample smoothed by pinv(X): pinv(X) y and pinv(X) X, both through the Gram matrix, so no matrix of the rows' number is made."""
+    y, x = estimators.white(samples(spark, d), 3)
+    parts = [_matrix(spark, m).select(F.lit(what).alias("what"), "i", "j", (r6("v") + 0.0).alias("v")) for what, m in (("y", y[:, None]), ("X", x))]
+    return parts[0].unionAll(parts[1])
 
 
 @query("est_brown_clusters")
@@ -318,12 +403,12 @@ def est_brown_costs(spark, d):
 @query("est_word_clusters")
 def est_word_clusters(spark, d):
     tri = saved(trigram_counts(spark, d), "trigrams")
-    return spectral.word_clusters(tri, tri.select(F.col("w0").alias("tok")).union(tri.select("w1")).union(tri.select("w2")).distinct(), 2, fewer=True)
+    return moment_methods.word_clusters(tri, tri.select(F.col("w0").alias("tok")).union(tri.select("w1")).union(tri.select("w2")).distinct(), 2)
 
 
 @query("est_kmeans_pp_init")
 def est_kmeans_pp_init(spark, d):
-    points = vectors(spark, d).select("id", F.slice("x", 1, 8).alias("x"))
+    points = vectors(spark, d).select("id", "x")
     return em.kmeans_pp(points, 5).select("k", F.posexplode("m").alias("j", "v"))
 
 
@@ -345,20 +430,19 @@ def est_measurement_em(spark, d):
     return _matrix(spark, theta).withColumn("score", F.lit(history[-1]))
 
 
-@query("est_spectral_measurements")
-def est_spectral_measurements(spark, d):
+@query("est_measurements")
+def est_measurements(spark, d):
     """Expected counts of (state, symbol) in a sequence: its mean length times state share times emission, from the views."""
-    rows = chains(spark, d)
-    w, o = spectral.three_view_exact(N.views(N.counts(N.windows(rows, 3), "w0", "w1", "w2")), D, 2, fewer=True)
-    length = sequences(spark, d).agg(F.avg(F.size("x"))).first()[0]
+    w, o = moment_methods.three_view_exact(N.views(trigram_counts(spark, d)), WORDS, 2)
+    length = packed(spark, d).agg(F.avg(F.size("x"))).first()[0]
     return _matrix(spark, length * w[:, None] * o.T)
 
 
 @query("join_align_labels")
 def join_align_labels(spark, d):
     """Centres by label of one half of the vectors matched to those of the other: distances by join, the matching on the driver."""
-    x = vectors(spark, d).select("id", "label", F.slice("x", 1, 8).alias("x"))
-    half = lambda r: x.where(F.col("id") % 2 == r).groupBy("label").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(8))).alias("m"))
+    x = vectors(spark, d).select("id", "label", "x")
+    half = lambda r: x.where(F.col("id") % 2 == r).groupBy("label").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(64))).alias("m"))
     a, b = half(0), half(1).select(F.col("label").alias("other"), F.col("m").alias("u"))
     cost = saved(a.crossJoin(F.broadcast(b)).select("label", "other", V.norm(V.minus(F.col("m"), F.col("u"))).alias("cost")), "costs")
     rows = cost.collect()

@@ -59,12 +59,8 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, x): the encoded corpus, built inside each row: the top words are a small map, so nothing is shuffled but their counts."""
-    best = top(spark, sf_dir).agg(F.map_from_entries(F.collect_list(F.struct("word", "tok"))).alias("to"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), T.tokenize(F.col("text")).alias("ws"))
-    number = F.create_map(*(F.lit(x) for c, i in ((T.UPPER, TOP), (T.DIGIT, TOP + 1), (T.LOWER, TOP + 2), (T.MISC, TOP + 3)) for x in (c, i)))
-    one = lambda w: F.coalesce(F.try_element_at(F.col("to"), w), number[T.word_class(w)])
-    return docs.crossJoin(F.broadcast(best)).select("seq_id", F.transform("ws", one).alias("x"))
+    """(seq_id, x): the encoded corpus, built inside each row: the TOP words travel with the job, so nothing is shuffled but their counts."""
+    return N.encode_packed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), T.tokenize(F.col("text")).alias("ws")), [r.word for r in top(spark, sf_dir).orderBy("tok").collect()])
 
 
 def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

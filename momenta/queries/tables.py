@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momenta.functions import vectors as V
@@ -10,7 +13,7 @@ from momenta.operators import coo as C
 from momenta.operators import ngrams as N
 from momenta.operators import tab
 from momenta.queries.registry import query
-from momenta.queries.sql import ENC, EV, chains, packed, r6, table, trigram_counts
+from momenta.queries.sql import ENC, EV, TOP, chains, packed, r6, table, trigram_counts
 
 # ---- bags and parameters: parts by how often each supplier's nation sells them
 
@@ -243,7 +246,9 @@ def agg_unfold(spark, d):
 
 @matrix_query("agg_fold", "SELECT i, j, k, v FROM t")
 def agg_fold(spark, d):
-    return C.fold(C.unfold(tensor(spark, d), "k", SIZES), "k", SIZES)
+    """From a matrix whose columns count the first and the third index."""
+    m = tensor(spark, d).select(F.col("j").alias("i"), (5 * F.col("i") + F.col("k")).alias("j"), "v")
+    return C.fold(m, "j", SIZES)
 
 
 @matrix_query("agg_preconditioned", "SELECT i, j, k, round(v / sum(v) OVER (), 9) AS v FROM (SELECT i, j, k, sum(v) AS v FROM (SELECT i, j, k, v / (SELECT sum(v) FROM t) AS v FROM t UNION ALL SELECT DISTINCT i, i, i, 0.01 FROM t) GROUP BY i, j, k)")
@@ -261,9 +266,18 @@ def agg_matrix_reduce(spark, d):
     return sets.select(what.alias("what"), F.coalesce("i", "j").alias("at"), "total", "norm", "least", "most")
 
 
-@matrix_query("agg_allclose", "SELECT coalesce(bool_and(abs(coalesce(a.v, 0) - coalesce(b.v, 0)) <= 1e-9), true) AS close FROM m a FULL JOIN (SELECT tok AS i, nxt AS j, count(*)::DOUBLE AS v FROM bi WHERE nxt IS NOT NULL GROUP BY ALL) b ON a.i = b.i AND a.j = b.j")
+#: From below the least difference between the counts and their transpose to above the greatest.
+CLOSE = (0.0, 1.0, 10.0, 100.0, 1e6)
+
+
+@matrix_query(
+    "agg_allclose",
+    f"SELECT eps, coalesce(bool_and(abs(coalesce(a.v, 0) - coalesce(b.v, 0)) <= eps), true) AS close FROM m a FULL JOIN (SELECT j AS i, i AS j, v FROM m) b ON a.i = b.i AND a.j = b.j, (SELECT unnest({list(CLOSE)}::DOUBLE[]) AS eps) GROUP BY eps",
+)
 def agg_allclose(spark, d):
-    return C.allclose(matrix(spark, d), C.axpy(matrix(spark, d), matrix(spark, d), 0.0), 1e-9)
+    m = matrix(spark, d)
+    turned = m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return reduce(DataFrame.unionAll, (C.allclose(m, turned, eps).select(F.lit(eps).alias("eps"), "close") for eps in CLOSE))
 
 
 @matrix_query("coo_axpy", "SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM m UNION ALL SELECT j, i, -0.5 * v FROM m) GROUP BY ALL")
@@ -314,8 +328,8 @@ def pair_counts(spark, d):
 
 
 def thin(spark, d):
-    """A factor of three columns over the encoded words."""
-    words = packed(spark, d).select(F.explode("x").alias("i")).distinct()
+    """A factor of three columns over the words' numbers; TOP + 4 at most, so the corpus isn't read again for those that occur."""
+    words = spark.range(TOP + 4).select(F.col("id").cast("int").alias("i"))
     return words.select("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j")).withColumn("v", F.sin((F.col("i") * 3 + F.col("j")).cast("double")))
 
 

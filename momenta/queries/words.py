@@ -221,7 +221,7 @@ def set_vocab_union(spark, d):
     return tokens(spark, d).select("word").union(talk).distinct()
 
 
-@query("set_remainder", f"WITH {ENC} SELECT word FROM cnt WHERE word NOT IN (SELECT word FROM top)")
+@query("set_remainder", f"WITH {ENC} SELECT word FROM cnt ANTI JOIN top USING (word)")
 def set_remainder(spark, d):
     return N.word_counts(tokens(spark, d)).select("word").join(top(spark, d), "word", "left_anti")
 
@@ -344,8 +344,8 @@ def limit_sequences(spark, d):
     return docs.select(F.col("doc_id").alias("seq_id"), F.size(T.tokenize(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
-@query("limit_subsample")
+@query("limit_subsample", "SELECT vec_id, label FROM embeddings ORDER BY md5('7:' || vec_id), vec_id LIMIT 200")
 def limit_subsample(spark, d):
     """The first 200 vectors in a fixed random order."""
-    rows = table(spark, d, "embeddings").withColumn("r", F.xxhash64(F.lit(7), "vec_id"))
+    rows = table(spark, d, "embeddings").withColumn("r", F.md5(F.concat(F.lit("7:"), F.col("vec_id").cast("string"))))
     return rows.orderBy("r", "vec_id").limit(200).select("vec_id", "label")

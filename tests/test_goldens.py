@@ -14,7 +14,7 @@ from momenta.operators import labels as L
 from momenta.operators import moments as M
 from momenta.operators import ngrams as N
 from momenta.operators import tab
-from momenta.plans import em, estimators, hmm, small, spectral
+from momenta.plans import em, estimators, hmm, moment_methods, small
 
 DOCS = [[0, 1, 2, 3, 4], [0, 2, 3], [0, 3, 4], [2, 3, 4]]
 CLUSTERED = [[0, 1, 2, 3, 4], [0, 4, 2], [4, 0, 3], [3, 2, 4]]
@@ -153,7 +153,7 @@ def test_views_are_recovered_from_exact_moments():
     w = rng.dirichlet(np.full(k, 5.0))
     m1, m2, m3 = (rng.dirichlet(np.ones(d), k).T for _ in range(3))
     pair = lambda a, b: (a * w) @ b.T
-    weights, means = spectral.decompose_views(pair(m1, m2), pair(m3, m2), pair(m1, m3), np.einsum("k,ak,bk,ck->abc", w, m1, m2, m3), k)
+    weights, means = moment_methods.decompose_views(pair(m1, m2), pair(m3, m2), pair(m1, m3), np.einsum("k,ak,bk,ck->abc", w, m1, m2, m3), k)
     assert recovered(means, m3) < 1e-6
     assert np.allclose(sorted(weights), sorted(w), atol=1e-6)
 
@@ -221,7 +221,7 @@ def test_ridge_and_low_rank(spark):
 def test_singular_values(spark):
     rng = np.random.default_rng(6)
     m = rng.random((12, 3)) @ rng.random((3, 9))
-    u, s, v = spectral.randomized_svd(matrix(spark, m), 3)
+    u, s, v = moment_methods.randomized_svd(matrix(spark, m), 3)
     assert np.allclose(s, np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-6)
     a, b = M.collect_matrix(u, 12, 3), M.collect_matrix(v, 9, 3)
     assert np.allclose((a * s) @ b.T, m, atol=1e-6)
