@@ -163,6 +163,8 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     A response's length and digest are those of the payload as read; a revisit has no payload and gives those that its
     headers state. intact is false where a digest in the headers isn't the data's. payloads=False leaves payload null.
+    Each archive is a task of its own: their number is fixed from the table, so that adaptive execution, which sees only
+    short file names, doesn't put them together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if out:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return archives.select("uri").repartition("uri").mapInArrow(run, _READ)
+    return archives.select("uri").repartitionByRange(max(1, archives.count()), "uri").mapInArrow(run, _READ)
 
 
 def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
