@@ -8,14 +8,17 @@ texts then take their surrogates by doc_id. DataFrame functions only.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momenta.llm.common import let, saved
 
-KEY = "momenta"
+#: The session's setting that holds the key of the surrogates. Who knows the key can tell which surrogate a guessed value has.
+KEY_SETTING = "spark.momenta.pii.key"
 #: Attempts in a value's own format; each one after them draws a further syllable or character, so that room outgrows the values.
 OWN_FORMAT = 6
 
@@ -23,13 +26,13 @@ _MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Господин|г-н|Κύρι
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Signora|Госпожа|г-жа|Κυρία"
 _NEUTRAL = "Dr|Prof"
 #: Two letters or more with inner capitals, apostrophes and hyphens, to the end of the word; a possessive 's is not part of it.
-_NAME = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]\p{L}))(?:['’-](?![sS](?![\p{L}\p{M}]))[\p{L}\p{M}]++){0,8}+(?![\p{L}\p{M}])"
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]\p{L}))(?:['’-](?![sS](?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+(?![\p{L}\p{M}])"
 
 #: type -> pattern. Quantifiers are possessive or bounded and starts are tied down, so time is linear in a text without blanks too.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,512}(?=[\"'])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key) {0,2}[=:] {0,2}[\"'])[^\"'\s]{6,}+(?=[\"'])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)|\+\d{1,3}|\(\d{2,4}\))(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)",
@@ -60,12 +63,24 @@ _CLASSES = (
     (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
     (r"\p{N}", "0123456789"),
 )
-#: Syllables of names by script, and endings by gender (m, f, n: none known, l: last name).
+#: Syllables of names by script, and endings by gender (m, f, n: none known) and of last names (l: any, lf and lm: of a
+#: script whose last names tell the gender by their own ending).
 _SYLLABLES = {
     "latin": ("bel dar fen gal hen jor kal lan mar nor pel ran sel tor val wen bri cla dre fio gre lio mon ner", {"m": "an en in or ric mund bert ton", "f": "a ia ina elle ette ana issa ena", "n": "y ey is el", "l": "er mann son field well sen ton berg"}),
-    "cyrillic": ("бел дар фен гал ген жор кал лан мар нор пел ран сел тор вал вен бри кла дре гре лио мон нер рос", {"m": "ан ен ин ор ей ий ислав мир", "f": "а ия ина ена ана иса ета юша", "n": "и е о у", "l": "ов ев ин енко чук ман ский дзе"}),
-    "greek": ("βελ δαρ φεν γαλ κεν γιορ καλ λαν μαρ νορ πελ ραν σελ τορ βαλ βεν βρι κλα δρε γρε λιο μον νερ ροσ", {"m": "ας ης ος ων", "f": "α η ω ια", "n": "ι ου", "l": "ιδης πουλος ακης ογλου"}),
+    "cyrillic": ("бел дар фен гал ген жор кал лан мар нор пел ран сел тор вал вен бри кла дре гре лио мон нер рос", {"m": "ан ен ин ор ей ий ислав мир", "f": "а ия ина ена ана иса ета юша", "n": "и е о у", "l": "енко чук ман дзе", "lf": "ова ева ина ская", "lm": "ов ев ин ский"}),
+    "greek": ("βελ δαρ φεν γαλ κεν γιορ καλ λαν μαρ νορ πελ ραν σελ τορ βαλ βεν βρι κλα δρε γρε λιο μον νερ ροσ", {"m": "ας ης ος ων", "f": "α η ω ια", "n": "ι ου", "l": "ογλου", "lf": "ιδου πουλου ακη", "lm": "ιδης πουλος ακης"}),
 }
+#: Last names that tell the gender.
+_GENDERED = {"cyrillic": {"lf": "(?:[оеё]ва|[иы]на|[сц]кая|ая)$", "lm": "(?:[оеё]в|[иы]н|[сц]кий|[ыо]й)$"}, "greek": {"lf": "(?:ου|η|α)$", "lm": "ς$"}, "latin": {}}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING; where none is set, a random one for this session, so surrogates can't be told by who hasn't seen it."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def _type(match: Column) -> Column:
@@ -97,9 +112,17 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _stream(seed: Column, size: Column) -> Column:
-    """Hex digits from a keyed hash, two for each of size places."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), (size / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 256)), "")
+def _mac(key: str, message: Column) -> Column:
+    """HMAC-SHA256 in hex."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def _stream(key: str, seed: Column, size: Column) -> Column:
+    """Hex digits from the keyed hash of seed, two for each of size places."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), (size / 32).cast("int")), lambda b: _mac(key, F.concat_ws("|", seed, b.cast("string")))), "")
 
 
 def _texts(options: list[str]) -> Column:
@@ -110,7 +133,7 @@ def _pick(options: list[str], byte: Column) -> Column:
     return F.element_at(_texts(options), byte % len(options) + 1)
 
 
-def _shaped(value: Column, seed: Column) -> Column:
+def _shaped(key: str, value: Column, seed: Column) -> Column:
     """value with each letter and digit drawn anew from its class."""
     hex_only = value.rlike("^[0-9a-f]{6,}$") & value.rlike("[a-f]")
 
@@ -124,7 +147,7 @@ def _shaped(value: Column, seed: Column) -> Column:
 
         return F.array_join(F.transform(F.split(value, ""), one), "")
 
-    return let(_stream(seed, F.length(value)), chars)
+    return let(_stream(key, seed, F.length(value)), chars)
 
 
 def _luhn(number: Column) -> Column:
@@ -135,73 +158,81 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((10 - total % 10) % 10).cast("string"))
 
 
-def _wider(options: Column, seed: Column, attempt: Column) -> Column:
+def _wider(key: str, options: Column, seed: Column, attempt: Column) -> Column:
     """What a surrogate is widened by: one of options for each attempt beyond OWN_FORMAT."""
     more = F.greatest(attempt - (OWN_FORMAT - 1), F.lit(0))
     drawn = lambda stream: F.transform(F.sequence(F.lit(1), more), lambda i: F.element_at(options, _byte(stream, i) % F.size(options) + 1))
-    return F.when(more > 0, F.array_join(let(_stream(F.concat_ws("|", seed, F.lit("wider")), more), drawn), "")).otherwise("")
+    return F.when(more > 0, F.array_join(let(_stream(key, F.concat_ws("|", seed, F.lit("wider")), more), drawn), "")).otherwise("")
+
 
+def _name(key: str, kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
+    """A name of the value's script and gender; one in capitals stays in capitals."""
 
-def _name(kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
     def drawn(stream: Column) -> Column:
         out = None
         for script, pattern in (("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("latin", "")):
             syllables, endings = _SYLLABLES[script]
-            end = reduce(lambda a, e: F.when(kind == f"name_{e[0]}", _pick(e[1].split(), _byte(stream, F.lit(3)))).otherwise(a), endings.items(), F.lit(""))
+            pick = lambda e: _pick(endings[e].split(), _byte(stream, F.lit(3)))  # noqa: E731, B023
+            last = reduce(lambda a, e: F.when(F.lower(value).rlike(e[1]), pick(e[0])).otherwise(a), _GENDERED[script].items(), pick("l"))  # noqa: B023
+            end = reduce(lambda a, g: F.when(kind == f"name_{g}", pick(g)).otherwise(a), "mfn", last)  # noqa: B023
             stem = [_pick(syllables.split(), _byte(stream, F.lit(k))) for k in range(3)]
-            name = F.initcap(F.concat(stem[0], stem[1], F.when(_byte(stream, F.lit(4)) % 2 == 0, stem[2]).otherwise(""), _wider(_texts(syllables.split()), seed, attempt), end))
+            name = F.initcap(F.concat(stem[0], stem[1], F.when(_byte(stream, F.lit(4)) % 2 == 0, stem[2]).otherwise(""), _wider(key, _texts(syllables.split()), seed, attempt), end))
+            name = F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(name)).otherwise(name)
             out = F.when(value.rlike(pattern), name) if out is None else out.when(value.rlike(pattern), name)
         return out
 
-    return let(_stream(seed, F.lit(8)), drawn)
+    return let(_stream(key, seed, F.lit(8)), drawn)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a value; another attempt gives another. An e-mail keeps its top-level domain, and one domain always becomes the same.
 
     From attempt OWN_FORMAT on it has that many more syllables (names), letters (e-mails, before the @) or digits.
     """
-    seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
-    octets = let(_stream(seed, F.lit(4)), lambda s: F.concat_ws(".", *((_byte(s, F.lit(k)) % 254 + 1).cast("string") for k in range(4))))
+    seed = F.concat_ws("|", kind, value, attempt.cast("string"))
+    octets = let(_stream(key, seed, F.lit(4)), lambda s: F.concat_ws(".", *((_byte(s, F.lit(k)) % 254 + 1).cast("string") for k in range(4))))
     domain = F.regexp_extract(value, r"@(.*)\.[^.]*$", 1)
-    letters, digits = (_wider(_texts(list(c)), seed, attempt) for c in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
-    mail = F.concat(_shaped(F.regexp_extract(value, "^([^@]*)@", 1), seed), letters, F.lit("@"), _shaped(domain, F.concat_ws("|", F.lit(key), F.lit("domain"), domain)), F.regexp_extract(value, r"(\.[^.]*)$", 1))
-    iban = F.concat(F.substring(value, 1, 2), _shaped(F.substring(value, F.lit(3), F.length(value) - 2), seed))
+    letters, digits = (_wider(key, _texts(list(c)), seed, attempt) for c in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
+    mail = F.concat(_shaped(key, F.regexp_extract(value, "^([^@]*)@", 1), seed), letters, F.lit("@"), _shaped(key, domain, F.concat_ws("|", F.lit("domain"), domain)), F.regexp_extract(value, r"(\.[^.]*)$", 1))
+    iban = F.concat(F.substring(value, 1, 2), _shaped(key, F.substring(value, F.lit(3), F.length(value) - 2), seed))
     code = F.regexp_extract(value, r"^(\+\d{1,3}(?=[ .(-]))", 1)
-    phone = F.concat(code, _shaped(F.substring(value, F.length(code) + 1, F.length(value)), seed))
-    name = _name(kind, value, seed, attempt)
-    out = F.when(kind == "email", mail).when(kind == "card", _luhn(F.concat(_shaped(value, seed), digits))).when(kind.startswith("name_"), name)
-    own = F.when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "phone", phone).otherwise(_shaped(value, seed))
+    phone = F.concat(code, _shaped(key, F.substring(value, F.length(code) + 1, F.length(value)), seed))
+    name = _name(key, kind, value, seed, attempt)
+    out = F.when(kind == "email", mail).when(kind == "card", _luhn(F.concat(_shaped(key, value, seed), digits))).when(kind.startswith("name_"), name)
+    own = F.when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "phone", phone).otherwise(_shaped(key, value, seed))
     return out.otherwise(F.concat(own, digits))
 
 
-def assign(values: DataFrame, key: str = KEY) -> DataFrame:
-    """(type, value, surrogate) for the distinct (type, value): no surrogate twice in a type, none that is a value of the type.
+def assign(values: DataFrame, key: str | None = None) -> DataFrame:
+    """(type, value, surrogate) for the distinct (type, value): no surrogate twice in a type, none that is a value of the type; all kinds of names are one type for that.
 
     Each round hashes anew the values that collide: of values with one surrogate those that had it before keep it, else
     the smallest does. Rounds work on all values by aggregation; they end as collisions are rare or, where a format
     has hardly more room than values, as the attempts from OWN_FORMAT on widen it by a factor of ten or more each.
     """
+    key = key or session_key(values.sparkSession)
+    space = F.regexp_replace("type", "^name_.*", "name").alias("space")
     draw = lambda df: df.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.col("attempt"), key))
     state = saved(draw(values.select("type", "value").withColumn("attempt", F.lit(0))), "surrogates")
-    taken = values.select("type", F.col("value").alias("surrogate"), F.lit(None).cast("struct<attempt:int,value:string>").alias("who"))
+    taken = values.select(space, F.col("value").alias("surrogate"), F.lit(None).cast("struct<attempt:int,value:string,type:string>").alias("who"))
     while True:
-        claims = state.select("type", "surrogate", F.struct("attempt", "value").alias("who")).unionByName(taken)
-        groups = claims.groupBy("type", "surrogate").agg(F.count("*").alias("n"), F.count("who").alias("m"), F.min("who").alias("keeps"))
-        clash = groups.where("n > 1 and m > 0").select("type", "surrogate", F.when(F.col("n") == F.col("m"), F.col("keeps")).alias("keeps"))
-        lost = state.join(clash, ["type", "surrogate"]).where(~F.struct("attempt", "value").eqNullSafe(F.col("keeps"))).select("type", "value", (F.col("attempt") + 1).alias("attempt"))
+        claims = state.select(space, "surrogate", F.struct("attempt", "value", "type").alias("who")).unionByName(taken)
+        groups = claims.groupBy("space", "surrogate").agg(F.count("*").alias("n"), F.count("who").alias("m"), F.min("who").alias("keeps"))
+        clash = groups.where("n > 1 and m > 0").select("space", "surrogate", F.when(F.col("n") == F.col("m"), F.col("keeps")).alias("keeps"))
+        lost = state.withColumn("space", space).join(clash, ["space", "surrogate"]).where(~F.struct("attempt", "value", "type").eqNullSafe(F.col("keeps"))).select("type", "value", (F.col("attempt") + 1).alias("attempt"))
         lost = saved(lost, "collisions")
         if lost.isEmpty():
             return state.select("type", "value", "surrogate")
         state = saved(state.join(lost, ["type", "value"], "left_anti").unionByName(draw(lost)), "surrogates")
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_entities, types) of every row of docs (doc_id, text; other columns are not read).
 
     text has every entity replaced, n_entities counts them (a name's first and last part are two), types are the
-    distinct types, sorted. A name found behind a title is replaced (and counted) wherever it is a word of that text. A null text stays null; texts without entities stay as they are. One value has one
-    surrogate in the whole table, and the same key gives the same surrogates for the same table. Rows that repeat a
+    distinct types, sorted. A name found behind a title is replaced (and counted) wherever it is a word of that text. A
+    null text stays null; texts without entities stay as they are. One value has one surrogate in the whole table, and
+    the same key gives the same surrogates for the same table; without one it is session_key(). Rows that repeat a
     doc_id each come back. Rows without doc_id are replaced like the others. An empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
