@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from momenta.llm.common import let
+from momenta.llm.common import let, saved
 
 WINDOW = 3
 _WORD = r"[^\x20\x09-\x0D]"
@@ -70,7 +70,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole and make nothing else go. An empty table gives none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = windows(rows.where("doc_id is not null"), window)
+    found = saved(windows(rows.where("doc_id is not null"), window), "windows")
     place = F.struct("doc_id", "j")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     marks = found.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
