@@ -8,28 +8,41 @@ from which a piece may still grow, the path so far, the piece before that place
 here. A transition emits the change in the number of tokens. States and transitions are compiled when first met.
 
 No piece goes on over a space behind a non-space, so there every state leads to the same one. A chunk of a text, whose
-first state isn't known, is therefore a short map: the characters before its first such boundary, the tokens from
-there to its last boundary, and the state at its end. Maps compose associatively; long texts are cut into chunks for
-different tasks, and a scan over the chunks' maps gives the whole.
+first state isn't known, has a state map: for each state that its first characters may leave, the tokens of the rest
+and the state at its end. The first characters are few (up to the first such boundary, or LEAD); they are kept, and
+read when the chunk before is known. Maps compose associatively and stay as small as one chunk's, whatever they span;
+long texts are cut into chunks for different tasks, and the maps are composed by a tree of aggregations.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from momenta.llm.common import saved
+
 #: Characters of a chunk; texts beyond are counted by several tasks.
 CHUNK = 1 << 16
 LIMIT = 4096
 SPACE = "▁"
-#: States that a task keeps compiled, and words whose counts it remembers.
+#: First characters of a map, behind which the states that the chunk before may leave have met but for their phase; the
+#: phases that are tried, characters that the runs go on before those that have met are put together, and maps that
+#: one task composes.
+LEAD = 512
+PHASES = 16
+MEET = 4096
+FAN = 64
+#: States that a task keeps compiled, words whose counts it remembers, and the characters of such a word.
 MAX_STATES = 1 << 18
 MAX_WORDS = 1 << 19
+MAX_WORD = 64
 
 _NEVER = float("inf")
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -121,9 +134,19 @@ class Transducer:
         return state, total
 
     def count(self, word: str) -> int:
+        return self.go_on(self.states[0], word)[1]
+
+    def go_on(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """run() from and to a state's own value, which any process understands."""
         if len(self.states) > MAX_STATES:
             self.clear()
-        return self.run(word)[1]
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        at, n = self.run(text, at)
+        return self.states[at], n
 
 
 class WordCounts(dict):
@@ -134,6 +157,8 @@ class WordCounts(dict):
         self.transducer = transducer
 
     def __missing__(self, word: str) -> int:
+        if len(word) > MAX_WORD:
+            return self.transducer.count(word)
         if len(self) > MAX_WORDS:
             self.clear()
         n = self[word] = self.transducer.count(word)
@@ -158,37 +183,86 @@ def load(model: str) -> WordCounts:
     return WordCounts(Transducer({p.piece: -p.score for p in normal}))
 
 
-#: The map of a chunk: (head, None) if it has no boundary, else (head, (tokens, tail)). head and tail are the characters
-#: before the first and behind the last boundary; a boundary lies before a space that follows a non-space.
-Map = tuple[str, tuple[int, str] | None]
+#: Where reading stands: whether the last character is a blank, and the transducer's state in the open word.
+Place = tuple[bool, tuple]
+START: Place = (True, (("", "", 0),))
+#: A place in front of a boundary: any, as the next character is a blank behind a non-blank.
+ANY = None
+#: A chunk's map: its first characters, and for each place that they may leave the tokens of the rest and the place at its
+#: end. A short chunk is all first characters and has no rest. A rest without entries is broken: the chunk before leaves
+#: a place that was not foreseen.
+Map = tuple[str, tuple[tuple[Place | None, int, Place], ...] | None]
+_BOUNDARY = re.compile(f"[^{SPACE}](?={SPACE})")
+
+
+def advance(at: Place | None, text: str, counts: WordCounts) -> tuple[Place, int]:
+    """The place behind text (SPACE for blanks) and the tokens emitted, from a place on."""
+    words = _WORDS.findall(text)
+    if not words:
+        return at, 0
+    blank, state = at or (False, START[1])
+    if words[0][0] == SPACE and not blank:
+        state = START[1]
+    go_on = counts.transducer.go_on
+    state, total = go_on(state, words[0])
+    if len(words) > 1:
+        total += sum(map(counts.__getitem__, words[1:-1]))
+        state, n = go_on(START[1], words[-1])
+        total += n
+    return (text[-1] == SPACE, state), total
+
+
+def chunk_map(chunk: str, counts: WordCounts, lead: int = LEAD) -> Map:
+    """The map of a chunk (SPACE for blanks). Without a boundary in its first characters, the places are those that are
+    left by them when begun one, two, ... characters later: texts that repeat a short pattern differ by such a phase."""
+    m = _BOUNDARY.search(chunk, 0, lead + 1)
+    if m:
+        end, n = advance(ANY, chunk[m.end() :], counts)
+        return chunk[: m.end()], ((ANY, n, end),)
+    if len(chunk) <= lead:
+        return chunk, None
+    head, rest = chunk[:lead], chunk[lead:]
+    entries = [*{advance(START, head[k:], counts)[0] for k in range(min(PHASES, lead))}]
+    # runs from several places meet: from there on they are one, with different tokens so far
+    runs = {e: [(e, 0)] for e in entries}
+    k = 0
+    while k < len(rest):
+        met: dict[Place, list[tuple[Place, int]]] = {}
+        upto = k + MEET if len(runs) > 1 else len(rest)
+        for at, who in runs.items():
+            to, n = advance(at, rest[k:upto], counts)
+            met.setdefault(to, []).extend((e, t + n) for e, t in who)
+        runs, k = met, upto
+    return head, tuple((e, t, to) for to, who in runs.items() for e, t in who)
 
 
-def chunk_map(chunk: str, counts: WordCounts) -> Map:
-    """chunk has SPACE for blanks. Its last word is open, as the next chunk may go on with it; so is its first."""
-    words = _WORDS.findall(chunk)
-    if len(words) < 2:
-        return chunk, None
-    return words[0], (sum(map(counts.__getitem__, words[1:-1])), words[-1])
+def _onward(rest, at: Place) -> tuple[int, Place] | None:
+    return next(((n, to) for e, n, to in rest if e is ANY or e == at), None)
+
 
+def _joined(first, rest):
+    """The entries of first whose ends the entries of rest go on from."""
+    return tuple((e, n + more[0], more[1]) for e, n, to in first if (more := _onward(rest, to)))
 
-def compose(a: Map, b: Map, counts: WordCounts) -> Map:
+
+def compose(a: Map, b: Map, counts: WordCounts, lead: int = LEAD) -> Map:
     """The map of a's chunk followed by b's."""
     (ha, ra), (hb, rb) = a, b
     if ra is None:
-        joined, tail = _WORDS.findall(ha + hb), rb
-        if len(joined) < 2:
-            return ha + hb, rb
-        return joined[0], (sum(counts[w] for w in joined[1:-1]), joined[-1]) if tail is None else (sum(counts[w] for w in joined[1:]) + tail[0], tail[1])
-    tokens, open_word = ra
-    joined = _WORDS.findall(open_word + hb)
-    if rb is None:
-        return ha, (tokens + sum(counts[w] for w in joined[:-1]), joined[-1] if joined else "")
-    return ha, (tokens + sum(counts[w] for w in joined) + rb[0], rb[1])
-
-
-def finish(m: Map, counts: WordCounts) -> int:
+        head, first = chunk_map(ha + hb, counts, lead)
+        return (head, first) if rb is None else (head, rb if first is None else _joined(first, rb))
+    read = tuple((e, n + m, to) for e, n, at in ra for to, m in [advance(at, hb, counts)])
+    return ha, read if rb is None else _joined(read, rb)
+
+
+def finish(m: Map, counts: WordCounts) -> int | None:
+    """The tokens of a whole text, or None for a broken map."""
     head, rest = m
-    return sum(counts[w] for w in _WORDS.findall(head)) + (rest[0] + sum(counts[w] for w in _WORDS.findall(rest[1])) if rest else 0)
+    at, n = advance(START, head, counts)
+    if rest is None:
+        return n
+    more = _onward(rest, at)
+    return None if more is None else n + more[0]
 
 
 def scan(maps: list[Map], counts: WordCounts) -> list[Map]:
@@ -200,6 +274,10 @@ def scan(maps: list[Map], counts: WordCounts) -> list[Map]:
     return out
 
 
+def _tuples(x):
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+
+
 def _escaped(text: str) -> str:
     return text.replace(" ", SPACE)
 
@@ -224,30 +302,63 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
             n = np.fromiter((text_tokens(t, counts) for t in batch["text"].to_pylist()), np.int64, len(batch))
             yield pa.record_batch([batch["doc_id"], batch["n_bytes"], pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = load_once(model)
-        for batch in batches:
-            text = [SPACE * (k == 0) + _escaped(t) for k, t in zip(batch["k"].to_pylist(), batch["part"].to_pylist(), strict=True)]
-            found = [chunk_map(t, counts) for t in text]
-            tokens, tail = [r and r[0] for _, r in found], [r and r[1] for _, r in found]
-            columns = [batch[c] for c in ("row", "doc_id", "n_bytes", "k")]
-            yield pa.record_batch([*columns, pa.array([h for h, _ in found], pa.string()), pa.array(tokens, pa.int64()), pa.array(tail, pa.string())], ["row", "doc_id", "n_bytes", "k", "head", "tokens", "tail"])
+    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
+    long = _long_counts(rows.where(F.length("text") > chunk), model, chunk)
+    return short.union(long).withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+_NAMES = ["row", "doc_id", "n_bytes", "k"]
+
+
+def _together(model: str, lead: int):
+    """Composes the maps of a group of neighbouring chunks: (row, doc_id, n_bytes, k, map, g) to one row, whose k is g."""
 
-    def together(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         counts = load_once(model)
         table = table.sort_by("k")
-        found: list[Map] = [(h, None if t is None else (t, e)) for h, t, e in zip(*(table[c].to_pylist() for c in ("head", "tokens", "tail")), strict=True)]
-        n = finish(scan(found, counts)[-1], counts)
-        return pa.table({"doc_id": table["doc_id"][:1], "n_bytes": table["n_bytes"][:1], "n_tokens": [n]})
+        whole, *others = (_tuples(json.loads(m)) for m in table["map"].to_pylist())
+        for m in others:
+            whole = compose(whole, m, counts, lead)
+        return pa.table([*(table[c][:1] for c in ("row", "doc_id", "n_bytes", "g")), [json.dumps(whole)]], [*_NAMES, "map"])
 
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
+    return run
+
+
+def _long_counts(rows: DataFrame, model: str, chunk: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of rows (doc_id, n_bytes, text) through the maps of chunks.
+
+    A level composes the maps of FAN neighbouring chunks; there are as many levels as the longest possible text needs.
+    Rows whose map breaks are read again with longer first characters, in the end with all.
+    """
     cuts = F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))
-    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    long = long.select("row", "doc_id", "n_bytes", F.explode(F.transform(cuts, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chunk + 1, F.lit(chunk)).alias("part")))).alias("c"))
-    long = long.select("row", "doc_id", "n_bytes", "c.k", "c.part").repartition("row", "k")
-    long = long.mapInArrow(maps, "row long, doc_id long, n_bytes long, k int, head string, tokens long, tail string")
-    long = long.groupBy("row").applyInArrow(together, "doc_id long, n_bytes long, n_tokens long")
-    return short.union(long).withColumn("over_limit", F.col("n_tokens") > limit)
+    parts = rows.withColumn("row", F.monotonically_increasing_id())
+    parts = parts.select("row", "doc_id", "n_bytes", F.explode(F.transform(cuts, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chunk + 1, F.lit(chunk)).alias("part")))).alias("c"))
+    left, lead, done = saved(parts.select("row", "doc_id", "n_bytes", "c.k", "c.part"), "chunks"), LEAD, []
+    while True:
+
+        def maps(batches: Iterator[pa.RecordBatch], lead=lead) -> Iterator[pa.RecordBatch]:
+            counts = load_once(model)
+            for batch in batches:
+                found = [chunk_map(SPACE * (k == 0) + _escaped(t), counts, lead) for k, t in zip(batch["k"].to_pylist(), batch["part"].to_pylist(), strict=True)]
+                yield pa.record_batch([*(batch[c] for c in _NAMES), pa.array(map(json.dumps, found), pa.string())], [*_NAMES, "map"])
+
+        def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = load_once(model)
+            for batch in batches:
+                n = [finish(_tuples(json.loads(m)), counts) for m in batch["map"].to_pylist()]
+                yield pa.record_batch([*(batch[c] for c in _NAMES[:3]), pa.array(n, pa.int64())], [*_NAMES[:3], "n_tokens"])
+
+        state = left.repartition("row", "k").mapInArrow(maps, "row long, doc_id long, n_bytes long, k int, map string")
+        most = (1 << 31) // chunk + 1
+        while most > 1:
+            state = state.withColumn("g", F.floor(F.col("k") / FAN).cast("int")).groupBy("row", "g").applyInArrow(_together(model, lead), state.schema)
+            most = -(-most // FAN)
+        found = saved(state.mapInArrow(ends, "row long, doc_id long, n_bytes long, n_tokens long"), "long-counts")
+        done.append(found.where("n_tokens is not null").drop("row"))
+        broken = found.where("n_tokens is null").select("row")
+        if broken.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        left, lead = saved(left.join(broken, "row", "left_semi"), "chunks"), lead * 64
 
 
 _loaded: dict[str, WordCounts] = {}
