@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +28,29 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
 #: Tags whose content is no text of the page.
-_RAW = frozenset("script style noscript template textarea svg math iframe object select title".split())
+_RAW = frozenset("script style template textarea iframe select title annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math semantics mrow mi mo mn ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mspace mstyle".split())
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _PARA = frozenset(("p", "li", "dt", "dd", "option", "tr", "td", "th", *_HEADINGS))
 #: An opening tag of the left ends an open element of the right, up to the nearest container.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that hold the paragraphs of an article, or of something else.
+_HOLDS = frozenset("div section article main aside nav header footer td form body".split())
 _SCOPE = frozenset("div section article main aside nav header footer ul ol dl table form body html blockquote figure".split())
 
 
 @dataclass
 class Block:
+    """text, the tags and marks of the elements around it, their numbers in the page, and characters in links."""
+
     text: str
     path: tuple[tuple[str, str], ...]
+    inside: tuple[int, ...] = ()
     linked: int = 0
 
 
@@ -52,19 +60,20 @@ class _Page:
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
-    def flush(self, stack: list[tuple[str, str]]) -> None:
+    def flush(self, stack: list[tuple[str, str, int]]) -> None:
         t = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
         if t:
-            self.blocks.append(Block(t, tuple(x for x in stack if x[0] not in _INLINE), self.linked))
+            around = [x for x in stack if x[0] not in _INLINE]
+            self.blocks.append(Block(t, tuple(x[:2] for x in around), tuple(x[2] for x in around), self.linked))
         self.text, self.linked = [], 0
 
 
 def _marks(attributes: str) -> str:
-    """The words of class, id and role."""
-    return " ".join((a or b or c).lower() for a, b, c in _ATTR.findall(attributes)) if attributes else ""
+    """The words of class, id and role, cut where capitals begin one (siteHeader)."""
+    return " ".join(_CAMEL.sub("-", a or b or c).lower() for a, b, c in _ATTR.findall(attributes)) if attributes else ""
 
 
-def _open_from(stack: list[tuple[str, str]], name: str) -> int | None:
+def _open_from(stack: list[tuple[str, str, int]], name: str) -> int | None:
     """Where the element begins that an opening block tag ends: an open paragraph, or the item before, in the same container."""
     ended = {"p", *_ENDS.get(name, ()), *(_HEADINGS if name in _PARA else ())}
     for k in range(len(stack) - 1, -1, -1):
@@ -77,7 +86,7 @@ def _open_from(stack: list[tuple[str, str]], name: str) -> int | None:
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; markup may be broken: what isn't closed ends with its container."""
-    out, stack, at, links = _Page(), [], 0, 0
+    out, stack, at, links, number = _Page(), [], 0, 0, 0
     page = page or ""
 
     def cut(k: int) -> int:
@@ -115,7 +124,8 @@ def blocks(page: str | None) -> list[Block]:
             if not inline and (k := _open_from(stack, name)) is not None:
                 links = cut(k)
             if not empty:
-                stack.append((name, _marks(attributes)))
+                number += 1
+                stack.append((name, _marks(attributes), number))
                 links += name == "a"
     out.flush(stack)
     return out.blocks
@@ -124,11 +134,11 @@ def blocks(page: str | None) -> list[Block]:
 _HINTS = (
     ("menu", "nav menu navbar breadcrumb breadcrumbs tabs toc sitemap pagination pager"),
     ("head", "header masthead banner topbar logo branding"),
-    ("foot", "footer copyright colophon legal bottom"),
+    ("foot", "footer copyright colophon legal bottom disclaimer imprint"),
     ("side", "sidebar aside related widget rail recommended trending popular more teaser"),
     ("note", "notice cookie consent gdpr popup modal alert overlay message warning newsletter subscribe signup paywall"),
     ("ad", "ad ads advert advertisement sponsored sponsor promo banner-ad adsense"),
-    ("talk", "comment comments reply replies respond disqus discussion reader feedback"),
+    ("talk", "comment comments reply replies respond response responses disqus discussion reader feedback"),
     ("share", "share social follow tags meta byline author-box search login form"),
     ("main", "article content main post entry story body text page-content article-body"),
 )
@@ -147,34 +157,74 @@ def _hints(marks: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=4096)
-def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    """From the ancestors: their tags, what their classes hint at, and which of either comes last."""
+def _path_features(path: tuple[tuple[str, str], ...], wide: int) -> tuple[str, ...]:
+    """From the ancestors: their tags, what their marks hint at, and which of either comes last.
+
+    Marks of the root and of elements around nearly all text of the page (the first `wide`) are about its layout and
+    count apart, but for comments.
+    """
     out = {"bias", f"tag={path[-1][0] if path else ''}"}
     last = ""
-    for tag, marks in path:
-        if tag in _SCOPE or tag in ("button", "fieldset", "figcaption", "address", "menu", "dialog", "details"):
+    for k, (tag, marks) in enumerate(path):
+        if tag in _SCOPE or tag in ("button", "fieldset", "figcaption", "address", "menu", "dialog", "details", "noscript"):
             if tag not in ("html", "body", "div"):
                 out.add(f"in={tag}")
                 last = f"near={tag}"
+        if tag in ("html", "body"):
+            continue
         for h in _hints(marks):
-            out.add(f"hint={h}")
-            last = f"near={h}"
+            if k < wide and h not in ("talk", "main"):
+                out.add(f"wide={h}")
+            else:
+                out.add(f"hint={h}")
+                last = f"near={h}"
     return (*sorted(out), last or "near=")
 
 
+#: Share of a page's text from which an element is about all of it, words by which blocks differ, and those that are counted in one.
+WIDE = 0.8
+SOME = 4
+PROSE = 12
+MANY = 40
+
+
+def _n_words(text: str) -> int:
+    """The words of text, up to MANY."""
+    return sum(1 for _ in islice(_WORD.finditer(text), MANY))
+
+
 def features(chain: list[Block]) -> list[list[str]]:
-    """Features of each block of a page."""
+    """Features of each block of a page: its ancestors', its text's, and how much of the page's text its container holds."""
+    words, linked = [_n_words(b.text) for b in chain], [b.linked / len(b.text) for b in chain]
+    prose = [len(b.text) if w >= SOME and x < 0.4 else 0 for b, w, x in zip(chain, words, linked, strict=True)]
+    heads = next((b.inside for b in chain if any(t in ("article", "main", "h1") for t, _ in b.path)), None)
+    total, held = sum(prose), Counter()
+    containers = []
+    for b, n in zip(chain, prose, strict=True):
+        near = next((i for i, (t, _) in zip(b.inside[::-1], b.path[::-1], strict=True) if t in _HOLDS), 0)
+        containers.append(near)
+        for i in b.inside:
+            held[i] += n
+        if not b.inside:
+            held[0] += n
+    own = Counter()
+    for c, n in zip(containers, prose, strict=True):
+        own[c] += n
+    best = max(own, key=own.__getitem__, default=0)
+    here = [k for k, (c, n) in enumerate(zip(containers, prose, strict=True)) if c == best and n] if total else []
     out = []
-    for b in chain:
-        n = len(b.text)
-        words = len(_WORD.findall(b.text[:2000]))
-        size = "0" if words < 4 else "1" if words < 12 else "2" if words < 40 else "3"
-        linked = b.linked / n
-        f = [*_path_features(b.path), f"size={size}", "links=" + ("no" if linked == 0 else "few" if linked < 0.4 else "most")]
-        if b.text[0] in "©™" or "©" in b.text[:80]:
+    for k, b in enumerate(chain):
+        size = "0" if words[k] < SOME else "1" if words[k] < PROSE else "2" if words[k] < MANY else "3"
+        wide = sum(held[i] >= WIDE * total and (heads is None or i in heads) for i in b.inside) if total else 0
+        f = [*_path_features(b.path, wide), f"size={size}", "links=" + ("no" if linked[k] == 0 else "few" if linked[k] < 0.4 else "most")]
+        if "©" in b.text and words[k] < MANY or b.text[0] == "™":
             f.append("copyright")
         if b.text[-1] in ".!?。":
             f.append("stop")
+        if here:
+            f.append("own=" + ("best" if containers[k] == best else "some" if 5 * own[containers[k]] >= own[best] else "few"))
+            f.append("at=" + ("before" if k < here[0] else "after" if k > here[-1] else "within"))
+            f += [f"{f[-1]},size={size}", f"{f[-1]},{'linked' if linked[k] >= 0.4 else 'not'}"]
         out.append(f)
     return out
 
@@ -232,17 +282,45 @@ class ChainModel:
         return value
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> ChainModel:
-    """Maximum likelihood with a quadratic penalty, by adaptive gradient steps over all pages."""
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> ChainModel:
+    """Maximum likelihood with a quadratic penalty, by adaptive gradient steps over all pages at once.
+
+    ChainModel.gradient() is the same for one page; here the forward and backward sums go over all pages, padded.
+    """
     chains = [features(b) for b, _ in pages]
     names = {x: k for k, x in enumerate(sorted({x for c in chains for f in c for x in f}))}
     model = ChainModel(names)
-    ids = [model.ids(c) for c in chains]
+    n, most = len(chains), max(map(len, chains))
+    x = np.zeros((sum(map(len, chains)), len(names)))
+    at, inside = np.zeros((n, most), np.int64), np.zeros((n, most), bool)
+    label = np.zeros((n, most), np.int64)
+    row = 0
+    for p, (c, (_, y)) in enumerate(zip(chains, pages, strict=True)):
+        for k, f in enumerate(c):
+            x[row, [names[v] for v in f]] = 1
+            at[p, k], inside[p, k], label[p, k] = row, True, y[k]
+            row += 1
+    seen = np.zeros((len(x), 2))
+    seen[at[inside], label[inside]] = 1
+    pairs = np.zeros((2, 2))
+    both = inside[:, 1:]
+    np.add.at(pairs, (label[:, :-1][both], label[:, 1:][both]), 1)
     sw, st = np.full_like(model.w, 1e-8), np.full_like(model.t, 1e-8)
+    add = np.logaddexp
     for _ in range(rounds):
-        gw, gt = -decay * len(pages) * model.w, -decay * len(pages) * model.t
-        for i, (_, labels) in zip(ids, pages, strict=True):
-            model.gradient(i, labels, gw, gt)
+        s, t = (x @ model.w)[at], model.t
+        up, down = np.zeros((n, most, 2)), np.zeros((n, most, 2))
+        up[:, 0] = s[:, 0]
+        for k in range(1, most):
+            up[:, k] = add(up[:, k - 1, :1] + t[0], up[:, k - 1, 1:] + t[1]) + s[:, k]
+        for k in range(most - 2, -1, -1):
+            later = s[:, k + 1] + down[:, k + 1]
+            down[:, k] = np.where(inside[:, k + 1, None], add(t[:, 0] + later[:, :1], t[:, 1] + later[:, 1:]), 0)
+        z = add(up[:, 0, 0] + down[:, 0, 0], up[:, 0, 1] + down[:, 0, 1])
+        expected = np.exp(up + down - z[:, None, None])[inside]
+        pair = np.exp(up[:, :-1, :, None] + t + (s + down)[:, 1:, None, :] - z[:, None, None, None])[both].sum(axis=0)
+        gw = x[at[inside]].T @ (seen[at[inside]] - expected) - decay * n * model.w
+        gt = pairs - pair - decay * n * model.t
         sw += gw * gw
         st += gt * gt
         model.w += rate * gw / np.sqrt(sw)
@@ -269,8 +347,17 @@ _INSIDE = (
 _HOLDERS = ("<article>", "<main>", "<main><article>", "<div class='content'>", "<div id='main'>", "<div class='post'>", "<div class='article-body'>", "<div>", "", "<div role='main'>", "<section class='story'>", "<div class='wrapper'><article class='post'>")
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[list[Block], list[int]]]:
-    """Pages of the layouts above in random order, with each block's label; the words mean nothing, no feature looks at them."""
+#: Marks that mislead: of wrappers around a whole page, and what stands for the usual words of a mark.
+_MISLEADING = ("has-header has-footer sidebar-right", "popular-science", "page-header-fixed", "promo-layout", "with-sidebar", "comment-enabled-false", "ad-free", "menu-open", "related-topics", "news-alert-theme")
+_OTHER = {"header": "siteHeader", "footer": "pageFooter", "ad": "adBox", "advert": "advertSlot", "menu": "mainMenu", "nav": "topNav", "comments": "userComments", "comment": "userComment", "sidebar": "rightSidebar", "related": "relatedPosts", "share": "shareBar", "cookie-notice": "cookieBanner", "notice": "siteNotice", "newsletter": "newsletterBox", "widget": "widgetArea", "content": "mainContent", "post": "blogPost"}
+
+
+def labelled_pages(n: int = 240, seed: int = 7, noise: float = 0.0) -> list[tuple[list[Block], list[int]]]:
+    """Pages of the layouts above in random order, with each block's label; the words mean nothing, no feature looks at them.
+
+    With that chance each, a page's marks are left out, or written otherwise, and a wrapper with a misleading mark is
+    put around it or its article.
+    """
     rng = np.random.default_rng(seed)
 
     def text(kind: str) -> str:
@@ -278,22 +365,35 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[list[Block], list[
         words = " ".join("w" * int(k) for k in rng.integers(2, 9, int(rng.integers(least, most))))
         return f"© {words}" if kind == "legal" else words + ("." if kind in ("some", "prose") and rng.random() < 0.8 else "")
 
-    def element(opening: str, kind: str) -> str:
-        return opening + text(kind) + "".join(f"</{t}>" for t in re.findall(r"<(\w+)", opening)[::-1])
+    def closing(opening: str) -> str:
+        return "".join(f"</{t}>" for t in re.findall(r"<(\w+)", opening)[::-1])
 
     pages = []
     for _ in range(n):
         label, parts, holder = [], [], _HOLDERS[rng.integers(len(_HOLDERS))]
+        bare, other, wrapped, around_article = (rng.random(4) < noise).tolist() if noise else [False] * 4
+
+        def marked(opening: str, bare=bare, other=other) -> str:
+            if bare:
+                return re.sub(r" (?:class|id|role)='[^']*'", "", opening)
+            return re.sub(r"'([^']*)'", lambda m: f"'{_OTHER.get(m[1], m[1])}'", opening) if other else opening
+
+        wrapper = f"<div class='{_MISLEADING[rng.integers(len(_MISLEADING))]}'>" if wrapped or around_article else ""
+        if around_article:
+            holder = wrapper + holder
         groups = ((_BEFORE, int(rng.integers(0, 5)), ""), (_INSIDE, int(rng.integers(1, 14)), holder), (_AFTER, int(rng.integers(0, 6)), ""))
         for options, count, around in groups:
             body = []
             for k in rng.integers(0, len(options), count):
-                repeat = int(rng.integers(1, 7)) if options[k][1] == "link" else 1
-                for _ in range(repeat):
-                    body.append(element(*options[k][:2]))
-                    label.append(options[k][2])
-            parts.append(around + "".join(body) + "".join(f"</{t}>" for t in re.findall(r"<(\w+)", around)[::-1]))
-        found = blocks("<body>" + "".join(parts) + "</body>")
+                opening, kind, y = options[k]
+                if bare and opening.startswith("<div") and not y and (kind not in ("link", "legal") or options is _INSIDE):
+                    continue  # nothing tells it from the article's own
+                for _ in range(int(rng.integers(1, 7)) if kind == "link" else 1):
+                    body.append(marked(opening) + text(kind) + closing(opening))
+                    label.append(y)
+            parts.append(marked(around) + "".join(body) + closing(around))
+        whole = "".join(parts)
+        found = blocks("<body>" + (wrapper + whole + "</div>" if wrapped and not around_article else whole) + "</body>")
         if found and len(found) == len(label):
             pages.append((found, label))
     return pages
@@ -305,7 +405,7 @@ _model: list[ChainModel] = []
 def model() -> ChainModel:
     """The model of this process, trained when first asked for; the pages and the steps are fixed, so all are equal."""
     if not _model:
-        _model.append(train(labelled_pages()))
+        _model.append(train(labelled_pages() + labelled_pages(360, 11, 0.35)))
     return _model[0]
 
 
