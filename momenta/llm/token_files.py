@@ -29,6 +29,8 @@ from momenta.llm.common import saved, scratch
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
+#: Ids that a task reads back.
+READ = 64 << 20
 END_ID = 2
 #: Words and other pieces whose ids a task remembers, and texts whose ids are put together at once.
 MEMORY = 1_000_000
@@ -250,7 +252,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, se
 def read(index: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, file, place) from the files: start is the number of ids of all documents before.
 
-    A task reads the documents of its part of the index, each from its place in its file.
+    A task reads the documents of its part of the index, each from its place in its file. Parts are ranges of files and
+    places, as many as files or, where these are larger, as blocks of READ ids: the index's own size says nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +272,11 @@ def read(index: DataFrame) -> DataFrame:
     # a row for each file, and running sums over files
     files = index.groupBy("file", "part").agg(F.max(F.col("place") + F.col("n_tokens")).alias("ids"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    found = index.select("file", "doc_id", "place", "n_tokens").mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
-    return found.join(files, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
+    files = saved(files.select("file", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before")), "files")
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    parts = index.repartitionByRange(max(1, n, -(-total // READ)), "part", "place").sortWithinPartitions("part", "place")
+    found = parts.select("file", "doc_id", "place", "n_tokens").mapInArrow(run, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return found.join(files.drop("ids"), "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "file", "place")
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE) -> DataFrame:
