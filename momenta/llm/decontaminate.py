@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momenta.llm.common import saved
@@ -40,7 +40,7 @@ def words(text: str | None) -> list[bytes]:
 class Items:
     """The benchmark as arrays: its suffixes, each with its item, its words' numbers and the window that starts there."""
 
-    ids: list[str]
+    ids: list[str | None]
     vocabulary: dict[bytes, int]
     text: np.ndarray
     start: np.ndarray
@@ -68,7 +68,7 @@ def build_items(rows: list[tuple[object, str | None]], window: int = WINDOW) ->
         start += range(len(text), len(text) + len(w))
         length += range(len(w), 0, -1)
         item += [len(ids)] * len(w)
-        ids.append(str(name))
+        ids.append(None if name is None else str(name))
         text += [vocabulary.setdefault(x, len(vocabulary)) for x in w]
     as_int = lambda x: np.array(x, np.int64)
     return Items(ids, vocabulary, as_int(text), as_int(start), as_int(length), as_int(item), least, window)
@@ -185,7 +185,7 @@ def _pass(items: Items, last: bool):
         for batch in batches:
             shard = Shard(batch["text"].to_pylist(), items)
             suffix, doc, at = shard.matches()
-            found: list[set[str]] = [set(x or ()) for x in batch["items"].to_pylist()]
+            found: list[set[str | None]] = [set(x or ()) for x in batch["items"].to_pylist()]
             for d, i in {*zip(doc.tolist(), items.item[suffix].tolist(), strict=True)}:
                 found[d].add(items.ids[i])
             size = items.need[suffix]
@@ -199,10 +199,11 @@ def _pass(items: Items, last: bool):
             spans: list[list[int]] = [[] for _ in range(len(batch))]
             for d, (s, e) in zip(of.tolist(), (cut - shard.offset[of][:, None]).tolist(), strict=True):
                 spans[d] += [s, e]
-            keep = [batch["doc_id"], batch["text"] if not last else pa.nulls(len(batch), pa.string())]
+            ordered = [sorted(x, key=lambda i: (i is not None, i or "")) for x in found]
+            keep = [batch["row"], batch["text"] if not last else pa.nulls(len(batch), pa.string())]
             yield pa.record_batch(
-                [*keep, pa.array(shard.n_words), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "spans", "items"],
+                [*keep, pa.array(shard.n_words), pa.array(spans, pa.list_(pa.int64())), pa.array(ordered, pa.list_(pa.string()))],
+                ["row", "text", "n_words", "spans", "items"],
             )
 
     return run
@@ -210,11 +211,11 @@ def _pass(items: Items, last: bool):
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Items, bool]]:
     """The benchmark as Items in blocks of about block_bytes of text, and whether it is the last."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield build_items([tuple(r) for r in part.collect()], window), k == blocks - 1
 
 
@@ -242,17 +243,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return best.select("item_id", "at", (-F.col("b.n")).alias("length"), "b.doc_id", "b.place")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every row of docs (doc_id, text): hit words and the items whose windows occur.
-
-    spans holds starts and ends of runs of hit words, in turn; items are item_ids as strings, sorted. benchmark is
-    (item_id, text); a window is `window` consecutive words of an item, or a whole item of fewer. Null and empty texts
-    have no words and no windows. Rows that repeat a doc_id each come back; items that repeat an item_id are one. The
-    benchmark is read to the tasks in blocks of at most block_bytes of text (or one item), one pass over docs for each.
-    """
-    spark = docs.sparkSession
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    df = df.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
+def _matched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(row, n_words, spans, items) of rows (row, text), where row is a struct that goes through the tasks as it is."""
+    spark = rows.sparkSession
+    df = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<long>"), "items": F.lit(None).cast("array<string>")})
     for items, last in _blocks(benchmark, window, block_bytes):
         # a block of the benchmark is a broadcast variable of bounded size
         shared = spark.sparkContext.broadcast(items)
@@ -262,15 +256,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     return df.drop("text")
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, spans, items) of every row of docs (doc_id, text): hit words and the items whose windows occur.
+
+    spans holds starts and ends of runs of hit words, in turn; items are item_ids as strings, sorted. benchmark is
+    (item_id, text); a window is `window` consecutive words of an item, or a whole item of fewer. Null and empty texts
+    have no words and no windows. Rows that repeat a doc_id each come back; items that repeat an item_id are one. Items
+    without item_id hit like others and are together one item, null, which comes first in items. The benchmark is read
+    to the tasks in blocks of about block_bytes of text (or one row), one pass over docs for each.
+    """
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.col("text").cast("string").alias("text"))
+    return _matched(rows, benchmark, window, block_bytes).select("row.doc_id", "n_words", "spans", "items")
+
+
+def _hits() -> Column:
+    return F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """matches() summed up: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (one hit word in `share` or more)."""
+    """matches() summed up: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (one hit word in `share` or more).
+
+    n_items counts the item without item_id; items_sha256 is of the others.
+    """
     found = matches(docs, benchmark, window)
-    n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    found = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    found = found.select("doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return found.withColumn("contaminated", _contaminated(share))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """docs without the contaminated rows; all columns stay. Rows that share a doc_id go if one of them is contaminated; rows without doc_id stay."""
-    gone = report(docs, benchmark, window, share).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs without the contaminated rows; all columns stay. Each row is judged by its own text, in the task that reads it."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    found = _matched(rows, benchmark, window, BLOCK_BYTES).withColumn("n_hit", _hits())
+    return found.where(~_contaminated(share)).select("row.*")

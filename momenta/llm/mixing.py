@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
     The whole of all sizes is shared by weight. A source whose share is above max_epochs times its size gets that, and
     the excess is shared anew by weight until none is above: with sources by size / weight, smallest first, those in
-    front of the first that stays below are capped, and running sums tell which. A table of sources, not of documents.
+    front of the first that stays below are capped, and running sums tell which. A table of sources, not of documents:
+    one task orders all of them, which suits up to some millions of sources.
     """
     every = Window.partitionBy(F.lit(0))
     place = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -88,39 +89,58 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", cut.alias("cut"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every row of docs (doc_id, text, source).
-
-    size counts words of the whole text (null: 0), target is the words that the row's source is to give, copies how
-    often the mix takes the document: the whole part of target / source_size for all documents of a source, and once
-    more for those below its threshold. taken = copies * size. Rows that repeat a doc_id have one hash and go together;
-    so do rows without doc_id. A null source is a source of its own, last in order. A source without words takes none
-    of the total; its documents have no copies. An empty table gives none.
-    """
-    rows = docs.select(
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, h) of every row."""
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ).withColumn("h", hash60(F.col("doc_id"), seed))
-    rows = saved(rows, "sizes")
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """(plan_source, source_size, target, whole, cut): a row for each source, from the rows of _sized."""
     plan = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs), "targets")
     whole = F.floor(F.col("target") / F.col("source_size"))
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.least(whole, F.lit(max_epochs))).otherwise(F.lit(0)).cast("long"))
     budgets = plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
     cuts = _thresholds(rows.select("source", "h", "size"), budgets).withColumnRenamed("source", "cut_source")
     plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["cut_source"])).drop("cut_source").withColumnRenamed("source", "plan_source")
-    # a source at its limit has no budget beyond the whole copies, so its cut is 0 and nothing exceeds max_epochs
-    copies = F.when(F.col("source_size") > 0, F.col("whole") + F.when((F.col("whole") < max_epochs) & (F.col("h") < F.col("cut")), 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
-    out = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).withColumn("copies", copies)
+    return saved(plan, "plan")
+
+
+def _copies(max_epochs: int) -> Column:
+    """How often a row (h) with its source's plan is taken.
+
+    A source at its limit has no budget beyond the whole copies, so its cut is 0 and nothing exceeds max_epochs.
+    """
+    once_more = F.when((F.col("whole") < max_epochs) & (F.col("h") < F.col("cut")), 1).otherwise(0)
+    return F.when(F.col("source_size") > 0, F.col("whole") + once_more).otherwise(F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) of every row of docs (doc_id, text, source).
+
+    size counts words of the whole text (null: 0), target is the words that the row's source is to give, copies how
+    often the mix takes the document: the whole part of target / source_size for all documents of a source, and once
+    more for those below its threshold. taken = copies * size. Rows that repeat a doc_id have one hash and go together;
+    so do rows without doc_id. A null source is a source of its own, last in order. A source without words takes none
+    of the total; its documents have no copies. An empty table gives none.
+    """
+    rows = saved(_sized(docs, seed), "sizes")
+    plan = _plan(rows, weights, max_epochs)
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).withColumn("copies", _copies(max_epochs))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as mix() takes it; all columns stay.
 
-    A doc_id's rows count once each, all with the copies of the doc_id; where they differ (other sources), the most.
+    A row's copies follow from its doc_id and its source's threshold, so texts are read with the plan of the sources
+    (a small table) and never meet by doc_id.
     """
-    taken = mix(docs, weights, max_epochs, seed).groupBy("doc_id").agg(F.max("copies").alias("n"))
-    taken = taken.where("n > 0").select(F.col("doc_id").alias("mix_id"), "n")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"]))
-    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), taken["n"].cast("int"))).alias("mix_copy")).drop("mix_copy")
+    plan = _plan(saved(_sized(docs, seed), "sizes"), weights, max_epochs)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col("source").cast("string").alias("own_source"), hash60(F.col("doc_id").cast("long"), seed).alias("h"))
+    out = rows.join(plan, rows["own_source"].eqNullSafe(plan["plan_source"])).withColumn("copies", _copies(max_epochs)).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -18,6 +18,8 @@ from momenta.llm.common import components, saved
 
 SEGMENT = 32
 MAX_BITS = 3
+#: Fingerprints of a key beyond which it is split.
+HOT = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes that are unpacked to bits at a time.
 _BLOCK = 1 << 15
@@ -107,15 +109,40 @@ def variants(fps: DataFrame) -> DataFrame:
     )
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _hot_keys(fps: DataFrame, hot: int) -> DataFrame:
+    """(key): keys that more than `hot` fingerprints may have, and all that have so many.
+
+    A variant joins two values of a segment, so one of the two is on more than half as many fingerprints; two rows a
+    fingerprint are counted instead of 64.
+    """
+    mask = 2**SEGMENT - 1
+    values = fps.select(F.explode(F.expr(f"array(struct(0 AS s, shiftrightunsigned(fp, {SEGMENT}) AS v), struct(1 AS s, fp & {mask} AS v))")).alias("x")).select("x.s", "x.v")
+    many = values.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot // 2)
+    bit = F.explode(F.expr(f"sequence(0, {SEGMENT - 1})")).alias("b")
+    key = F.expr(f"shiftleft(cast(s * {SEGMENT} + b AS bigint), {SEGMENT}) | (v & ~shiftleft(1L, b))")
+    return many.select("s", "v", bit).select(key.alias("key")).distinct()
+
+
+def _split(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """index with the rows of the keys dealt to sub-keys: two that differ in at most three bits have one of the four bytes of the segment that the key doesn't hold in common."""
+    other = F.expr(f"CASE WHEN key >= 0 AND shiftright(key, {SEGMENT}) < {SEGMENT} THEN fp & {2**SEGMENT - 1} ELSE shiftrightunsigned(fp, {SEGMENT}) END")
+    rows = index.join(keys.withColumn("hot", F.lit(True)), "key", "left").withColumn("other", other)
+    parts = F.array(*(F.expr(f"xxhash64(key, {b}, shiftright(other, {8 * b}) & 255)") for b in range(SEGMENT // 8)))
+    return rows.select(F.explode(F.when(F.col("hot"), parts).otherwise(F.array("key"))).alias("key"), "fp")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect exactly what links at max_bits or fewer connect.
 
     Of the rows of a key, only a spanning forest of the verified links is given, not all pairs. fps holds each fp once,
-    so copies of a text add nothing.
+    so copies of a text add nothing. Keys of more than `hot` fingerprints are split for several tasks.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments find links of 0 to 3 bits")
-    index = variants(fps).repartition("key").sortWithinPartitions("key")
+    index, keys = variants(fps), saved(_hot_keys(fps, hot), "hot-keys")
+    if not keys.isEmpty():
+        index = _split(index, keys)
+    index = index.repartition("key").sortWithinPartitions("key")
     return index.mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
@@ -141,5 +168,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_
     Rows that repeat the kept doc_id are one document and all stay; rows without doc_id go if their component has one.
     """
     found = near_duplicates(docs, shingle, max_bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    gone = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).where("not kept").drop("kept")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
