@@ -95,6 +95,24 @@ def test_quality_distance_is_mahalanobis(spark):
     assert quality.chi2_quantile(0.99, 6) == pytest.approx(16.81189, abs=1e-4)
 
 
+def test_quality_estimate_is_the_least_determinant(spark):
+    """Against all subsets of nine of twelve rows: the estimate's determinant is the least one, but for a local one now and then, never one below."""
+    rng = np.random.default_rng(0)
+    least_dev = np.array([w for _, _, w in quality.VECTOR])
+    scale = quality.CORE / quality.chi2_cdf(quality.chi2_quantile(quality.CORE, quality.D), quality.D + 2)
+    rows, want = [], {}
+    for g in range(12):
+        x = rng.normal(0, 1, (12, quality.D)) @ rng.normal(0, 1, (quality.D, quality.D)) * least_dev * 3
+        x[: g % 4] += least_dev * rng.normal(20, 5, quality.D)
+        rows += [(str(g), None, *map(float, v)) for v in x]
+        cov = lambda s: scale * np.cov(x[list(s)].T, bias=True) + np.diag(least_dev**2)  # noqa: E731, B023
+        want[str(g)] = min(np.linalg.slogdet(cov(s))[1] / 2 for s in itertools.combinations(range(12), 9))
+    df = spark.createDataFrame(rows, f"g_0 string, g_1 string, {', '.join(f'{n} double' for n in quality.NAMES)}")
+    got = {r.g_0: sum(np.log(r[f"c_{i}_{i}"]) for i in range(quality.D)) for r in quality.estimate(df).collect()}
+    gaps = [got[g] - want[g] for g in want]
+    assert min(gaps) > -1e-6 and sum(d < 1e-6 for d in gaps) >= 9
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -170,6 +188,27 @@ def test_links_of_a_dense_cluster(spark):
     assert len({label.get(x, x) for x in fps}) == groups
 
 
+def test_links_of_split_keys(spark):
+    """Many fingerprints with one half in common: split keys link what whole keys link."""
+    from momenta.llm.common import components
+
+    rng = np.random.default_rng(3)
+    halves = [int(x) for x in rng.integers(2**31, size=2)]
+    fps = set()
+    for k in range(600):
+        f = halves[k % 2] << 32 | int(rng.integers(2**32)) if k % 3 else int(rng.integers(2**31)) << 32 | halves[k % 2]
+        fps |= {f, f ^ sum({1 << int(j) for j in rng.integers(0, 63, 3)})}
+    df = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    groups = []
+    for hot in (simhash.HOT, 20):
+        parts = collections.defaultdict(set)
+        for r in components(simhash.links(df, hot=hot)).collect():
+            parts[r.root].add(r.node)
+        groups.append(sorted(map(sorted, parts.values())))
+    assert groups[0] == groups[1] and len(groups[0]) > 100
+    assert simhash._hot_keys(df, simhash.HOT).isEmpty() and not simhash._hot_keys(df, 20).isEmpty()
+
+
 def plain_mix(docs):
     size = [len(words(t)) for _, t, _ in docs]
     names = sorted({s for *_, s in docs}, key=lambda s: (s is None, s))
@@ -245,6 +284,32 @@ def test_chunk_maps_compose_in_any_order(nasty):
             assert token_counts.finish(left, counts) == token_counts.finish(right, counts) == token_counts.finish(token_counts.scan(maps, counts)[-1], counts) == want
 
 
+def test_long_texts_without_blanks_compose(spark):
+    """Texts without blanks, of one pattern again and again, and of many scripts: any chunk size gives the library's counts."""
+    import random
+
+    import sentencepiece
+
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123+/") for _ in range(9000)), "漢字한국的是不了" * 900, "=" * 7001, "ab-" * 2500, " " * 3000 + "x" * 3000, "the end " * 800 + "z" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (1 << 9, 1000, 64):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, PIECES, chunk=chunk).collect()}
+        assert got == {i: len(lib.encode(t, num_threads=1)) for i, t in enumerate(texts)}
+    ones = df.where("doc_id = 3").withColumn("text", F.substring("text", 1, 900))
+    assert token_counts.count_tokens(ones, PIECES, chunk=1).first().n_tokens == len(lib.encode(texts[3][:900], num_threads=1))
+
+
+def test_maps_stay_small():
+    counts = token_counts.load_once(PIECES)
+    for text in ("q7Z" * 300_000, "=" * 500_000, "word " * 100_000):
+        maps = [token_counts.chunk_map(text[k : k + 50_000].replace(" ", token_counts.SPACE), counts) for k in range(0, len(text), 50_000)]
+        whole = maps[0]
+        for m in maps[1:]:
+            whole = token_counts.compose(whole, m, counts)
+        assert len(repr(whole)) < 20_000
+
+
 def test_token_files_round_trip(spark, nasty, tmp_path):
     from tokenizers import Tokenizer
 
@@ -304,6 +369,14 @@ def test_decontamination_against_loops(spark):
                 assert got[i] == want
 
 
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "p q x y"), (2, "a b"), (3, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "x"), (None, "q x"), ("i", "a b")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(docs, items).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (2, 1, sha(b"")), 2: (2, 1, sha(b"i")), 3: (1, 1, sha(b""))}
+
+
 def test_longest_matches():
     items = decontaminate.build_items([("x", "a b c d e"), ("y", "c d q")], window=3)
     shard = decontaminate.Shard(["z a b c d z", "c d e"], items)
@@ -376,3 +449,34 @@ def test_whole_names_and_their_mentions(spark):
     two = re.fullmatch(rf"Dr {w} {w}, Mr {w} {w}'s and {w}; Smithson\.", got[2].text)
     assert two and two[1] == two[3] and two[2] == two[4] == two[5] and "John" not in two.groups() and "Smith" not in two.groups()
     assert got[3].text == rows[2][1] and (got[1].n_entities, got[2].n_entities) == (7, 5)
+
+
+def test_long_secrets_and_genders_of_last_names(spark):
+    rows = [(1, 'token = "' + "a1" * 400 + '"'), (2, "г-жа Анна Иванова, г-н Иванов, Mr. ANNA SMITH"), (3, "Dr. Anna Smith and Ms. Anna Smith")]
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch(r'token = "([a-f]\d){400}"', got[1]) and "a1a1a1" not in got[1]
+    assert re.fullmatch(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+(ва|на|ская), г-н [А-Я][а-я]+(в|н|ский), Mr\. [A-Z]+ [A-Z]+", got[2])
+    names = re.fullmatch(r"Dr\. (\w+) (\w+) and Ms\. (\w+) (\w+)", got[3])
+    assert names[1] == names[3] and names[2] == names[4]
+
+
+def test_session_key(spark):
+    """Without a key the session draws one, keeps it, and takes the one that is set."""
+    before = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    first = pii.session_key(spark)
+    assert len(first) == 64 and pii.session_key(spark) == first
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) not in (first, "mine")
+    if before:
+        spark.conf.set(pii.KEY_SETTING, before)
+
+
+def test_mac_is_hmac(spark):
+    import hmac
+
+    for key in ("k", "long " * 30):
+        got = spark.createDataFrame([("é|x|0",)], "m string").select(pii._mac(key, F.col("m")).alias("h")).first().h
+        assert got == hmac.new(key.encode(), "é|x|0".encode(), "sha256").hexdigest()

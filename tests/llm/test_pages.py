@@ -35,6 +35,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0), f"file://{tmp_path}/none")).collect() == []
 
 
+def test_archives_are_read_by_a_task_each(spark):
+    """However short their names are, adaptive execution leaves archives apart."""
+    archives = spark.range(1000).selectExpr("concat('file:///', id) AS uri", "1L AS records", "1L AS bytes")
+    assert warc.read(archives).rdd.getNumPartitions() == 1000
+
+
 def test_warc_reader_finds_damage():
     record = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     whole = gzip.compress(record) + gzip.compress(record)
@@ -75,6 +81,57 @@ def test_labels_of_unseen_layouts():
     assert total > 1000 and wrong / total < 0.01
 
 
+PROSE = "<p>" + "This is a paragraph of prose that goes on for a while, with some commas, and then it ends. " * 3 + "</p>"
+ARTICLE = "<h1>Title of it</h1>" + PROSE * 3
+OTHER = "<p>XX Some other words that go on, and on, and on until the end of this one.</p>"
+#: Layouts that are not the templates'. What has XX in it is no main text.
+LAYOUTS = [
+    f"<body class='has-header has-footer sidebar-right'><article class='post'>{ARTICLE}</article></body>",
+    f"<body><div class='popular-science'>{ARTICLE}</div></body>",
+    f"<body><article>{ARTICLE}</article><div class='userComments'>{OTHER * 2}</div></body>",
+    f"<body><div class='siteHeader'><p>XX some site name and slogan here</p></div><div>{ARTICLE}</div></body>",
+    f"<body><div class='cookieBanner'><p>XX We use cookies to improve things for you, accept.</p></div><div>{ARTICLE}</div></body>",
+    f"<body><div>{ARTICLE}<div class='adBox'>XX Buy this now and here, it is cheap.</div>{PROSE}</div></body>",
+    f"<body><main>{ARTICLE}</main><div class='disclaimer'>{OTHER}</div></body>",
+    f"<body><article>{ARTICLE}</article><section id='responses'><h3>XX Responses</h3>{OTHER * 3}</section></body>",
+    f"<body><div><a>XX Home</a> <a>XX News</a></div><div>{ARTICLE}{PROSE}</div><div>XX © 2020 Someone</div></body>",
+    f"<html class='no-js promo'><body id='top-header'><div id='page'><div id='content'>{ARTICLE}<ul><li>One</li></ul></div><div id='sidebar'><h3>XX Recent</h3><ul><li><a>XX post one</a></li></ul></div></div></body></html>",
+    f"<body><div class='post'>{ARTICLE}</div><div class='comments'>{('<div class=comment>' + OTHER * 3 + '</div>') * 5}</div></body>",
+    f"<body class='news alert'><div class='related-wrapper'><div class='article'>{ARTICLE}</div></div></body>",
+    f"<body><article>{ARTICLE}<p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article></body>",
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts_outside_the_templates(page):
+    text = html_text.main_text(page, html_text.model())
+    assert "XX" not in text and text.startswith("Title of it This is") and text.count("This is a paragraph") == page.count("This is a paragraph")
+    assert "math" not in page or text.endswith("Then x=2 holds.")
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 3000 + "<article>" + ARTICLE + "</article>"
+    assert html_text.main_text(deep, html_text.model()).count("This is a paragraph") == 9
+    long = "<article><h1>T</h1>" + "".join(f"<p>Sentence number {k} of a very long page, which is prose.</p>" for k in range(20_000)) + "</article>"
+    text = html_text.main_text(long, html_text.model())
+    assert text.startswith("T Sentence number 0 ") and text.count("Sentence number") == 20_000
+    word = "<article><p>" + "x" * 500_000 + " and some more words that end here.</p></article>"
+    assert html_text.main_text(word, html_text.model()).endswith("end here.")
+
+
+def test_batched_training_steps_along_the_gradient():
+    """One step of the training over padded pages goes where the sum of the pages' own gradients points."""
+    import numpy as np
+
+    pages = html_text.labelled_pages(12, seed=1, noise=0.3)
+    one = html_text.train(pages, rounds=1, decay=0.0)
+    zero = html_text.ChainModel(one.names)
+    gw, gt = np.zeros_like(zero.w), np.zeros_like(zero.t)
+    for found, label in pages:
+        zero.gradient(zero.ids(html_text.features(found)), label, gw, gt)
+    assert np.allclose(one.w, 0.5 * gw / np.sqrt(1e-8 + gw * gw)) and np.allclose(one.t, 0.5 * gt / np.sqrt(1e-8 + gt * gt))
+
+
 def test_viterbi_and_gradient_against_enumeration():
     import itertools
 
