@@ -175,20 +175,20 @@ def kernel_smooth_all(points: DataFrame, landmarks: DataFrame, d: int) -> DataFr
     return sums.select("k", F.posexplode("s").alias("j", "s"), "w").select("k", "j", (F.col("s") / F.col("w")).alias("y"))
 
 
-def _dealt(seed: int, *columns: str) -> Column:
+def dealt(seed: int, *columns: str) -> Column:
     """A number of 28 bits from the md5 of the seed and the columns."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))), 1, 7), 16, 10).cast("long")
 
 
 def smooth(df: DataFrame, m: int, d: int, seed: int = 0) -> DataFrame:
     """(g, y, x, n): the averages of m groups of rows, dealt by a hash of id and n."""
-    g = (_dealt(seed, "id", "n") % m).alias("g")
+    g = (dealt(seed, "id", "n") % m).alias("g")
     return df.groupBy(g).agg(F.avg("y").alias("y"), F.array(*(F.avg(F.col("x")[i]) for i in range(d))).alias("x"), F.count("*").alias("n"))
 
 
 def smooth_random(df: DataFrame, m: int, d: int, seed: int = 0) -> DataFrame:
     """(g, y, x): m averages over all rows, each with its own weights from a hash."""
-    w = lambda k: _dealt(seed, k, "id", "n") % 1000 / 1000.0
+    w = lambda k: dealt(seed, k, "id", "n") % 1000 / 1000.0
     rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("g")).withColumn("w", w("g"))
     mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
     return rows.groupBy("g").agg(mean(F.col("y")).alias("y"), F.array(*(mean(F.col("x")[i]) for i in range(d))).alias("x"))

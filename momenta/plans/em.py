@@ -22,11 +22,11 @@ def kmeans_pp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     A draw takes the point with the greatest log(u) / d^2, u from a hash of id: such odds without any running sum.
     """
     spark = points.sparkSession
-    first = points.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("x").first()
+    first = points.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").select("x").first()
     picked = [list(first.x)]
     for n in range(1, k):
         centres = spark.createDataFrame([(i, m) for i, m in enumerate(picked)], "k int, m array<double>")
-        u = (F.pmod(F.xxhash64(F.lit(seed + n), "id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        u = (X.dealt(seed + n, "id") + 0.5) / float(1 << 28)
         near = X.nearest(points, centres, "x").where("dist > 0")
         top = near.orderBy((F.ln(u) / (F.col("dist") * F.col("dist"))).desc(), "id").select("x").first()
         if top is None:

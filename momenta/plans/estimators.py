@@ -162,25 +162,27 @@ def loglinear_em(expected: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray,
     return theta, history
 
 
-def bag_features(bags: DataFrame, k: int, d: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]]:
-    """expected() for a log-linear mixture of independent symbols over distinct bags (x ARRAY<INT>, n) of one length: weights h (k), then (h, x) (k d)."""
+def bag_expectations(bags: DataFrame, theta: np.ndarray, k: int, d: int, sizes: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected features of a log-linear mixture of independent symbols over distinct bags (x ARRAY<INT>, n) of one length, clamped and free, and the log-likelihood a bag: weights h (k), then (h, x) (k d)."""
     from momenta.plans.em import categorical_step
 
+    total, length = sizes or bags.agg(F.sum("n"), F.max(F.size("x"))).first()
+    w, o = theta[:k], theta[k:].reshape(k, d)
+    norm = np.log(np.exp(o).sum(axis=1))
+    joint = w + length * norm
+    pw = np.exp(joint - np.logaddexp.reduce(joint))
+    po = np.exp(o - norm[:, None])
+    nw, no, ll = categorical_step(bags, pw, po)
+    clamped = np.concatenate([nw, (nw[:, None] * no * length).ravel()])
+    free = np.concatenate([pw, (pw[:, None] * po * length).ravel()])
+    return clamped, free, ll / total
+
+
+def bag_features(bags: DataFrame, k: int, d: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]]:
+    """bag_expectations() of a table that is written once."""
     bags = saved(bags, "bags")
-    total, length = bags.agg(F.sum("n"), F.max(F.size("x"))).first()
-
-    def expected(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        w, o = theta[:k], theta[k:].reshape(k, d)
-        norm = np.log(np.exp(o).sum(axis=1))
-        joint = w + length * norm
-        pw = np.exp(joint - np.logaddexp.reduce(joint))
-        po = np.exp(o - norm[:, None])
-        nw, no, ll = categorical_step(bags, pw, po)
-        clamped = np.concatenate([nw, (nw[:, None] * no * length).ravel()])
-        free = np.concatenate([pw, (pw[:, None] * po * length).ravel()])
-        return clamped, free, ll / total
-
-    return expected
+    sizes = tuple(bags.agg(F.sum("n"), F.max(F.size("x"))).first())
+    return lambda theta: bag_expectations(bags, theta, k, d, sizes)
 
 
 def measurement_em(expected: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]], start: np.ndarray, measured: np.ndarray, strength: float = 1.0, steps: int = 30) -> tuple[np.ndarray, list[float]]:

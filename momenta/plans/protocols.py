@@ -65,6 +65,31 @@ def partial_sums(df: DataFrame, update: Callable[[object], np.ndarray], schema_c
     return df.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias(schema_column))
 
 
+class ExponentialFamily(Protocol):
+    """A log-linear model with hidden states: its features' expectations with the rows given and without, and the log-likelihood a row."""
+
+    def expected_counts(self, df: DataFrame, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]: ...
+
+
+class BagModel:
+    """Bags of one length from k states with d symbols: weights of states (k), then of (state, symbol) (k d)."""
+
+    def __init__(self, k: int, d: int):
+        self.k, self.d = k, d
+
+    def expected_counts(self, df: DataFrame, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        from momenta.plans.estimators import bag_expectations
+
+        return bag_expectations(df, params, self.k, self.d)
+
+
+def fit_exponential(model: ExponentialFamily, df: DataFrame, start: np.ndarray, steps: int = 30, **options) -> tuple[np.ndarray, list[float]]:
+    """The parameters by gradient EM, each step one aggregation over df, and the penalised log-likelihoods."""
+    from momenta.plans.estimators import loglinear_em
+
+    return loglinear_em(lambda params: model.expected_counts(df, params), start, steps, **options)
+
+
 class Proximal(Protocol):
     """A loss over rows: gradient() and loss() are one aggregation each, project() works on the parameters."""
 

@@ -259,11 +259,27 @@ def est_pinv_marginals(spark, d):
     return z1.select(F.lit("Z1").alias("what"), "i", "j", r6("v").alias("v")).unionAll(z12.select(F.lit("Z12").alias("what"), "i", "j", r6("v").alias("v")))
 
 
-@query("est_em_categorical_mixture")
+def _categorical_sql(steps):
+    """The steps by recursion on a table of (state, symbol), from the start that em.fit_categorical draws; the log-likelihood is that before the last step."""
+    start = np.random.default_rng(0).dirichlet(np.ones(D), K)
+    first = ", ".join(f"({k}, {s}, {start[k, s]!r}::DOUBLE)" for k in range(K) for s in range(D)).replace("np.float64(", "").replace(")::", "::")
+    joint = "SELECT b.id, b.x, b.n, a.step, a.k, a.w * a.o * c.o * e.o AS v FROM bags b JOIN {em} a ON a.s = b.x[1] JOIN {em} c ON c.step = a.step AND c.k = a.k AND c.s = b.x[2] JOIN {em} e ON e.step = a.step AND e.k = a.k AND e.s = b.x[3]"
+    return f"""WITH RECURSIVE {EV}, tri AS (SELECT tok AS a, lead(tok, 1) OVER w AS b, lead(tok, 2) OVER w AS c FROM ev WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+    bags AS MATERIALIZED (SELECT row_number() OVER () AS id, [a, b, c] AS x, n FROM (SELECT a, b, c, count(*) AS n FROM tri WHERE c IS NOT NULL GROUP BY ALL)),
+    em AS (SELECT 0 AS step, k, s, {1 / K!r}::DOUBLE AS w, o FROM (VALUES {first}) v(k, s, o)
+    UNION ALL SELECT step + 1, k, s, sum(sum(r)) OVER (PARTITION BY k) / sum(sum(r)) OVER (), sum(r) / sum(sum(r)) OVER (PARTITION BY k) FROM (
+        SELECT step, k, unnest(x) AS s, n * v / sum(v) OVER (PARTITION BY id) AS r FROM ({joint.format(em='em')}) WHERE step < {steps}) GROUP BY step, k, s),
+    last AS (SELECT * FROM em WHERE step = {steps - 1}),
+    ll AS (SELECT sum(n * ln(q)) AS loglik FROM (SELECT id, any_value(n) AS n, sum(v) AS q FROM ({joint.format(em='last')}) GROUP BY id))
+    SELECT k::INTEGER AS i, s::INTEGER AS j, round(o, 6) AS v, round(w, 6) AS w, round(loglik, 4) AS loglik FROM em, ll WHERE step = {steps}"""
+
+
+@query("est_em_categorical_mixture", _categorical_sql(5))
 def est_em_categorical_mixture(spark, d):
     bags = N.windows(chains(spark, d), 3).select(F.array("w0", "w1", "w2").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     w, o, history = em.fit_categorical(bags, K, D, 5)
-    return _matrix(spark, o).join(_matrix(spark, w[:, None], "w").select("i", "w"), "i").withColumn("loglik", F.lit(history[-1]))
+    rows = _matrix(spark, o).join(_matrix(spark, w[:, None], "w").select("i", "w"), "i").withColumn("loglik", F.lit(round(history[-1], 4)))
+    return rows.select("i", "j", r6("v").alias("v"), r6("w").alias("w"), "loglik")
 
 
 # ---- moments
@@ -406,7 +422,20 @@ def est_word_clusters(spark, d):
     return moment_methods.word_clusters(tri, tri.select(F.col("w0").alias("tok")).union(tri.select("w1")).union(tri.select("w2")).distinct(), 2)
 
 
-@query("est_kmeans_pp_init")
+def _kmeans_sql(k):
+    """Each centre is the point of the greatest log(u) / d^2 by the distance to the nearest centre before it."""
+    dist = "list_sum(list_transform(list_zip(a.x, b.x), lambda o: (o[1] - o[2]) ** 2))"
+    parts = ["e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)", "c0 AS (SELECT 0 AS k, x FROM e ORDER BY md5('0:' || id), id LIMIT 1)"]
+    for n in range(1, k):
+        before = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(n))
+        parts += [
+            f"d{n} AS MATERIALIZED (SELECT a.id, any_value(a.x) AS x, min({dist}) AS d FROM e a, ({before}) b GROUP BY a.id)",
+            f"c{n} AS MATERIALIZED (SELECT {n} AS k, x FROM d{n} WHERE d > 0 ORDER BY ln((('0x' || substr(md5('{n}:' || id), 1, 7))::BIGINT + 0.5) / {1 << 28}) / d DESC, id LIMIT 1)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT k, (generate_subscripts(x, 1) - 1)::INTEGER AS j, unnest(x) AS v FROM ({' UNION ALL '.join(f'SELECT * FROM c{i}' for i in range(k))})"
+
+
+@query("est_kmeans_pp_init", _kmeans_sql(5))
 def est_kmeans_pp_init(spark, d):
     points = vectors(spark, d).select("id", "x")
     return em.kmeans_pp(points, 5).select("k", F.posexplode("m").alias("j", "v"))

@@ -1,6 +1,7 @@
 """The points where users plug in their own parts."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from momenta.plans import protocols as P
@@ -37,3 +38,11 @@ def test_trigram_views(spark):
     counts = spark.createDataFrame([(0, 1, 2, 3), (0, 0, 1, 1)], "w0 int, w1 int, w2 int, n long")
     rows = P.Trigrams(counts).views().collect()
     assert sum(r.p for r in rows) == 4 and {r["view"] for r in rows} == {"12", "13", "32", "123"}
+
+
+def test_exponential_family(spark):
+    """A user's model through its expected counts: that of bags comes to the shares that the bags have."""
+    bags = spark.createDataFrame([([0, 0], 30), ([1, 1], 60), ([0, 1], 10)], "x array<int>, n long")
+    theta, history = P.fit_exponential(P.BagModel(1, 2), bags, np.zeros(3), 40, penalty=0.0)
+    p = np.exp(theta[1:]) / np.exp(theta[1:]).sum()
+    assert p == pytest.approx([70 / 200, 130 / 200], abs=1e-3) and history == sorted(history)
