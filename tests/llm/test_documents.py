@@ -47,6 +47,20 @@ def test_hard_rows(spark, name):
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in docs.collect())
 
 
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_repeated_rows_agree(spark, name):
+    """The two rows of a repeated document have one result, but for their places in files; equal texts under two ids have equal counts."""
+    rows = collections.defaultdict(list)
+    for r in OPERATORS[name](hard_docs(spark)).collect():
+        rows[r.doc_id].append({k: v for k, v in r.asDict(recursive=True).items() if k not in ("start", "file", "place")})
+    for doc in (0, 3):
+        first, second = rows[doc]
+        assert first == second
+    if name not in ("line_dedup", "mixing"):
+        a, b = ({k: v for k, v in rows[d][0].items() if k not in ("doc_id", "distance", "kept")} for d in (4, 5))
+        assert a == b
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_no_rows(spark, name):
     assert OPERATORS[name](no_docs(spark)).collect() == []
@@ -480,3 +494,31 @@ def test_mac_is_hmac(spark):
     for key in ("k", "long " * 30):
         got = spark.createDataFrame([("é|x|0",)], "m string").select(pii._mac(key, F.col("m")).alias("h")).first().h
         assert got == hmac.new(key.encode(), "é|x|0".encode(), "sha256").hexdigest()
+
+
+def test_replaced_texts_against_a_plain_search(spark):
+    """Every match of a plain search over all texts is replaced and nothing else; one surrogate a value, of its shape, distinct, and never a value itself."""
+    regex = pytest.importorskip("regex")
+    pattern, looks = regex.compile(pii.ANY), {k: regex.compile(p) for k, p in pii._LOOKS.items()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    shape = lambda v: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", v)))
+    surrogates, found = {}, 0
+    for r in pii.pseudonymize(docs, "k").collect():
+        matches = list(pattern.finditer(texts[r.doc_id] or ""))
+        kinds = [next((k for k, p in looks.items() if p.search(m[0])), "secret") for m in matches]
+        assert r.n_entities == len(matches) and r.types == sorted(set(kinds))
+        if not matches:
+            assert r.text == texts[r.doc_id]
+            continue
+        found += len(matches)
+        ends = [0, *(m.end() for m in matches)]
+        gaps = [texts[r.doc_id][a:m.start()] for a, m in zip(ends, matches)] + [texts[r.doc_id][ends[-1] :]]
+        parts = re.fullmatch("(.+?)".join(map(re.escape, gaps)), r.text, re.S)
+        for kind, m, s in zip(kinds, matches, parts.groups(), strict=True):
+            assert surrogates.setdefault((kind, m[0]), s) == s
+            assert kind == "ip" or shape(s) == shape(m[0])
+    assert found > 80
+    for kind in {k for k, _ in surrogates}:
+        of = {v: s for (k, v), s in surrogates.items() if k == kind}
+        assert len(set(of.values())) == len(of) and not set(of.values()) & set(of)
