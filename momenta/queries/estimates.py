@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from momenta.functions import text as T
 from momenta.functions import vectors as V
 from momenta.operators import coo as C
 from momenta.operators import labels as L
@@ -12,7 +13,7 @@ from momenta.operators import mixtures as X
 from momenta.operators import ngrams as N
 from momenta.plans import em, estimators, hmm, moment_methods
 from momenta.plans.small import best_matching
-from momenta.queries.numbers import BETAS, SIZES, _solved, samples, vectors
+from momenta.queries.numbers import BETAS, _solved, samples, vectors
 from momenta.queries.registry import query
 from momenta.queries.sql import EV, TOP, chains, packed, r6, table, trigram_counts
 from momenta.sources.scratch import saved
@@ -285,10 +286,17 @@ def est_em_categorical_mixture(spark, d):
 # ---- moments
 
 
-def wide_views(spark, d):
-    """Three views of 21, 21 and 22 coordinates of the vectors, of their distance from -1, so that the moments are not about 0."""
-    x = F.transform("x", lambda v: v + 1)
-    return vectors(spark, d).select("id", *(F.slice(x, sum(SIZES[:i]) + 1, n).alias(f"x{i + 1}") for i, n in enumerate(SIZES)))
+LETTERS = "eaotnsrdóéü"
+
+
+def letter_views(spark, d):
+    """Three views of every text, of its words by place: how large a share of their characters each letter has. What the views have in common is the language."""
+    words = T.tokenize(F.lower("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("ws")).where(F.size("ws") >= 30)
+    third = lambda v: F.array_join(F.filter("ws", lambda w, i: i % 3 == v), "")
+    docs = docs.select("id", *(third(v).alias(f"t{v + 1}") for v in range(3)))
+    share = lambda t: F.array(*(F.regexp_count(t, F.lit(c)) / F.length(t) for c in LETTERS))
+    return docs.select("id", *(share(F.col(f"t{v}")).alias(f"x{v}") for v in (1, 2, 3)))
 
 
 @query("est_randomized_svd")
@@ -313,7 +321,7 @@ def est_three_view_exact(spark, d):
 
 @query("est_simultaneous_diag")
 def est_simultaneous_diag(spark, d):
-    return _matrix(spark, moment_methods.simultaneous_diag(wide_views(spark, d), SIZES, 2))
+    return _matrix(spark, moment_methods.simultaneous_diag(saved(letter_views(spark, d), "views"), (len(LETTERS),) * 3, 3))
 
 
 @query("est_lda_moments")
@@ -337,7 +345,7 @@ def est_hmm_from_views(spark, d):
 
 @query("est_gmm_from_views")
 def est_gmm_from_views(spark, d):
-    return moment_methods.gmm_from_views(wide_views(spark, d), SIZES, 2)[2]
+    return moment_methods.gmm_from_views(saved(letter_views(spark, d), "views"), (len(LETTERS),) * 3, 3)[2]
 
 
 @query("est_regression_mixture")
