@@ -64,7 +64,7 @@ class _Page:
         t = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
         if t:
             around = [x for x in stack if x[0] not in _INLINE]
-            self.blocks.append(Block(t, tuple(x[:2] for x in around), tuple(x[2] for x in around), self.linked))
+            self.blocks.append(Block(t, tuple([x[:2] for x in around]), tuple([x[2] for x in around]), self.linked))
         self.text, self.linked = [], 0
 
 
@@ -190,7 +190,7 @@ MANY = 40
 
 def _n_words(text: str) -> int:
     """The words of text, up to MANY."""
-    return sum(1 for _ in islice(_WORD.finditer(text), MANY))
+    return len([*islice(_WORD.finditer(text), MANY)])
 
 
 def features(chain: list[Block]) -> list[list[str]]:
@@ -203,19 +203,19 @@ def features(chain: list[Block]) -> list[list[str]]:
     for b, n in zip(chain, prose, strict=True):
         near = next((i for i, (t, _) in zip(b.inside[::-1], b.path[::-1], strict=True) if t in _HOLDS), 0)
         containers.append(near)
-        for i in b.inside:
-            held[i] += n
-        if not b.inside:
-            held[0] += n
+        if n:
+            for i in b.inside:
+                held[i] += n
     own = Counter()
     for c, n in zip(containers, prose, strict=True):
         own[c] += n
     best = max(own, key=own.__getitem__, default=0)
     here = [k for k, (c, n) in enumerate(zip(containers, prose, strict=True)) if c == best and n] if total else []
+    around = {i for i, n in held.items() if n >= WIDE * total and (heads is None or i in heads)} if total else set()
     out = []
     for k, b in enumerate(chain):
         size = "0" if words[k] < SOME else "1" if words[k] < PROSE else "2" if words[k] < MANY else "3"
-        wide = sum(held[i] >= WIDE * total and (heads is None or i in heads) for i in b.inside) if total else 0
+        wide = len(around.intersection(b.inside))
         f = [*_path_features(b.path, wide), f"size={size}", "links=" + ("no" if linked[k] == 0 else "few" if linked[k] < 0.4 else "most")]
         if "©" in b.text and words[k] < MANY or b.text[0] == "™":
             f.append("copyright")
