@@ -171,17 +171,22 @@ def _starts(rows: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
     """A concentration step from each row of params (a group may have several): the centre and covariance of the rows that lie nearest by it, a share of the group.
 
-    One aggregation: counts and sums of products by logarithmic bin of the distance, 1/64 of a power of two wide, of
-    which those up to the share are summed. The core is of whole bins, so it may be larger by the rows of its last bin.
+    Counts by logarithmic bin of the distance, 1/64 of a power of two wide, tell the bin in which the share is full; the
+    sums of products are over the rows up to it. The core is of whole bins, so it may be larger by the rows of its last
+    bin. Both are aggregations of a few numbers a group, however large it is.
     """
-    keys = ["g_0", "g_1", "start", "share", *(f"m_{i}" for i in range(D))]
-    near = _with(rows, params).select(*keys, F.floor(F.log2(_distance() + 1e-6) * 64).alias("bin"), *(F.expr(f"{NAMES[i]} - m_{i} AS y_{i}") for i in range(D)))
+    keys = ["g_0", "g_1", "start"]
+    bin_ = F.floor(F.log2(_distance() + 1e-6) * 64).alias("bin")
+    counts = _with(rows, params).select(*keys, "share", bin_).groupBy(*keys, "share", "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumns({"upto": upto, "all": F.sum("n").over(group)}).where("upto >= share * all")
+    edge = counts.groupBy(*(F.col(c).alias(f"e{c}") for c in keys)).agg(F.min("bin").alias("edge"))
+    bounded = params.join(edge, F.expr("g_0 <=> eg_0 AND g_1 <=> eg_1 AND start = estart")).drop("eg_0", "eg_1", "estart")
+    means = [f"m_{i}" for i in range(D)]
+    near = _with(rows, bounded).select(*keys, *means, "edge", bin_, *(F.expr(f"{NAMES[i]} - m_{i} AS y_{i}") for i in range(D))).where("bin <= edge")
     sums = [f"y_{i}" for i in range(D)] + [f"y_{i} * y_{j}" for i, j in PAIRS]
-    bins = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"), *(F.expr(f"sum({x}) AS u_{k}") for k, x in enumerate(sums)))
-    group = Window.partitionBy("g_0", "g_1", "start")
-    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    core = bins.withColumns({"before": before, "all": F.sum("n").over(group)}).where("before < share * all")
-    totals = core.groupBy(*keys).agg(*(F.expr(f"sum(u_{k}) / sum(n) AS u_{k}") for k in range(len(sums))))
+    totals = near.groupBy(*keys, *means).agg(*(F.expr(f"avg({x}) AS u_{k}") for k, x in enumerate(sums)))
     cov = [f"u_{D + k} - u_{i} * u_{j} AS s_{i}_{j}" for k, (i, j) in enumerate(PAIRS)]
     moved = totals.selectExpr("g_0", "g_1", "start", f"{CORE}D AS share", *(f"m_{i} + u_{i} AS m_{i}" for i in range(D)), *cov)
     return saved(_factored(moved, "start", "share"), "groups")
@@ -195,7 +200,8 @@ def estimate(rows: DataFrame) -> DataFrame:
     (the regularized form), which no step makes larger. Ties at the core's edge all stay. A group of one row has that
     as centre.
     """
-    params = _step(rows, _step(rows, _starts(rows)))
+    # written before the steps, which name them twice
+    params = _step(rows, _step(rows, saved(_starts(rows), "starts")))
     least = F.row_number().over(Window.partitionBy("g_0", "g_1").orderBy("logdet", "start"))
     best = saved(params.withColumn("r", least).where("r = 1").drop("r"), "groups")
     going, done = best, []
