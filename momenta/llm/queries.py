@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momenta.llm import decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, token_counts, token_files, warc
+from momenta.llm import conversations, decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, token_counts, token_files, warc
 from momenta.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 each AS (SELECT doc_id, unnest(a) AS x, unnest(range(len(a))) AS i FROM lines),
@@ -129,5 +133,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coa
        coalesce(i.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash, op13_conversations)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
