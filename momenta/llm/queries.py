@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momenta.llm import conversations, decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, token_counts, token_files, warc
+from momenta.llm import conversations, decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, spelling, token_counts, token_files, warc
 from momenta.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
@@ -133,5 +137,33 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coa
        coalesce(i.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM doc d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash, op13_conversations)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL}
+#: crc32 of a string by bits: each byte is followed by seven zeros, and every element moves the register by one bit.
+CRC_SQL = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, 2 * strlen({0}), 2),
+    lambda i: [('0x' || substr(hex({0}), i, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+OP11_SQL = rf"""
+WITH runs AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {CRC_SQL.format("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs),
+words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING n >= 2),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT c.word, w.word AS near FROM cut c JOIN words w ON c.rest = w.word UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word
+    UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+best AS (SELECT p.word, count(*) AS n_near, max(w.n) AS best_n, min(p.near) FILTER (w.n = m.n) AS best
+         FROM near p JOIN words w ON p.near = w.word JOIN (SELECT word, max(n) AS n FROM near q JOIN (SELECT word AS near, n FROM words) USING (near) GROUP BY word) m ON p.word = m.word GROUP BY p.word),
+forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)),
+chains AS (
+    WITH RECURSIVE steps AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NOT NULL)
+    SELECT s.word, s.at AS root FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN chains USING (word)"""
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash, op11_spelling, op13_conversations)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling": OP11_SQL}
