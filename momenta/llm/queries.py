@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momenta.llm import conversations, decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, spelling, token_counts, token_files, warc
+from momenta.llm import conversations, decontaminate, html_text, line_dedup, mixing, pii, quality, simhash, spelling, token_counts, token_files, toxicity, warc
 from momenta.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
@@ -165,5 +169,5 @@ chains AS (
     SELECT s.word, s.at AS root FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NULL)
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN chains USING (word)"""
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash, op11_spelling, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash, op11_spelling, op12_toxicity, op13_conversations)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling": OP11_SQL}
