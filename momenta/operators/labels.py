@@ -41,6 +41,27 @@ def feature_counts(tokens: DataFrame) -> DataFrame:
     return o.select(F.lit("unary").alias("kind"), "*").unionAll(t.select(F.lit("binary").alias("kind"), "*"))
 
 
+def bag_feature_counts(rows: DataFrame) -> DataFrame:
+    """(kind, h1, h2, n): counts of (label, token) and of labels over labelled bags (seq_id, bag, place, tok, tag); a bag's label is that at place 0."""
+    rows = rows.withColumn("h", F.max(F.when(F.col("place") == 0, F.col("tag"))).over(Window.partitionBy("seq_id", "bag")).cast("string"))
+    o = rows.groupBy(F.col("h").alias("h1"), F.col("tok").cast("string").alias("h2")).agg(F.count("*").alias("n"))
+    bags = rows.where("place = 0").groupBy(F.col("h").alias("h1")).agg(F.count("*").alias("n"))
+    return o.select(F.lit("unary").alias("kind"), "h1", "h2", "n").unionAll(bags.select(F.lit("state"), "h1", F.lit(None).cast("string"), "n"))
+
+
+def grid_feature_counts(rows: DataFrame) -> DataFrame:
+    """(kind, h1, h2, n): counts of (label, token) and of neighbouring labels, down and across, over grids (seq_id, r, c, d, tok, tag); a cell's label is that of its symbol 0.
+
+    Cells are gathered once, so a cell's symbols and label need no join; cells meet their neighbours by one equality join.
+    """
+    cells = rows.groupBy("seq_id", "r", "c").agg(F.max(F.when(F.col("d") == 0, F.col("tag"))).cast("string").alias("h"), F.collect_list("tok").alias("x")).where("h IS NOT NULL")
+    o = cells.select("h", F.explode("x").alias("tok")).groupBy(F.col("h").alias("h1"), F.col("tok").cast("string").alias("h2")).agg(F.count("*").alias("n"))
+    shifted = F.explode(F.array(F.struct((F.col("r") + 1).alias("r"), F.col("c").alias("c")), F.struct(F.col("r").alias("r"), (F.col("c") + 1).alias("c"))))
+    first = cells.select("seq_id", F.col("h").alias("h1"), shifted.alias("to")).select("seq_id", "h1", "to.*")
+    pairs = first.join(cells.select("seq_id", "r", "c", F.col("h").alias("h2")), ["seq_id", "r", "c"]).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    return o.select(F.lit("unary").alias("kind"), "h1", "h2", "n").unionAll(pairs.select(F.lit("binary"), "h1", "h2", "n"))
+
+
 def top_emissions(emissions: DataFrame, m: int) -> DataFrame:
     """The m likeliest tokens of each state, their probabilities summing to 1 again; of equal ones the smaller token. Tasks pass on m rows of a state."""
     best = emissions.withColumn("_r", F.row_number().over(Window.partitionBy("h1").orderBy(F.col("p").desc(), "h2"))).where(F.col("_r") <= m).drop("_r")

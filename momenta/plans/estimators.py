@@ -183,15 +183,3 @@ def bag_features(bags: DataFrame, k: int, d: int) -> Callable[[np.ndarray], tupl
     bags = saved(bags, "bags")
     sizes = tuple(bags.agg(F.sum("n"), F.max(F.size("x"))).first())
     return lambda theta: bag_expectations(bags, theta, k, d, sizes)
-
-
-def measurement_em(expected: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]], start: np.ndarray, measured: np.ndarray, strength: float = 1.0, steps: int = 30) -> tuple[np.ndarray, list[float]]:
-    """loglinear_em() with features pulled to measured values (nan where there is none): the clamped expectations become a mixture of data and measurement."""
-    known = ~np.isnan(measured)
-
-    def pulled(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        clamped, free, ll = expected(theta)
-        gap = np.where(known, measured - free, 0.0)
-        return clamped + strength * gap, free, ll - strength * float(gap @ gap) / 2
-
-    return loglinear_em(pulled, start, steps)

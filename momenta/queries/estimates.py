@@ -457,16 +457,6 @@ def est_loglinear_em(spark, d):
     return _matrix(spark, theta).withColumn("score", F.lit(history[-1]))
 
 
-@query("est_measurement_em")
-def est_measurement_em(spark, d):
-    bags = N.windows(chains(spark, d), 3).select(F.array("w0", "w1", "w2").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    start = np.random.default_rng(0).normal(0, 0.1, 2 + 2 * D)
-    measured = np.full(2 + 2 * D, np.nan)
-    measured[:2] = 0.5
-    theta, history = estimators.measurement_em(estimators.bag_features(bags, 2, D), start, measured, 1.0, 4)
-    return _matrix(spark, theta).withColumn("score", F.lit(history[-1]))
-
-
 @query("est_measurements")
 def est_measurements(spark, d):
     """Expected counts of (state, symbol) in a sequence: its mean length times state share times emission, from the views."""

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules of this package that register queries when imported.
-MODULES = ("words", "tables", "files", "numbers", "estimates")
+MODULES = ("words", "tables", "files", "numbers", "estimates", "structured")
 
 
 def query(name: str, sql: str | None = None):
