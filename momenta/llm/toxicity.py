@@ -260,23 +260,26 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return np.r_[w[:-1] / scale, w[-1] - (w[:-1] * centre / scale).sum()]
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic, rest (the remainder of the id) of documents with a label that may be learnt from. Labels of one id: toxic if any is."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """id, toxic, rest (the remainder of the id) of the labels that may be learnt from. Labels of one id: toxic if any is."""
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    known = known.withColumn("rest", remainder(F.col("id"))).where(F.col("rest") != HELD_OUT)
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("id")).select("id", "text", "toxic", "rest")
+    return known.withColumn("rest", remainder(F.col("id"))).where(F.col("rest") != HELD_OUT)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """The model of the counted rows and the curve of the others."""
-    rows = labelled(docs, labels)
-    words = rows.where(F.col("rest") != CURVE).select("text", "toxic").mapInArrow(_word_counts, "word string, toxic int, n long")
+    """The model of the counted rows and the curve of the others.
+
+    Only texts that can give counts meet labels in a shuffle; the rows that fit the curve are picked by id, and their bounded list goes to the texts."""
+    known, texts = known_labels(labels), docs.select("doc_id", "text")
+    counted = texts.where(~remainder(F.col("doc_id")).isin(HELD_OUT, CURVE)).join(known.where(F.col("rest") != CURVE), F.col("doc_id") == F.col("id"))
+    words = counted.select("text", "toxic").mapInArrow(_word_counts, "word string, toxic int, n long")
     by_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     words = saved(words.groupBy("word").agg(*by_class), "class-words")
     counts = grams(words, "n0", "n1").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     model = class_model(saved(counts, "class-grams"))
-    some = rows.where(F.col("rest") == CURVE).orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS).select("text", "toxic")
-    seen = features(some, model).toPandas()
+    some = saved(known.where(F.col("rest") == CURVE).orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS).select("id", "toxic"), "curve-rows")
+    rows = texts.where(remainder(F.col("doc_id")) == CURVE).join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("text", "toxic")
+    seen = features(rows, model).toPandas()
     return model, fit_curve(seen[list(FEATURES)].to_numpy(float), seen["toxic"].to_numpy(float))
 
 
