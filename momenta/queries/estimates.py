@@ -11,7 +11,7 @@ from momenta.operators import coo as C
 from momenta.operators import labels as L
 from momenta.operators import mixtures as X
 from momenta.operators import ngrams as N
-from momenta.plans import em, estimators, hmm, moment_methods
+from momenta.plans import em, estimators, hmm, moment_methods, scans
 from momenta.plans.small import best_matching
 from momenta.queries.numbers import BETAS, _solved, samples, vectors
 from momenta.queries.registry import query
@@ -54,12 +54,12 @@ BACK_SQL = f"""{HMM_SQL}, b AS (SELECT seq_id, pos, h, 1::DOUBLE AS v FROM (SELE
 
 @query("dec_viterbi")
 def dec_viterbi(spark, d):
-    return hmm.viterbi(sequences(spark, d), chain(spark, d)).select("seq_id", F.posexplode("h").alias("pos", "h"))
+    return scans.viterbi(chains(spark, d), chain(spark, d))
 
 
 @query("dec_posteriors", f"{BACK_SQL} SELECT seq_id, pos::INTEGER AS pos, h AS state, round(f.v * b.v / sum(f.v * b.v) OVER (PARTITION BY seq_id, pos), 6) AS p FROM f JOIN b USING (seq_id, pos, h)")
 def dec_posteriors(spark, d):
-    return hmm.state_posteriors(sequences(spark, d), chain(spark, d)).withColumn("p", r6("p"))
+    return scans.state_posteriors(chains(spark, d), chain(spark, d)).withColumn("p", r6("p"))
 
 
 @query(
@@ -73,7 +73,7 @@ def dec_edge_posteriors(spark, d):
 
 @query("dec_seq_loglik", f"{HMM_SQL} SELECT seq_id, round(loglik, 6) AS loglik FROM ll")
 def dec_seq_loglik(spark, d):
-    return hmm.log_likelihood(sequences(spark, d), chain(spark, d)).withColumn("loglik", r6("loglik"))
+    return scans.log_likelihood(chains(spark, d), chain(spark, d)).withColumn("loglik", r6("loglik"))
 
 
 COMPLETE = f"""WITH {EV}, tr AS (SELECT seq_id, pos, tag, tok, lag(tag) OVER (PARTITION BY seq_id ORDER BY pos) AS prev FROM ev),
