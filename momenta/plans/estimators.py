@@ -87,18 +87,82 @@ def mutual_information_costs(bigrams: DataFrame) -> DataFrame:
     return p.join(left, "c1").join(right, "c2").select("c1", "c2", q.alias("q"))
 
 
-def _information(m: np.ndarray) -> float:
-    l, r = m.sum(axis=1), m.sum(axis=0)  # noqa: E741
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return float(np.nansum(np.where(m > 0, m * np.log(m / np.outer(l, r)), 0)))
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.where(x > 0, x, 1.0))
 
 
-def _merged(m: np.ndarray, a: int, b: int) -> np.ndarray:
-    """The table with row and column b added to a's and taken out."""
-    j = m.copy()
-    j[a] += j[b]
-    j[:, a] += j[:, b]
-    return np.delete(np.delete(j, b, 0), b, 1)
+def merge_losses(p: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """(a, b): the mutual information of p (cluster, next cluster) that merging a and b loses; infinite unless a < b.
+
+    row[a, b] is the sum over j of f(p[a, j] + p[b, j]) with f(x) = x ln x, col the same over columns; all else is a few terms a pair.
+    """
+    f = _xlogx(p)
+    d, sums, left, right = np.diag(f), (f.sum(axis=1), f.sum(axis=0)), p.sum(axis=1), p.sum(axis=0)
+    pair = lambda v: v[:, None] + v[None, :]
+    own = np.diag(p)[:, None]
+    inner = pair(d) + f + f.T
+    rows, cols = _xlogx(own + p.T), _xlogx(own + p)
+    gain = row - pair(sums[0]) - rows - rows.T + inner + col - pair(sums[1]) - cols - cols.T + inner
+    gain += _xlogx(pair(np.diag(p)) + p + p.T) - inner
+    for m in (left, right):
+        gain -= _xlogx(pair(m)) - pair(_xlogx(m))
+    return np.where(np.triu(np.ones_like(p), 1) > 0, -gain, np.inf)
+
+
+def _sums_with(p: np.ndarray, a: int) -> np.ndarray:
+    return _xlogx(p[a] + p).sum(axis=1)
+
+
+def merge_down(p: np.ndarray, k: int) -> list[list[int]]:
+    """Members of the k clusters left when the pair of least loss (of equal ones the first) is merged again and again.
+
+    The tables behind the losses are kept: a merge changes one term of every other pair, and only the merged cluster's row is summed anew,
+    so a merge costs the square of the number of clusters.
+    """
+    groups = [[i] for i in range(len(p))]
+    row = np.stack([_sums_with(p, a) for a in range(len(p))]) if len(p) else np.zeros((0, 0))
+    col = np.stack([_sums_with(p.T, a) for a in range(len(p))]) if len(p) else np.zeros((0, 0))
+    while len(groups) > k:
+        loss = np.round(merge_losses(p, row, col), 12)
+        a, b = np.unravel_index(loss.argmin(), loss.shape)
+        for table, m in ((row, p), (col, p.T)):
+            x, y = m[:, a], m[:, b]
+            table += _xlogx(np.add.outer(x + y, x + y)) - _xlogx(np.add.outer(x, x)) - _xlogx(np.add.outer(y, y))
+        p = p.copy()
+        p[a] += p[b]
+        p[:, a] += p[:, b]
+        p, row, col = (np.delete(np.delete(m, b, 0), b, 1) for m in (p, row, col))
+        for table, m in ((row, p), (col, p.T)):
+            table[a] = table[:, a] = _sums_with(m, a)
+        groups[a] += groups.pop(b)
+    return groups
+
+
+#: Words that begin as clusters of their own, at most: their table is held on the driver.
+MOST_WORDS = 1400
+
+
+def bigram_table(bigrams: DataFrame, words: list[int]) -> np.ndarray:
+    """Shares of neighbours (c1, c2, n) among `words`, in this order, and all other words together as the last: one aggregation, (words + 1)^2 cells at most."""
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"{len(words)} words have too many pairs for the driver: {MOST_WORDS} at most")
+    known = bigrams.sparkSession.createDataFrame([(w, i) for i, w in enumerate(words)], "tok int, at int")
+    place = lambda c, name: known.select(F.col("tok").alias(c), F.col("at").alias(name))
+    rows = bigrams.join(F.broadcast(place("c1", "l")), "c1", "left").join(F.broadcast(place("c2", "r")), "c2", "left").fillna(len(words), ["l", "r"])
+    p = np.zeros((len(words) + 1,) * 2)
+    for r in rows.groupBy("l", "r").agg(F.sum("n").alias("n")).collect():
+        p[r.l, r.r] = r.n
+    return p / max(p.sum(), 1.0)
+
+
+def top_word_clusters(bigrams: DataFrame, words: list[int], k: int) -> dict[int | None, int]:
+    """word -> cluster (numbered by first word): `words` begin as clusters of their own and all others as one more (key None, if there are any), and merge by least loss of
+    mutual information down to k. The bigrams are read once."""
+    p = bigram_table(bigrams, words)
+    if not (p[-1].any() or p[:, -1].any()):
+        p = p[:-1, :-1]
+    names = [*words, None]
+    return {names[i]: c for c, members in enumerate(sorted(merge_down(p, k), key=min)) for i in members}
 
 
 def brown_clusters(bigrams: DataFrame, order: list[int], k: int, batch: int = 64) -> dict[int, int]:
@@ -106,7 +170,7 @@ def brown_clusters(bigrams: DataFrame, order: list[int], k: int, batch: int = 64
 
     bigrams is (c1, c2, n) over words. The words by words table stays in Spark: for each batch of words it is summed to
     the clusters so far and the batch's words, (k + batch)^2 cells at most, which is all that the driver holds besides
-    the words' clusters.
+    the words' clusters. top_word_clusters() reads the bigrams once.
     """
     spark = bigrams.sparkSession
     place = lambda df, c, name: df.select(F.col("tok").alias(c), F.col("c").alias(name))
@@ -125,16 +189,9 @@ def brown_clusters(bigrams: DataFrame, order: list[int], k: int, batch: int = 64
         groups = [[c] for c in range(n)]
         for c in range(n, n + len(new)):
             groups.append([c])
-            while len(groups) > k:
+            if len(groups) > k:
                 m = np.array([[p[np.ix_(a, b)].sum() for b in groups] for a in groups])
-                best = None
-                for a in range(len(groups)):
-                    for b in range(a + 1, len(groups)):
-                        value = _information(_merged(m, a, b))
-                        if best is None or value > best[0] + 1e-15:
-                            best = value, a, b
-                _, a, b = best
-                groups[a] += groups.pop(b)
+                groups = [[i for g in members for i in groups[g]] for members in merge_down(m, k)]
         now = {c: g for g, members in enumerate(groups) for c in members}
         cluster = {w: now[c] for w, c in cluster.items()} | {w: now[n + i] for i, w in enumerate(new)}
     return cluster

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from momenta.sources.scratch import saved
 
 #: Positions that are worked through at once: sequences times the longest one's length.
 CELLS = 1 << 20
@@ -72,10 +73,10 @@ def forward(c: Chain, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return a, logs, e
 
 
-def posteriors(c: Chain, x: np.ndarray, size: np.ndarray, on_edge: Callable[[np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def posteriors(c: Chain, x: np.ndarray, size: np.ndarray, on_edge: Callable[[np.ndarray], None] | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """State posteriors (sequence, position, state), summed edge posteriors (K, K), and log-likelihoods.
 
-    on_edge takes the edge posteriors (sequence, K, K) of each place, the last first.
+    on_edge takes the edge posteriors (sequence, K, K) of each place, the last first. With weights a sequence's edges count so often in the sum.
     """
     a, logs, e = forward(c, x, size)
     b = np.ones(a.shape[::2])
@@ -90,7 +91,7 @@ def posteriors(c: Chain, x: np.ndarray, size: np.ndarray, on_edge: Callable[[np.
             pair = pair / total[:, None, None]
             if on_edge:
                 on_edge(pair)
-            edges += pair[inside[:, 0]].sum(axis=0)
+            edges += np.einsum("nab,n->ab", pair, inside[:, 0] * (1.0 if weight is None else weight))
             back = later @ c.t.T
             b = np.where(inside, back / np.maximum(back.max(axis=1, keepdims=True), 1e-300), 1.0)
         now = a[:, p] * b
@@ -132,13 +133,13 @@ def _slices(batch: pa.RecordBatch, cells: int) -> Iterator[pa.RecordBatch]:
         start += n
 
 
-def _over(seq: DataFrame, schema: str, f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def _over(seq: DataFrame, schema: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], *more: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 yield from map(f, _slices(batch, CELLS))
 
-    return seq.select("seq_id", F.col("x").cast("array<int>").alias("x")).mapInArrow(run, schema)
+    return seq.select(*more, F.col("x").cast("array<int>").alias("x")).mapInArrow(run, schema)
 
 
 def viterbi(seq: DataFrame, c: Chain) -> DataFrame:
@@ -149,7 +150,7 @@ def viterbi(seq: DataFrame, c: Chain) -> DataFrame:
         h = best_states(c, x, size)
         return pa.record_batch([batch["seq_id"], pa.array([r[:n].tolist() for r, n in zip(h, size, strict=True)], pa.list_(pa.int32()))], ["seq_id", "h"])
 
-    return _over(seq, "seq_id long, h array<int>", f)
+    return _over(seq, "seq_id long, h array<int>", f, "seq_id")
 
 
 def edge_posteriors(seq: DataFrame, c: Chain) -> DataFrame:
@@ -166,7 +167,7 @@ def edge_posteriors(seq: DataFrame, c: Chain) -> DataFrame:
         places = [np.repeat(edge + 1, k * k).astype(np.int32), np.tile(np.repeat(state, k), len(row)), np.tile(state, k * len(row))]
         return pa.record_batch([ids, *map(pa.array, places), pa.array(p[row, edge].ravel())], ["seq_id", "pos", "a", "b", "p"])
 
-    return _over(seq, "seq_id long, pos int, a int, b int, p double", f)
+    return _over(seq, "seq_id long, pos int, a int, b int, p double", f, "seq_id")
 
 
 def state_posteriors(seq: DataFrame, c: Chain) -> DataFrame:
@@ -180,7 +181,7 @@ def state_posteriors(seq: DataFrame, c: Chain) -> DataFrame:
         ids = batch["seq_id"].take(pa.array(np.repeat(row, k)))
         return pa.record_batch([ids, pa.array(np.repeat(pos, k).astype(np.int32)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(row))), pa.array(g[row, pos].ravel())], ["seq_id", "pos", "state", "p"])
 
-    return _over(seq, "seq_id long, pos int, state int, p double", f)
+    return _over(seq, "seq_id long, pos int, state int, p double", f, "seq_id")
 
 
 def log_likelihood(seq: DataFrame, c: Chain) -> DataFrame:
@@ -190,32 +191,40 @@ def log_likelihood(seq: DataFrame, c: Chain) -> DataFrame:
         x, size = _padded(batch)
         return pa.record_batch([batch["seq_id"], pa.array(forward(c, x, size)[1].sum(axis=1))], ["seq_id", "loglik"])
 
-    return _over(seq, "seq_id long, loglik double", f)
+    return _over(seq, "seq_id long, loglik double", f, "seq_id")
+
+
+def distinct(seq: DataFrame) -> DataFrame:
+    """(x, n): different sequences and how often each comes, written once. Steps of EM then read each once."""
+    return saved(seq.groupBy("x").agg(F.count("*").alias("n")), "distinct-sequences")
 
 
 def expected_counts(seq: DataFrame, c: Chain, weight: str | None = None) -> DataFrame:
-    """(kind, i, j, v): the sums over sequences of pi, T and O counts, and the log-likelihood (kind L)."""
+    """(kind, i, j, v): the sums over sequences of pi, T and O counts, and the log-likelihood (kind L); a sequence counts as often as its weight says."""
     k, d = c.o.shape
     cells = [("pi", i, 0) for i in range(k)] + [("T", i, j) for i in range(k) for j in range(k)] + [("O", i, j) for i in range(k) for j in range(d)] + [("L", 0, 0)]
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, size = _padded(batch)
-        g, edges, ll = posteriors(c, x, size)
+        n = batch["n"].to_numpy()
+        g, edges, ll = posteriors(c, x, size, weight=n)
+        g *= n[:, None, None]
         inside = (np.arange(x.shape[1]) < size[:, None]) & (x >= 0) & (x < d)
         o = np.zeros((d, k))
         np.add.at(o, x[inside], g[inside])
-        values = np.concatenate([g[size > 0, 0].sum(axis=0), edges.ravel(), o.T.ravel(), [ll.sum()]])
+        values = np.concatenate([g[size > 0, 0].sum(axis=0), edges.ravel(), o.T.ravel(), [(n * ll).sum()]])
         kind, i, j = zip(*cells, strict=True)
         return pa.record_batch([pa.array(kind), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(values)], ["kind", "i", "j", "v"])
 
-    return _over(seq, "kind string, i int, j int, v double", f).groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
+    rows = seq.withColumn("n", (F.col(weight) if weight else F.lit(1)).cast("double"))
+    return _over(rows, "kind string, i int, j int, v double", f, "n").groupBy("kind", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def em_step(seq: DataFrame, c: Chain) -> tuple[Chain, float]:
-    """One step of Baum-Welch and the log-likelihood before it. A state that is never met keeps its row."""
+    """One step of Baum-Welch over sequences x (with n: so often each) and the log-likelihood before it. A state that is never met keeps its row."""
     k, d = c.o.shape
     pi, t, o, ll = np.zeros(k), np.zeros((k, k)), np.zeros((k, d)), 0.0
-    for r in expected_counts(seq, c).collect():
+    for r in expected_counts(seq, c, "n" if "n" in seq.columns else None).collect():
         if r.kind == "L":
             ll = r.v
         else:
@@ -224,16 +233,19 @@ def em_step(seq: DataFrame, c: Chain) -> tuple[Chain, float]:
     return Chain(rows(pi, c.pi), rows(t, c.t), rows(o, c.o)), ll
 
 
-def fit(seq: DataFrame, start: Chain, steps: int = 10, on_step: Callable[[int, Chain, float], None] | None = None) -> tuple[Chain, list[float]]:
-    """Repeats em_step(); the sequences are kept in memory between steps. Returns the chain and the log-likelihoods."""
-    seq = seq.select("seq_id", "x").persist()
-    history = []
-    try:
-        for n in range(steps):
-            start, ll = em_step(seq, start)
-            history.append(ll)
-            if on_step:
-                on_step(n, start, ll)
-    finally:
-        seq.unpersist()
+def fit(seq: DataFrame, start: Chain, steps: int = 10, on_step: Callable[[int, Chain, float], None] | None = None, gain: float = 0.0, metrics: str | None = None) -> tuple[Chain, list[float]]:
+    """Repeats em_step() over distinct sequences, until a step gains no more than that part of the log-likelihood. Returns the chain and the log-likelihoods.
+
+    Each step is appended to the Parquet table `metrics` (step, loglik), where one is named, so a run can be watched.
+    """
+    spark, rows, history = seq.sparkSession, distinct(seq.select("x")), []
+    for n in range(steps):
+        start, ll = em_step(rows, start)
+        history.append(ll)
+        if metrics:
+            spark.createDataFrame([(n, ll)], "step int, loglik double").coalesce(1).write.mode("append").parquet(metrics)
+        if on_step:
+            on_step(n, start, ll)
+        if gain and n and history[-1] - history[-2] <= gain * abs(history[-2]):
+            break
     return start, history

@@ -16,6 +16,7 @@ from momenta.plans.small import best_matching
 from momenta.queries.numbers import BETAS, _solved, samples, vectors
 from momenta.queries.registry import query
 from momenta.queries.sql import EV, TOP, chains, packed, r6, table, trigram_counts
+from momenta.queries.sql import tokens as tokens_of
 from momenta.sources.scratch import saved
 from momenta.streaming import events as stream
 
@@ -112,6 +113,22 @@ def score_pos_induction(spark, d):
     return L.many_to_one(conf).withColumnRenamed("accuracy", "many_to_one").crossJoin(one)
 
 
+@query(
+    "est_baum_welch_step",
+    f"""{BACK_SQL}, g AS (SELECT seq_id, pos, h, f.v * b.v / sum(f.v * b.v) OVER (PARTITION BY seq_id, pos) AS p FROM f JOIN b USING (seq_id, pos, h)),
+    e AS (SELECT a, b, v / sum(v) OVER (PARTITION BY seq_id, pos) AS p FROM (SELECT f.seq_id, f.pos, f.h AS a, b.h AS b, f.v * t.p * o.p * b.v AS v
+        FROM f JOIN b ON b.seq_id = f.seq_id AND b.pos = f.pos + 1 JOIN ev ON ev.seq_id = b.seq_id AND ev.pos = b.pos JOIN t ON t.a = f.h AND t.b = b.h JOIN o ON o.h = b.h AND o.tok = ev.tok))
+    SELECT 'pi' AS kind, h::INTEGER AS i, 0 AS j, round(sum(p) / sum(sum(p)) OVER (), 6) AS v, (SELECT round(sum(loglik), 4) FROM ll) AS loglik FROM g WHERE pos = 0 GROUP BY h
+    UNION ALL SELECT 'T', a::INTEGER, b::INTEGER, round(sum(p) / sum(sum(p)) OVER (PARTITION BY a), 6), (SELECT round(sum(loglik), 4) FROM ll) FROM e GROUP BY a, b
+    UNION ALL SELECT 'O', h::INTEGER, tok::INTEGER, round(sum(p) / sum(sum(p)) OVER (PARTITION BY h), 6), (SELECT round(sum(loglik), 4) FROM ll) FROM g JOIN ev USING (seq_id, pos) GROUP BY h, tok""",
+)
+def est_baum_welch_step(spark, d):
+    """One step from the chain of the labelled events, over distinct sequences."""
+    new, ll = hmm.em_step(hmm.distinct(sequences(spark, d)), chain(spark, d))
+    rows = [(kind, i, j, round(float(v), 6)) for kind, m in (("pi", new.pi[:, None]), ("T", new.t), ("O", new.o)) for (i, j), v in np.ndenumerate(m)]
+    return spark.createDataFrame(rows, "kind string, i int, j int, v double").withColumn("loglik", F.lit(round(ll, 4)))
+
+
 @query("est_baum_welch")
 def est_baum_welch(spark, d):
     fitted, history = hmm.fit(sequences(spark, d), hmm.Chain.random(K, D, 1), 5)
@@ -399,11 +416,19 @@ def agg_smooth_white(spark, d):
     return parts[0].unionAll(parts[1])
 
 
+#: Words that begin as clusters, and clusters in the end.
+BROWN_WORDS, BROWN_K = 300, 20
+
+
 @query("est_brown_clusters")
 def est_brown_clusters(spark, d):
-    bi = N.counts(N.packed_windows(packed(spark, d), 2), "w0", "w1").select(F.col("w0").alias("c1"), F.col("w1").alias("c2"), "n")
-    clusters = estimators.brown_clusters(saved(bi, "bigrams"), list(range(WORDS)), 6)
-    return spark.createDataFrame(sorted(clusters.items()), "tok int, c int")
+    """The most frequent words' clusters; all other words begin as one cluster (word null)."""
+    tokens = tokens_of(spark, d)
+    words = [r.word for r in N.top_words(N.word_counts(tokens), BROWN_WORDS).orderBy("tok").collect()]
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), T.tokenize(F.col("text")).alias("ws"))
+    bi = N.counts(N.packed_windows(N.encode_packed(docs, words), 2), "w0", "w1").select(F.col("w0").alias("c1"), F.col("w1").alias("c2"), "n")
+    clusters = estimators.top_word_clusters(bi, list(range(len(words))), BROWN_K)
+    return spark.createDataFrame([(None if w is None else words[w], c) for w, c in clusters.items()], "word string, c int")
 
 
 BROWN = """WITH {enc}, bi AS (SELECT tok AS c1, lead(tok) OVER (PARTITION BY seq_id ORDER BY pos) AS c2 FROM enc),
@@ -424,6 +449,28 @@ def est_brown_costs(spark, d):
     return estimators.mutual_information_costs(bi).withColumn("q", F.round("q", 9))
 
 
+def _losses_sql():
+    from momenta.queries.sql import ENC
+
+    return f"""WITH {ENC}, bi AS (SELECT tok AS c1, lead(tok) OVER (PARTITION BY seq_id ORDER BY pos) AS c2 FROM enc),
+c AS MATERIALIZED (SELECT c1, c2, count(*)::DOUBLE / (SELECT count(*) FROM bi WHERE c2 IS NOT NULL) AS p FROM bi WHERE c2 IS NOT NULL GROUP BY c1, c2),
+ids AS (SELECT DISTINCT tok AS c FROM enc), pairs AS (SELECT x.c AS a, y.c AS b FROM ids x, ids y WHERE x.c < y.c UNION ALL SELECT -1, -2),
+m AS (SELECT a, b, CASE WHEN c1 = b THEN a ELSE c1 END AS x, CASE WHEN c2 = b THEN a ELSE c2 END AS y, sum(p) AS p FROM c, pairs GROUP BY ALL),
+info AS (SELECT a, b, sum(p * ln(p / (l * r))) AS v FROM (SELECT *, sum(p) OVER (PARTITION BY a, b, x) AS l, sum(p) OVER (PARTITION BY a, b, y) AS r FROM m) GROUP BY a, b)
+SELECT a::INTEGER AS a, b::INTEGER AS b, round((SELECT v FROM info WHERE a = -1) - v, 8) AS loss FROM info WHERE a >= 0"""
+
+
+@query("est_brown_losses", _losses_sql())
+def est_brown_losses(spark, d):
+    """What each first merge would lose."""
+    bi = N.counts(N.packed_windows(packed(spark, d), 2), "w0", "w1").select(F.col("w0").alias("c1"), F.col("w1").alias("c2"), "n")
+    codes = sorted(r[0] for r in bi.select("c1").union(bi.select("c2")).distinct().collect())
+    p = estimators.bigram_table(bi, codes)[:-1, :-1]
+    sums = lambda m: np.stack([estimators._sums_with(m, a) for a in range(len(m))])
+    loss = estimators.merge_losses(p, sums(p), sums(p.T))
+    return spark.createDataFrame([(codes[a], codes[b], round(float(v), 8)) for (a, b), v in np.ndenumerate(loss) if np.isfinite(v)], "a int, b int, loss double")
+
+
 @query("est_word_clusters")
 def est_word_clusters(spark, d):
     tri = saved(trigram_counts(spark, d), "trigrams")

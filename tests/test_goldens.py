@@ -239,3 +239,48 @@ def test_brown_joins_words_of_like_neighbours(spark):
     rows = [(0, 2, 50), (1, 2, 50), (3, 4, 50), (2, 3, 20), (4, 0, 20), (2, 0, 10), (2, 1, 10), (4, 1, 20)]
     got = estimators.brown_clusters(spark.createDataFrame(rows, "c1 int, c2 int, n long"), [2, 0, 1, 3, 4], 4)
     assert got[0] == got[1] and len(set(got.values())) == 4
+
+
+def _information(m):
+    left, right = m.sum(axis=1), m.sum(axis=0)
+    return sum(m[i, j] * np.log(m[i, j] / (left[i] * right[j])) for i, j in np.ndindex(m.shape) if m[i, j] > 0)
+
+
+def test_brown_merges_as_if_every_table_was_built_anew(spark):
+    rng = np.random.default_rng(11)
+    for size, k in ((9, 3), (12, 4), (5, 1)):
+        n = rng.poisson(2, (size, size)) * rng.integers(0, 2, (size, size))
+        groups = [[i] for i in range(size)]
+        while len(groups) > k:
+            best = None
+            for a in range(len(groups)):
+                for b in range(a + 1, len(groups)):
+                    trial = [*groups[:a], groups[a] + groups[b], *groups[a + 1 : b], *groups[b + 1 :]]
+                    value = round(_information(np.array([[n[np.ix_(x, y)].sum() for y in trial] for x in trial]) / n.sum()), 11)
+                    if best is None or value > best[0]:
+                        best = value, trial
+            groups = best[1]
+        rows = [(int(i), int(j), int(v)) for (i, j), v in np.ndenumerate(n) if v]
+        got = estimators.top_word_clusters(spark.createDataFrame(rows, "c1 int, c2 int, n long"), list(range(size)), k)
+        assert sorted(sorted(w for w in range(size) if got[w] == c) for c in set(got.values())) == sorted(map(sorted, groups))
+
+
+def test_brown_puts_all_other_words_together(spark):
+    rows = [(0, 2, 50), (1, 2, 50), (3, 4, 50), (2, 3, 20), (4, 0, 20), (2, 0, 10), (2, 1, 10), (4, 1, 20), (77, 0, 3), (4, 99, 3)]
+    got = estimators.top_word_clusters(spark.createDataFrame(rows, "c1 int, c2 int, n long"), [2, 0, 1, 3, 4], 5)
+    assert set(got) == {0, 1, 2, 3, 4, None} and got[0] == got[1] and len(set(got.values())) == 5
+
+
+def test_baum_welch_over_distinct_sequences(spark, tmp_path):
+    """Repeated sequences are read once and count as often as they come; every step leaves a row."""
+    rng = np.random.default_rng(12)
+    kinds = [rng.integers(0, 4, n).tolist() for n in (1, 3, 6, 9)]
+    x = [kinds[i % 4] for i in range(22)]
+    df = spark.createDataFrame(list(enumerate(x)), "seq_id long, x array<int>")
+    start = hmm.Chain.random(2, 4, 3)
+    assert hmm.distinct(df).count() == 4
+    plain, weighted = ({(r.kind, r.i, r.j): r.v for r in hmm.expected_counts(rows, start, w).collect()} for rows, w in ((df, None), (hmm.distinct(df), "n")))
+    assert plain.keys() == weighted.keys() and all(np.isclose(plain[c], weighted[c]) for c in plain)
+    _, history = hmm.fit(df, start, 4, metrics=str(tmp_path / "metrics"))
+    assert [r.loglik for r in spark.read.parquet(str(tmp_path / "metrics")).orderBy("step").collect()] == history
+    assert all(b >= a - 1e-9 for a, b in zip(history, history[1:], strict=False))
