@@ -12,7 +12,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
 
@@ -44,28 +44,27 @@ _HOLDS = frozenset("div section article main aside nav header footer td form bod
 _SCOPE = frozenset("div section article main aside nav header footer ul ol dl table form body html blockquote figure".split())
 
 
-@dataclass
-class Block:
-    """text, the tags and marks of the elements around it, their numbers in the page, and characters in links."""
+class Tree:
+    """The block elements of a page by number: the parent's number, tag and marks. Number 0 stands for the page itself; parents come before children."""
 
-    text: str
-    path: tuple[tuple[str, str], ...]
-    inside: tuple[int, ...] = ()
-    linked: int = 0
+    def __init__(self) -> None:
+        self.parent, self.tag, self.marks = [0], [""], [""]
+
+    def add(self, parent: int, tag: str, marks: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.marks.append(marks)
+        return len(self.tag) - 1
 
 
 @dataclass
-class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
-    linked: int = 0
+class Block:
+    """text, the element right around it (a number of the page's tree), and characters in links."""
 
-    def flush(self, stack: list[tuple[str, str, int]]) -> None:
-        t = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
-        if t:
-            around = [x for x in stack if x[0] not in _INLINE]
-            self.blocks.append(Block(t, tuple([x[:2] for x in around]), tuple([x[2] for x in around]), self.linked))
-        self.text, self.linked = [], 0
+    text: str
+    tree: Tree
+    node: int = 0
+    linked: int = 0
 
 
 def _marks(attributes: str) -> str:
@@ -73,33 +72,75 @@ def _marks(attributes: str) -> str:
     return " ".join(_CAMEL.sub("-", a or b or c).lower() for a, b, c in _ATTR.findall(attributes)) if attributes else ""
 
 
-def _open_from(stack: list[tuple[str, str, int]], name: str) -> int | None:
-    """Where the element begins that an opening block tag ends: an open paragraph, or the item before, in the same container."""
-    ended = {"p", *_ENDS.get(name, ()), *(_HEADINGS if name in _PARA else ())}
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in ended:
-            return k
-        if stack[k][0] in _SCOPE:
-            return None
-    return None
+class _Open:
+    """The open elements, outermost first, with the places of each tag, of blocks and of scopes, so that no step looks through them all."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.links = 0
+
+    def last(self, name: str) -> int:
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def push(self, name: str, node: int) -> None:
+        at = len(self.stack)
+        self.stack.append((name, node))
+        self.places.setdefault(name, []).append(at)
+        if name not in _INLINE:
+            self.blocks.append(at)
+        if name in _SCOPE:
+            self.scopes.append(at)
+        self.links += name == "a"
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from place k on."""
+        while len(self.stack) > k:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if name not in _INLINE:
+                self.blocks.pop()
+            if name in _SCOPE:
+                self.scopes.pop()
+            self.links -= name == "a"
+
+    def node(self) -> int:
+        return self.stack[self.blocks[-1]][1] if self.blocks else 0
+
+    def ended_by(self, name: str) -> int:
+        """Where the element begins that an opening block tag ends: an open paragraph, or the item before, in the same container; -1 if none."""
+        k = max(self.last(x) for x in ("p", *_ENDS.get(name, ()), *(_HEADINGS if name in _PARA else ())))
+        return k if not self.scopes or k > self.scopes[-1] else -1
+
+    def closed_by(self, name: str) -> int:
+        """Where the element begins that a closing tag ends; an inline one does not reach beyond the block it is in."""
+        k = self.last(name)
+        return k if name not in _INLINE or not self.blocks or k > self.blocks[-1] else -1
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; markup may be broken: what isn't closed ends with its container."""
-    out, stack, at, links, number = _Page(), [], 0, 0, 0
+    """The leaf blocks of a page in order; markup may be broken: what isn't closed ends with its container. Time and memory grow with the page, however deep it nests."""
+    tree, open_, out, at = Tree(), _Open(), [], 0
+    text: list[str] = []
+    linked = 0
     page = page or ""
 
-    def cut(k: int) -> int:
-        """Ends the elements from place k on; returns how many links are still open."""
-        del stack[k:]
-        return sum(x[0] == "a" for x in stack)
+    def flush() -> None:
+        nonlocal text, linked
+        t = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+        if t:
+            out.append(Block(t, tree, open_.node(), linked))
+        text, linked = [], 0
 
     while at < len(page):
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
         if piece:
-            out.text.append(piece)
-            out.linked += len(piece) if links else 0
+            text.append(piece)
+            linked += len(piece) if open_.links else 0
         if m is None:
             break
         at = m.end()
@@ -109,26 +150,23 @@ def blocks(page: str | None) -> list[Block]:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
         elif name == "br":
-            out.text.append(" ")
+            text.append(" ")
         elif name == "hr":
-            out.flush(stack)
+            flush()
         elif name and name not in _VOID:
             inline = name in _INLINE
             if not inline:
-                out.flush(stack)
+                flush()
             if close:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if k is not None and not (inline and any(x[0] not in _INLINE for x in stack[k + 1 :])):
-                    links = cut(k)
+                if (k := open_.closed_by(name)) >= 0:
+                    open_.cut(k)
                 continue
-            if not inline and (k := _open_from(stack, name)) is not None:
-                links = cut(k)
+            if not inline and (k := open_.ended_by(name)) >= 0:
+                open_.cut(k)
             if not empty:
-                number += 1
-                stack.append((name, _marks(attributes), number))
-                links += name == "a"
-    out.flush(stack)
-    return out.blocks
+                open_.push(name, 0 if inline else tree.add(open_.node(), name, _marks(attributes)))
+    flush()
+    return out
 
 
 _HINTS = (
@@ -157,28 +195,23 @@ def _hints(marks: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=4096)
-def _path_features(path: tuple[tuple[str, str], ...], wide: int) -> tuple[str, ...]:
-    """From the ancestors: their tags, what their marks hint at, and which of either comes last.
+def _own_features(tag: str, marks: str, wide: bool) -> tuple[frozenset[str], str]:
+    """What an element gives to all text in it: its tag, what its marks hint at, and which of either comes last.
 
-    Marks of the root and of elements around nearly all text of the page (the first `wide`) are about its layout and
-    count apart, but for comments.
+    Marks of the root and of elements around nearly all text of the page (wide) are about its layout and count apart, but for comments.
     """
-    out = {"bias", f"tag={path[-1][0] if path else ''}"}
-    last = ""
-    for k, (tag, marks) in enumerate(path):
-        if tag in _SCOPE or tag in ("button", "fieldset", "figcaption", "address", "menu", "dialog", "details", "noscript"):
-            if tag not in ("html", "body", "div"):
-                out.add(f"in={tag}")
-                last = f"near={tag}"
-        if tag in ("html", "body"):
-            continue
-        for h in _hints(marks):
-            if k < wide and h not in ("talk", "main"):
-                out.add(f"wide={h}")
-            else:
-                out.add(f"hint={h}")
-                last = f"near={h}"
-    return (*sorted(out), last or "near=")
+    out, last = set(), ""
+    if tag in _SCOPE or tag in ("button", "fieldset", "figcaption", "address", "menu", "dialog", "details", "noscript"):
+        if tag not in ("html", "body", "div"):
+            out.add(f"in={tag}")
+            last = f"near={tag}"
+    for h in _hints(marks) if tag not in ("html", "body") else ():
+        if wide and h not in ("talk", "main"):
+            out.add(f"wide={h}")
+        else:
+            out.add(f"hint={h}")
+            last = f"near={h}"
+    return frozenset(out), last
 
 
 #: Share of a page's text from which an element is about all of it, words by which blocks differ, and those that are counted in one.
@@ -193,30 +226,51 @@ def _n_words(text: str) -> int:
     return len([*islice(_WORD.finditer(text), MANY)])
 
 
+def _ancestors(tree: Tree, node: int) -> Iterator[int]:
+    """The element and those around it, innermost first."""
+    while node:
+        yield node
+        node = tree.parent[node]
+
+
 def features(chain: list[Block]) -> list[list[str]]:
     """Features of each block of a page: its ancestors', its text's, and how much of the page's text its container holds."""
     words, linked = [_n_words(b.text) for b in chain], [b.linked / len(b.text) for b in chain]
     prose = [len(b.text) if w >= SOME and x < 0.4 else 0 for b, w, x in zip(chain, words, linked, strict=True)]
-    heads = next((b.inside for b in chain if any(t in ("article", "main", "h1") for t, _ in b.path)), None)
-    total, held = sum(prose), Counter()
-    containers = []
-    for b, n in zip(chain, prose, strict=True):
-        near = next((i for i, (t, _) in zip(b.inside[::-1], b.path[::-1], strict=True) if t in _HOLDS), 0)
-        containers.append(near)
-        if n:
-            for i in b.inside:
-                held[i] += n
-    own = Counter()
-    for c, n in zip(containers, prose, strict=True):
+    total = sum(prose)
+    if not chain:
+        return []
+    tree, n_nodes = chain[0].tree, len(chain[0].tree.tag)
+    # from the page down: nearest container, and whether an article, main or heading is around
+    container, headed = [0] * n_nodes, [False] * n_nodes
+    for i in range(1, n_nodes):
+        container[i] = i if tree.tag[i] in _HOLDS else container[tree.parent[i]]
+        headed[i] = headed[tree.parent[i]] or tree.tag[i] in ("article", "main", "h1")
+    containers = [container[b.node] for b in chain]
+    # from the leaves up: prose inside each element
+    held, own = [0] * n_nodes, Counter()
+    for b, c, n in zip(chain, containers, prose, strict=True):
+        held[b.node] += n
         own[c] += n
+    for i in range(n_nodes - 1, 0, -1):
+        held[tree.parent[i]] += held[i]
     best = max(own, key=own.__getitem__, default=0)
     here = [k for k, (c, n) in enumerate(zip(containers, prose, strict=True)) if c == best and n] if total else []
-    around = {i for i, n in held.items() if n >= WIDE * total and (heads is None or i in heads)} if total else set()
+    head = next((b.node for b in chain if headed[b.node]), None)
+    wide = [False] * n_nodes
+    if total:
+        spine = range(1, n_nodes) if head is None else _ancestors(tree, head)
+        for i in spine:
+            wide[i] = held[i] >= WIDE * total
+    given: list[tuple[frozenset[str], str]] = [(frozenset(), "")] * n_nodes
+    for i in range(1, n_nodes):
+        (above, last), (mine, mine_last) = given[tree.parent[i]], _own_features(tree.tag[i], tree.marks[i], wide[i])
+        given[i] = (above if mine <= above else above | mine, mine_last or last)
     out = []
     for k, b in enumerate(chain):
         size = "0" if words[k] < SOME else "1" if words[k] < PROSE else "2" if words[k] < MANY else "3"
-        wide = len(around.intersection(b.inside))
-        f = [*_path_features(b.path, wide), f"size={size}", "links=" + ("no" if linked[k] == 0 else "few" if linked[k] < 0.4 else "most")]
+        around, last = given[b.node]
+        f = [*sorted({"bias", f"tag={tree.tag[b.node]}"} | around), last or "near=", f"size={size}", "links=" + ("no" if linked[k] == 0 else "few" if linked[k] < 0.4 else "most")]
         if "©" in b.text and words[k] < MANY or b.text[0] == "™":
             f.append("copyright")
         if b.text[-1] in ".!?。":

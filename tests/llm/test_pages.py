@@ -159,3 +159,13 @@ def test_pages_of_the_table(spark):
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
         assert got[r.page_id].n_chars == len(got[r.page_id].text) > 0
         assert "<" not in got[r.page_id].text[:50] or "&lt;" in r.html
+
+
+@pytest.mark.parametrize("piece", ["<div>x y z. ", "<table><tr><td>word ", "<b><p>..", "<b>", "<section class='sidebar'>some text of it. "])
+def test_time_grows_with_the_page_not_its_depth(piece):
+    """A hundred thousand nested elements, with text at every depth, and closing tags that fit nothing."""
+    import time
+
+    began = time.time()
+    text = html_text.main_text(piece * 100_000 + "</i></center>" * 1000, html_text.model())
+    assert time.time() - began < 60 and len(text) < 2_000_000
