@@ -6,17 +6,25 @@ group-by of the result's size, so no d x d rows per point are ever made. Means a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of a matrix or tensor that are collected at most.
+MOST_CELLS = 1 << 21
+
 
 def _dense(column: pa.Array) -> np.ndarray:
-    """Numbers as they lie, or arrays of one length as rows of a matrix."""
+    """Numbers as they lie, or arrays of one length as rows of a matrix; arrays of several lengths are refused, as they have no common shape."""
     if pa.types.is_list(column.type):
+        sizes = pc.min_max(pc.list_value_length(column)).as_py()
+        if sizes["min"] != sizes["max"]:
+            raise ValueError(f"arrays of {sizes['min']} to {sizes['max']} numbers in one column")
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     return column.to_numpy(zero_copy_only=False)
 
@@ -104,7 +112,9 @@ def covariance(df: DataFrame, x: str = "x1", y: str = "x2") -> DataFrame:
 
 
 def collect_matrix(m: DataFrame, *shape: int) -> np.ndarray:
-    """A matrix or tensor of bounded size on the driver (its shape is the caller's bound)."""
+    """A matrix or tensor of at most MOST_CELLS cells on the driver."""
+    if math.prod(shape) > MOST_CELLS:
+        raise ValueError(f"{' x '.join(map(str, shape))} cells are too many for the driver: project first")
     out = np.zeros(shape)
     keys = [c for c in m.columns if c in ("i", "j", "k")]
     for r in m.select(*keys, "v").collect():

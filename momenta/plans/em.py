@@ -22,8 +22,7 @@ def kmeans_pp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     A draw takes the point with the greatest log(u) / d^2, u from a hash of id: such odds without any running sum.
     """
     spark = points.sparkSession
-    first = points.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").select("x").first()
-    picked = [list(first.x)]
+    picked = [_first_point(points, seed)]
     for n in range(1, k):
         centres = spark.createDataFrame([(i, m) for i, m in enumerate(picked)], "k int, m array<double>")
         u = (X.dealt(seed + n, "id") + 0.5) / float(1 << 28)
@@ -35,6 +34,66 @@ def kmeans_pp(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return spark.createDataFrame([(i, m) for i, m in enumerate(picked)], "k int, m array<double>")
 
 
+def least_distances(state: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """state (id, x, d2) with d2 lowered to the squared distance from the nearest of the new centres, written: earlier ones are in it already."""
+    new = state.sparkSession.createDataFrame(list(enumerate(centres)), "k int, m array<double>")
+    found = X.nearest(state, new, "x", "d2")
+    return saved(found.select("id", "x", F.least("d2", F.col("dist") * F.col("dist")).alias("d2")), "distances")
+
+
+def round_odds(state: DataFrame, most: float) -> DataFrame:
+    """(id, x, d2, p): the odds that a round takes each point: in proportion to d2, and `most` points in the mean."""
+    total = state.agg(F.sum("d2").alias("total"))
+    return state.crossJoin(F.broadcast(total)).withColumn("p", F.least(F.lit(1.0), most * F.col("d2") / F.greatest("total", F.lit(1e-300)))).drop("total")
+
+
+def _first_point(points: DataFrame, seed: int) -> list[float]:
+    return list(points.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").select("x").first().x)
+
+
+def _reduced(c: np.ndarray, n: np.ndarray, k: int, seed: int, steps: int = 10) -> np.ndarray:
+    """k centres of weighted candidates (a few hundred): drawn by weight times squared distance, then moved to their members' means."""
+    rng = np.random.default_rng(seed)
+    picked, d2 = [], np.ones(len(c))
+    for _ in range(min(k, len(c))):
+        odds = n * d2
+        if odds.sum() <= 0:
+            break
+        picked.append(int(rng.choice(len(c), p=odds / odds.sum())))
+        near = ((c - c[picked[-1]]) ** 2).sum(axis=1)
+        d2 = near if len(picked) == 1 else np.minimum(d2, near)
+    m = c[picked]
+    for _ in range(steps):
+        owner = ((c[:, None] - m) ** 2).sum(axis=2).argmin(axis=1)
+        m = np.array([np.average(c[owner == i], axis=0, weights=n[owner == i]) if n[owner == i].sum() else m[i] for i in range(len(m))])
+    return m
+
+
+def kmeans_parallel(points: DataFrame, k: int, seed: int = 0, rounds: int = 5, oversample: float = 2.0) -> tuple[DataFrame, float]:
+    """((k, m, w), variance) to start a mixture of points (id, x): k centres with uniform weights, and the mean squared distance from them a coordinate.
+
+    A few rounds take some oversample * k points each by odds of their squared distance to the nearest taken before, which is carried in the row; so the
+    rows are read `rounds` times, not k times. Taken points, weighted by how many points are nearest to them, are reduced to k on the driver.
+    """
+    spark = points.sparkSession
+    taken = [_first_point(points, seed)]
+    state = points.select("id", "x", F.lit(float("inf")).alias("d2"))
+    new = taken
+    for n in range(rounds):
+        state = least_distances(state, new)
+        u = (X.dealt(seed + n + 1, "id") + 0.5) / float(1 << 28)
+        new = [list(r.x) for r in round_odds(state, oversample * k).where(u < F.col("p")).select("x").distinct().collect()]
+        taken = taken + new
+        if not new and n + 1 < rounds and not state.where("d2 > 0").limit(1).count():
+            break
+    candidates = spark.createDataFrame(list(enumerate(taken)), "k int, m array<double>")
+    weight = {r.k: r["count"] for r in X.nearest(points, candidates).groupBy("k").count().collect()}
+    m = _reduced(np.array(taken), np.array([weight.get(i, 0) for i in range(len(taken))], float), k, seed)
+    centres = spark.createDataFrame([(i, v.tolist(), 1.0 / len(m)) for i, v in enumerate(m)], "k int, m array<double>, w double")
+    spread = X.nearest(points, centres).agg(F.avg(F.col("dist") * F.col("dist"))).first()[0]
+    return centres, float(spread / m.shape[1])
+
+
 def _settled(history: list[float], gain: float) -> bool:
     """Whether the last step raised the log-likelihood by no more than that part of it."""
     return gain > 0 and len(history) > 1 and history[-1] - history[-2] <= gain * abs(history[-2])

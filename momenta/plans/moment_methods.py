@@ -129,54 +129,164 @@ def three_view(trigrams: DataFrame, k: int, extra: int = 2, seed: int = 0, order
     return weights / weights.sum(), C.multilinear(u3, {"j": _frame(t.sparkSession, means)})
 
 
+def projected(points: DataFrame, **factors: tuple[str, np.ndarray]) -> DataFrame:
+    """points with further columns: name=(view, thin factor) is the view's rows times the factor, worked out where they lie."""
+    used = sorted({c for c, _ in factors.values()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                new = [M._dense(batch[c]) @ u for c, u in factors.values()]
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).ravel()), m.shape[1]).cast(pa.list_(pa.float64())) for m in new]
+                yield pa.record_batch([*batch.columns, *lists], [*batch.schema.names, *factors])
+
+    rows = points.withColumns({c: F.col(c).cast("array<double>") for c in used}).where(" AND ".join(f"{c} IS NOT NULL" for c in used))
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] + [f"{n} array<double>" for n in factors])
+    return rows.mapInArrow(run, schema)
+
+
+def leading_directions(points: DataFrame, x: str, y: str, d: tuple[int, int], k: int, extra: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k leading left and right directions of E[x (x) y], from three passes that each contract one side in the rows: what comes back has k + extra columns."""
+    p = min(k + extra, *d)
+    thin = np.random.default_rng(seed).standard_normal((d[1], p))
+    sums = lambda a, b, u, size: M.collect_matrix(M.pairs(projected(points, _u=(b, u)), a, "_u"), size, u.shape[1])
+    left = np.linalg.qr(sums(x, y, thin, d[0]))[0]
+    right = np.linalg.svd(sums(y, x, left, d[1]), full_matrices=False)[0][:, :k]
+    return np.linalg.svd(sums(x, y, right, d[0]), full_matrices=False)[0][:, :k], right
+
+
+def _weighted(points: DataFrame) -> DataFrame:
+    """Points with w take part by weight: a view times w / mean(w), once in every product of a moment, gives the weighted moment."""
+    if "w" not in points.columns:
+        return points.select("*", F.col("x1").alias("y1"), F.col("x3").alias("y3"))
+    mean = points.agg(F.avg("w")).first()[0] or 1.0
+    by = lambda c: F.transform(c, lambda v: v * F.col("w") / mean)
+    return points.select("*", by("x1").alias("y1"), by("x3").alias("y3"))
+
+
 def simultaneous_diag(points: DataFrame, d: tuple[int, int, int], k: int, seed: int = 0, restarts: int = 20) -> np.ndarray:
-    """Means (d3, k) of the third view of points (x1, x2, x3): the moments along random directions share eigenvectors, and the eigenvalues are the means' coordinates."""
-    p12 = M.collect_matrix(M.pairs(points), d[0], d[1])
-    p123 = M.collect_matrix(M.triples(points), *d)
-    u1, _, v2 = np.linalg.svd(p12)
-    u1, u2 = u1[:, :k], v2.T[:, :k]
-    inverse = np.linalg.inv(u1.T @ p12 @ u2)
+    """Means (d3, k) of the third view of points (x1, x2, x3, and w: a weight): the moments along random directions share eigenvectors, and the eigenvalues are the means' coordinates.
+
+    The first two views are turned to their k leading directions in the rows, so k k d3 cells come back and nothing of d1 d2.
+    """
+    points = _weighted(points)
+    u1, u2 = leading_directions(points, "y1", "x2", d[:2], k, seed=seed)
+    rows = projected(points, _a=("y1", u1), _b=("x2", u2))
+    inverse = np.linalg.inv(M.collect_matrix(M.pairs(rows, "_a", "_b"), k, k))
+    t = M.collect_matrix(M.triples(rows, "_a", "_b", "x3"), k, k, d[2])
     rng = np.random.default_rng(seed)
     for _ in range(restarts):
         thetas = np.linalg.qr(rng.standard_normal((d[2], d[2])))[0]
-        b = [u1.T @ np.einsum("abc,c->ab", p123, th) @ u2 @ inverse for th in thetas]
+        b = np.einsum("abc,tc->tab", t, thetas) @ inverse
         values, r = np.linalg.eig(b[0])
         if np.abs(values.imag).max() < 1e-9:
-            lam = np.array([np.diag(np.linalg.inv(r.real) @ x @ r.real) for x in b])
+            lam = np.einsum("ij,tjk,ki->ti", np.linalg.inv(r.real), b, r.real)
             return np.linalg.solve(thetas, lam)
     raise ValueError("no direction gave real eigenvalues: the moments are too noisy for this many components")
 
 
-def lda(docs: DataFrame, d: int, k: int, alpha0: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Topic weights and word distributions (d, k) from the bag-of-words triples of encoded documents (x ARRAY<INT>), with the Dirichlet correction.
+#: Numbers of a vocabulary's thin factor that the driver and every task hold at most.
+MOST_FACTOR = 1 << 23
+
+
+def _positions(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all documents in a row, where each document begins, and their lengths; words outside the vocabulary are left out, documents of fewer than three too."""
+    lists = [np.asarray([v for v in x if v is not None and 0 <= v < d], np.int64) for x in batch["x"].to_pylist()]
+    lists = [x for x in lists if len(x) >= 3]
+    n = np.array([len(x) for x in lists], np.int64)
+    return np.concatenate(lists) if lists else np.zeros(0, np.int64), np.cumsum(n) - n, n
+
+
+def pair_products(docs: DataFrame, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Word shares, the pair moment times a thin factor (d, p), and the number of documents x: for every two places of a document one word's row gets the other's.
 
-    A document gives its words in three parts by place; the moments are over documents of three words and more.
+    The pair moment itself, d x d, is never made: a document adds its sum of factor rows, less a word's own, to each of its words. A task gives a row for each word it met.
     """
+    d, p = factor.shape
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's shares of the d words in its first, second and last third of places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((d, p + 1)), 0
         for batch in batches:
-            rows = [np.asarray(x, np.int64) for x in batch["x"].to_pylist()]
-            thirds = ([np.bincount(x[s::3], minlength=d) / len(x[s::3]) for x in rows] for s in range(3))
-            yield pa.record_batch([pa.array([v.tolist() for v in t], pa.list_(pa.float64())) for t in thirds], ["x1", "x2", "x3"])
-
-    long_enough = docs.where(F.size("x") >= 3).select(F.col("x").cast("array<int>").alias("x"))
-    rows = saved(long_enough.mapInArrow(parts, "x1 array<double>, x2 array<double>, x3 array<double>"), "parts")
-    m1 = sum(M.collect_matrix(M.first_moment(rows, f"x{i}"), d) for i in (1, 2, 3)) / 3
-    m2 = M.collect_matrix(M.pairs(rows), d, d)
-    m2 = (m2 + m2.T) / 2 - alpha0 / (alpha0 + 1) * np.outer(m1, m1)
-    w = whitener(m2, k)
-    # whitened in the rows, so the third moment has k^3 cells
-    thin = lambda c: F.array(*(V.dot(F.col(c), F.array(*map(F.lit, map(float, w[:, j])))) for j in range(k)))
-    white = rows.select(*(thin(f"x{i}").alias(f"x{i}") for i in (1, 2, 3)))
-    t = M.collect_matrix(M.triples(white), k, k, k)
+            x, start, n = _positions(batch, d)
+            if not len(x):
+                continue
+            rows, size = factor[x], np.repeat(n, n)[:, None]
+            sums = np.repeat(np.add.reduceat(rows, start), n, axis=0)
+            parts = np.concatenate([np.ones((len(x), 1)) / size, (sums - rows) / (size * (size - 1))], axis=1)
+            for c in range(p + 1):
+                total[:, c] += np.bincount(x, parts[:, c], d)
+            count += len(n)
+        met = np.flatnonzero(total[:, 0])
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(total[met].ravel()), p + 1).cast(pa.list_(pa.float64()))
+        yield pa.record_batch([pa.array(np.append(met, -1).astype(np.int32)), pa.concat_arrays([lists, pa.array([[float(count)] * (p + 1)], pa.list_(pa.float64()))])], ["i", "v"])
+
+    sums = docs.select("x").mapInArrow(run, "i int, v array<double>").groupBy("i").agg(*(F.sum(F.col("v")[c]).alias(f"v{c}") for c in range(p + 1)))
+    out, count = np.zeros((d, p + 1)), 0
+    for r in sums.collect():
+        if r.i < 0:
+            count = int(r.v0)
+        else:
+            out[r.i] = r[1:]
+    return out[:, 0] / max(count, 1), out[:, 1:] / max(count, 1), count
+
+
+def triple_products(docs: DataFrame, factor: np.ndarray) -> np.ndarray:
+    """The triple moment (over three different places of a document) turned by a thin factor (d, k) on all sides: k^3 cells, added up in the rows."""
+    from momenta.plans.protocols import partial_sums
+
+    d, k = factor.shape
+
+    def update(batch: pa.RecordBatch) -> np.ndarray:
+        out, count = np.zeros((k, k, k)), 0
+        x, start, n = _positions(batch, d)
+        if len(x):
+            rows, f = factor[x], n * (n - 1.0) * (n - 2)
+            a = np.add.reduceat(rows, start)
+            g = np.add.reduceat(rows[:, :, None] * rows[:, None, :], start)
+            w, count = 1 / f, len(n)
+            own = np.einsum("ni,nj,nl,n->ijl", rows, rows, rows, np.repeat(w, n))
+            mixed = np.einsum("nij,nl,n->ijl", g, a, w)
+            out = np.einsum("ni,nj,nl,n->ijl", a, a, a, w) - mixed - mixed.transpose(0, 2, 1) - mixed.transpose(2, 1, 0) + 2 * own
+        return np.append(out.ravel(), count)
+
+    found = np.zeros(k**3 + 1)
+    for r in partial_sums(docs.select("x"), update).collect():
+        found[r.i] = r.v
+    return found[:-1].reshape(k, k, k) / max(found[-1], 1)
+
+
+def lda(docs: DataFrame, d: int, k: int, alpha0: float = 1.0, seed: int = 0, extra: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Topic weights and word distributions (d, k) from the moments of two and three places of encoded documents (x ARRAY<INT>), with the Dirichlet correction.
+
+    Documents stay lists of words. Every pass multiplies the moments by a factor of a few columns: two passes find the leading
+    directions, one the moment among them, one the whitened triples; what the driver holds is d times k + extra and k^3.
+    The moments are over documents of three words and more.
+    """
+    p = min(k + extra, d)
+    if d * p > MOST_FACTOR:
+        raise ValueError(f"{d} words times {p} directions are too many to hold")
+    docs = docs.select(F.col("x").cast("array<int>").alias("x")).where(F.size("x") >= 3)
+    ratio = alpha0 / (alpha0 + 1)
+
+    def times(factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m1, product, _ = pair_products(docs, factor)
+        return m1, product - ratio * np.outer(m1, m1 @ factor)
+
+    basis = np.random.default_rng(seed).standard_normal((d, p))
+    for _ in range(2):
+        basis = np.linalg.qr(times(basis)[1])[0]
+    m1, product = times(basis)
+    small = whitener(basis.T @ product, k)
+    w = basis @ small
+    back = basis @ np.linalg.pinv(small.T)
+    t = triple_products(docs, w)
     t = sum(t.transpose(o) for o in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))) / 6
     a = w.T @ m1
-    p = w.T @ (m2 + alpha0 / (alpha0 + 1) * np.outer(m1, m1)) @ w
-    cross = np.einsum("ab,c->abc", p, a) + np.einsum("ac,b->abc", p, a) + np.einsum("bc,a->abc", p, a)
+    pairs = np.eye(k) + ratio * np.outer(a, a)
+    cross = np.einsum("ab,c->abc", pairs, a) + np.einsum("ac,b->abc", pairs, a) + np.einsum("bc,a->abc", pairs, a)
     t = t - alpha0 / (alpha0 + 2) * cross + 2 * alpha0**2 / ((alpha0 + 1) * (alpha0 + 2)) * np.einsum("a,b,c->abc", a, a, a)
     values, vectors = power_method(t, seed=seed)
-    topics = to_simplex(np.linalg.pinv(w.T) @ (vectors * values[:, None]).T)
+    topics = to_simplex(back @ (vectors * values[:, None]).T)
     weights = 1 / np.maximum(values, 1e-300) ** 2
     return weights / weights.sum(), topics
 
@@ -217,19 +327,24 @@ def hmm_from_views(views: DataFrame, first: np.ndarray, d: int, k: int, smoothin
     return Chain(pi, t, o.T)
 
 
-def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
-    """Weights, the three views' means and each component's variance for points (id, x1, x2, x3)."""
-    p = {"12": M.pairs(points, "x1", "x2"), "32": M.pairs(points, "x3", "x2"), "13": M.pairs(points, "x1", "x3")}
-    size = {"12": (d[0], d[1]), "32": (d[2], d[1]), "13": (d[0], d[2])}
-    m = {n: M.collect_matrix(df, *size[n]) for n, df in p.items()}
-    weights, m3 = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(points), *d), k)
+def gmm_from_views(points: DataFrame, d: tuple[int, int, int], k: int, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray], DataFrame]:
+    """Weights, the three views' means and each component's variance for points (id, x1, x2, x3, and w: a weight).
+
+    All views are turned to their k leading directions in the rows; the moments that come back have k columns or k^3 cells.
+    """
+    rows = _weighted(points)
+    u1, u2 = leading_directions(rows, "y1", "x2", d[:2], k, seed=seed)
+    _, u3 = leading_directions(rows, "y1", "x3", (d[0], d[2]), k, seed=seed + 1)
+    rows = projected(rows, _a=("y1", u1), _b=("x2", u2), _c=("x3", u3), _e=("y3", u3))
+    m = {n: M.collect_matrix(M.pairs(rows, *c), k, k) for n, c in {"12": ("_a", "_b"), "32": ("_e", "_b"), "13": ("_a", "_c")}.items()}
+    weights, thin = decompose_views(m["12"], m["32"], m["13"], M.collect_matrix(M.triples(rows, "_a", "_b", "_c"), k, k, k), k)
     weights = np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum()
-    right = np.linalg.pinv(m3 * weights).T
-    means = [m["13"] @ right, m["32"].T @ right, m3]
+    right = np.linalg.pinv(thin * weights).T
+    means = [M.collect_matrix(M.pairs(rows, "y1", "_c"), d[0], k) @ right, M.collect_matrix(M.pairs(rows, "x2", "_e"), d[1], k) @ right, u3 @ thin]
     spark = points.sparkSession
     centres = spark.createDataFrame([(j, [float(v) for x in means for v in x[:, j]], float(weights[j])) for j in range(len(weights))], "k int, m array<double>, w double")
     joined = points.select("id", F.concat("x1", "x2", "x3").alias("x"))
-    sigma2 = points.select(F.concat("x1", "x2", "x3").alias("x")).agg(F.avg(V.dot(F.col("x"), F.col("x"))) / sum(d)).first()[0]
+    sigma2 = joined.agg(F.avg(V.dot(F.col("x"), F.col("x"))) / sum(d)).first()[0]
     step = X.gmm_step(joined, centres, float(sigma2), sum(d))
     return weights, means, step.select("k", "n", "var")
 

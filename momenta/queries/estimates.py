@@ -303,17 +303,20 @@ def est_em_categorical_mixture(spark, d):
 # ---- moments
 
 
-LETTERS = "eaotnsrdóéü"
+LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçóíáñ"
 
 
 def letter_views(spark, d):
-    """Three views of every text, of its words by place: how large a share of their characters each letter has. What the views have in common is the language."""
+    """Three views of every text, of its words by place: how large a share of their characters each letter has; w is the number of words. What the views have in common is the language.
+
+    A text of fewer than three words has no three views.
+    """
     words = T.tokenize(F.lower("text"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("ws")).where(F.size("ws") >= 30)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("ws")).where(F.size("ws") >= 3)
     third = lambda v: F.array_join(F.filter("ws", lambda w, i: i % 3 == v), "")
-    docs = docs.select("id", *(third(v).alias(f"t{v + 1}") for v in range(3)))
-    share = lambda t: F.array(*(F.regexp_count(t, F.lit(c)) / F.length(t) for c in LETTERS))
-    return docs.select("id", *(share(F.col(f"t{v}")).alias(f"x{v}") for v in (1, 2, 3)))
+    docs = docs.select("id", F.size("ws").cast("double").alias("w"), *(third(v).alias(f"t{v + 1}") for v in range(3)))
+    share = lambda t: F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))) / F.length(t) for c in LETTERS))
+    return docs.select("id", "w", *(share(F.col(f"t{v}")).alias(f"x{v}") for v in (1, 2, 3)))
 
 
 @query("est_randomized_svd")
@@ -496,6 +499,24 @@ def est_kmeans_pp_init(spark, d):
     return em.kmeans_pp(points, 5).select("k", F.posexplode("m").alias("j", "v"))
 
 
+ODDS = "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), c AS (SELECT x AS m FROM e ORDER BY md5('0:' || id), id LIMIT 1), d AS (SELECT id, list_sum(list_transform(list_zip(x, m), lambda o: (o[1] - o[2]) ** 2)) AS d2 FROM e, c) SELECT id, round(d2, 6) AS d2, round(least(1.0, 20 * d2 / sum(d2) OVER ()), 8) AS p FROM d"
+
+
+@query("est_kmeans_parallel_round", ODDS)
+def est_kmeans_parallel_round(spark, d):
+    """The odds of the first round of est_kmeans_parallel with ten centres."""
+    points = vectors(spark, d).select("id", "x")
+    state = em.least_distances(points.withColumn("d2", F.lit(float("inf"))), [em._first_point(points, 0)])
+    return em.round_odds(state, 20.0).select("id", r6("d2").alias("d2"), F.round("p", 8).alias("p"))
+
+
+@query("est_kmeans_parallel")
+def est_kmeans_parallel(spark, d):
+    """Ten centres to start a mixture from, with uniform weights and a variance: (k, j, v, w, sigma2)."""
+    centres, sigma2 = em.kmeans_parallel(vectors(spark, d).select("id", "x"), 10)
+    return centres.select("k", F.posexplode("m").alias("j", "v"), "w").withColumn("sigma2", F.lit(sigma2))
+
+
 @query("est_loglinear_em")
 def est_loglinear_em(spark, d):
     bags = N.windows(chains(spark, d), 3).select(F.array("w0", "w1", "w2").alias("x")).groupBy("x").agg(F.count("*").alias("n"))

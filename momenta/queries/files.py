@@ -128,9 +128,9 @@ def src_numeric_matrix(spark, d):
     return m.select("i", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).cast("long").alias("total"), F.size("x").cast("long").alias("d"))
 
 
-@query("snk_numeric_matrix", "SELECT array_to_string(list_transform(embedding[1:4], lambda x: round(x::DOUBLE * 1000)::BIGINT::VARCHAR), ' ') AS value FROM embeddings")
+@query("snk_numeric_matrix", "SELECT array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT::VARCHAR), ' ') AS value FROM embeddings")
 def snk_numeric_matrix(spark, d):
-    line = F.concat_ws(" ", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")))
+    line = F.concat_ws(" ", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")))
     return spark.read.text(S.write_lines(table(spark, d, "embeddings"), line, "vec_id"))
 
 

@@ -157,45 +157,77 @@ def fn_trilinear_form(spark, d):
 # ---- moments
 
 
-@query("agg_first_moment", f"WITH {LONG} SELECT c::INTEGER AS i, round(avg(a), 6) AS v FROM l WHERE a IS NOT NULL GROUP BY c")
-def agg_first_moment(spark, d):
-    return M.first_moment(views(spark, d)).withColumn("v", r6("v"))
+#: Views and pairs of views: name -> (column of LONG, view, size) of each part.
+ONE = {"1": (("a", "x1", 21),), "2": (("b", "x2", 21),), "3": (("z", "x3", 22),)}
+TWO = {f"{v}{w}": ONE[v] + ONE[w] for v, w in ("12", "13", "23")}
+AT = "SELECT '{view}' AS view, u.c::INTEGER AS i"
 
 
-def pair_sql(value, mean=True):
-    return f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, round({'sum' if not mean else 'avg'}({value}), 6) AS v FROM l u JOIN l w USING (id) GROUP BY u.c, w.c HAVING count({value}) > 0"
+def _moment(name, parts, sql, f):
+    """One query over all views (or pairs of views): sql(view, *parts) and f(rows, *parts) give one view's rows."""
 
-
-def triple_sql(value, mean=True):
-    return f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, y.c::INTEGER AS k, round({'sum' if not mean else 'avg'}({value}), 6) AS v FROM l u JOIN l w USING (id) JOIN l y USING (id) GROUP BY u.c, w.c, y.c HAVING count({value}) > 0"
+    @query(name, f"WITH {LONG} " + " UNION ALL ".join(sql(view, *of) for view, of in parts.items()))
+    def run(spark, d):
+        df = views(spark, d)
+        found = [f(df, *of).select(F.lit(view).alias("view"), *KEYS[name], r6("v").alias("v")) for view, of in parts.items()]
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionAll(more)
+        return out
 
 
+KEYS = {n: ("i",) if n == "agg_first_moment" else ("i", "j", "k") if n == "agg_triples_weighted" else ("i", "j") for n in ("agg_first_moment", "agg_pairs", "agg_pairs_weighted", "agg_triples_weighted", "agg_triples_proj_weighted", "agg_covariance", "agg_pairs_sq")}
 THETA = [0.5 * (i % 5) - 1.0 for i in range(22)]
 ALONG = "list_sum(list_transform(list_zip({t}, {theta}), lambda o: o[1] * o[2]))"
 
 
-def _moment(name, sql, f):
-    @query(name, sql)
-    def run(spark, d):
-        return f(views(spark, d)).withColumn("v", r6("v"))
+def _two(view, value, a, b, rest=""):
+    """A value of coordinates i of one part and j of another, by pairs of rows of a vector."""
+    return f"{AT.format(view=view)}, w.c::INTEGER AS j, round({value}, 6) AS v FROM l u JOIN l w USING (id){rest} WHERE u.{a} IS NOT NULL AND w.{b} IS NOT NULL GROUP BY u.c, w.c"
 
 
-_moment("agg_pairs", pair_sql("u.a * w.b"), M.pairs)
-_moment("agg_pairs_weighted", pair_sql("u.q * u.a * w.a", False), M.pairs_weighted)
-_moment("agg_triples", triple_sql("u.a * w.b * y.z"), M.triples)
-_moment("agg_triples_weighted", triple_sql("u.q * u.a * w.a * y.a", False), M.triples_weighted)
-_moment("agg_triples_proj", f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, round(avg(u.a * w.b * {ALONG.format(t='p.x3', theta=THETA)}), 6) AS v FROM l u JOIN l w USING (id) JOIN p USING (id) WHERE u.a IS NOT NULL AND w.b IS NOT NULL GROUP BY u.c, w.c", lambda df: M.triples_projected(df, THETA))
-_moment("agg_triples_proj_weighted", f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, round(avg(u.q * u.a * w.a * {ALONG.format(t='p.x1', theta=THETA[:21])}), 6) AS v FROM l u JOIN l w USING (id) JOIN p USING (id) WHERE u.a IS NOT NULL AND w.a IS NOT NULL GROUP BY u.c, w.c", lambda df: M.triples_projected_weighted(df, THETA[:21]))
-_moment("agg_covariance", f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, round(covar_pop(u.a, w.b), 6) AS v FROM l u JOIN l w USING (id) WHERE u.a IS NOT NULL AND w.b IS NOT NULL GROUP BY u.c, w.c", M.covariance)
+_moment("agg_first_moment", ONE, lambda v, p: f"{AT.format(view=v)}, round(avg(u.{p[0]}), 6) AS v FROM l u WHERE u.{p[0]} IS NOT NULL GROUP BY u.c", lambda df, p: M.first_moment(df, p[1]))
+_moment("agg_pairs", TWO, lambda v, p, q: _two(v, f"avg(u.{p[0]} * w.{q[0]})", p[0], q[0]), lambda df, p, q: M.pairs(df, p[1], q[1]))
+_moment("agg_covariance", TWO, lambda v, p, q: _two(v, f"covar_pop(u.{p[0]}, w.{q[0]})", p[0], q[0]), lambda df, p, q: M.covariance(df, p[1], q[1]))
+_moment("agg_pairs_weighted", ONE, lambda v, p: _two(v, f"sum(u.q * u.{p[0]} * w.{p[0]})", p[0], p[0]), lambda df, p: M.pairs_weighted(df, p[1]))
 _moment(
-    "agg_pairs_sq",
-    # products come in either order, so those of one order are summed and stand for both
-    f"""WITH {LONG}, s AS (SELECT u.id, u.c * 21 + w.c AS c, u.a * w.a AS a, u.b * w.b AS b FROM l u JOIN l w USING (id) WHERE u.c <= w.c AND w.c < 21),
-    v AS (SELECT u.c AS i, w.c AS j, avg(u.a * w.b) AS v FROM s u JOIN s w USING (id) GROUP BY u.c, w.c),
-    both_ AS (SELECT least(i, j) * 21 + greatest(i, j) AS c, i * 21 + j AS at FROM (SELECT unnest(range(21)) AS i), (SELECT unnest(range(21)) AS j))
-    SELECT a.at::INTEGER AS i, b.at::INTEGER AS j, round(v, 6) AS v FROM v JOIN both_ a ON v.i = a.c JOIN both_ b ON v.j = b.c""",
-    M.pairs_squared,
+    "agg_triples_weighted",
+    ONE,
+    lambda v, p: f"{AT.format(view=v)}, w.c::INTEGER AS j, y.c::INTEGER AS k, round(sum(u.q * u.{p[0]} * w.{p[0]} * y.{p[0]}), 6) AS v FROM l u JOIN l w USING (id) JOIN l y USING (id) WHERE u.{p[0]} IS NOT NULL AND w.{p[0]} IS NOT NULL AND y.{p[0]} IS NOT NULL GROUP BY u.c, w.c, y.c",
+    lambda df, p: M.triples_weighted(df, p[1]),
 )
+_moment(
+    "agg_triples_proj_weighted",
+    ONE,
+    lambda v, p: _two(v, f"avg(u.q * u.{p[0]} * w.{p[0]} * {ALONG.format(t=f'p.{p[1]}', theta=THETA[: p[2]])})", p[0], p[0], " JOIN p USING (id)"),
+    lambda df, p: M.triples_projected_weighted(df, THETA[: p[2]], p[1]),
+)
+
+
+def _squares_sql(view, p, q):
+    # products come in either order, so those of one order are summed and stand for both
+    (a, _, n), (b, _, m) = p, q
+    one = lambda c, n: f"SELECT u.id, u.c * {n} + w.c AS c, u.{c} * w.{c} AS s FROM l u JOIN l w USING (id) WHERE u.c <= w.c AND u.{c} IS NOT NULL AND w.{c} IS NOT NULL"
+    both = lambda n: f"SELECT least(i, j) * {n} + greatest(i, j) AS c, i * {n} + j AS at FROM (SELECT unnest(range({n})) AS i), (SELECT unnest(range({n})) AS j)"
+    return f"SELECT '{view}' AS view, x.at::INTEGER AS i, y.at::INTEGER AS j, round(v, 6) AS v FROM (SELECT u.c AS i, w.c AS j, avg(u.s * w.s) AS v FROM ({one(a, n)}) u JOIN ({one(b, m)}) w USING (id) GROUP BY u.c, w.c) s JOIN ({both(n)}) x ON s.i = x.c JOIN ({both(m)}) y ON s.j = y.c"
+
+
+_moment("agg_pairs_sq", TWO, _squares_sql, lambda df, p, q: M.pairs_squared(df, p[1], q[1]))
+
+
+def triple_sql(value):
+    return f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, y.c::INTEGER AS k, round(avg({value}), 6) AS v FROM l u JOIN l w USING (id) JOIN l y USING (id) GROUP BY u.c, w.c, y.c HAVING count({value}) > 0"
+
+
+@query("agg_triples", triple_sql("u.a * w.b * y.z"))
+def agg_triples(spark, d):
+    return M.triples(views(spark, d)).withColumn("v", r6("v"))
+
+
+@query("agg_triples_proj", f"WITH {LONG} SELECT u.c::INTEGER AS i, w.c::INTEGER AS j, round(avg(u.a * w.b * {ALONG.format(t='p.x3', theta=THETA)}), 6) AS v FROM l u JOIN l w USING (id) JOIN p USING (id) WHERE u.a IS NOT NULL AND w.b IS NOT NULL GROUP BY u.c, w.c")
+def agg_triples_proj(spark, d):
+    return M.triples_projected(views(spark, d), THETA).withColumn("v", r6("v"))
+
 
 @query(
     "join_views",

@@ -284,3 +284,27 @@ def test_baum_welch_over_distinct_sequences(spark, tmp_path):
     _, history = hmm.fit(df, start, 4, metrics=str(tmp_path / "metrics"))
     assert [r.loglik for r in spark.read.parquet(str(tmp_path / "metrics")).orderBy("step").collect()] == history
     assert all(b >= a - 1e-9 for a, b in zip(history, history[1:], strict=False))
+
+
+def test_start_of_a_mixture_in_few_rounds(spark):
+    """Planted centres are met with rounds, not one pass a centre; weights are uniform, the variance that of the noise."""
+    rng = np.random.default_rng(13)
+    truth = rng.normal(0, 10, (12, 4))
+    x = truth[rng.integers(0, 12, 3000)] + rng.normal(0, 0.1, (3000, 4))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    centres, sigma2 = em.kmeans_parallel(points, 12, seed=1)
+    rows = centres.collect()
+    assert len(rows) == 12 and all(np.isclose(r.w, 1 / 12) for r in rows)
+    m = np.array([r.m for r in rows])
+    assert np.sqrt(((truth[:, None] - m) ** 2).sum(axis=2)).min(axis=1).max() < 0.2 and 0.005 < sigma2 < 0.02
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20)], "id long, x array<double>")
+    centres, sigma2 = em.kmeans_parallel(same, 3)
+    assert [list(r.m) for r in centres.collect()] == [[1.0, 2.0]] and sigma2 == 0
+
+
+def test_ragged_arrays_and_large_results_are_refused(spark):
+    ragged = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0, 4.0],)], "x1 array<double>").coalesce(1)
+    with pytest.raises(Exception, match="arrays of 2 to 4 numbers"):
+        M.first_moment(ragged).collect()
+    with pytest.raises(ValueError, match="too many"):
+        M.collect_matrix(ragged, 2000, 2000)

@@ -255,3 +255,49 @@ def test_folder_needs_a_shared_one_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.folder(Session(), "x")
+
+
+def test_topics_of_a_vocabulary_of_thousands(spark):
+    """Five thousand words in four topics that overlap a little, from lists of words: nothing of words times words is made."""
+    rng, d, k = np.random.default_rng(21), 5000, 4
+    truth = np.stack([rng.dirichlet(np.where(np.arange(d) // (d // k) == j, 0.5, 0.02)) for j in range(k)])
+    docs = []
+    for i in range(8000):
+        topic = rng.dirichlet(np.full(k, 0.25))
+        docs.append((i, rng.choice(d, rng.integers(3, 200), p=topic @ truth).tolist()))
+    docs += [(-1, [1, 2]), (-2, []), (-3, None), (-4, [None, -5, d, 7])]
+    weights, found = moment_methods.lda(spark.createDataFrame(docs, "seq_id long, x array<int>").repartition(8), d, k)
+    assert found.shape == (d, k) and weights.max() < 0.4
+    apart = np.abs(found.T[:, None] - truth).sum(axis=2)
+    assert sorted(apart.argmin(axis=1)) == list(range(k)) and apart.min(axis=1).max() < 0.5
+
+
+def test_pair_and_triple_products_count_places(spark):
+    rng = np.random.default_rng(22)
+    docs = [rng.integers(0, 6, n).tolist() for n in (3, 4, 7)]
+    df = spark.createDataFrame([(x,) for x in docs], "x array<int>").repartition(2)
+    factor = rng.normal(size=(6, 2))
+    pairs, triples = np.zeros((6, 6)), np.zeros((6, 6, 6))
+    for x in docs:
+        n = len(x)
+        for i, j in itertools.permutations(range(n), 2):
+            pairs[x[i], x[j]] += 1 / (n * (n - 1)) / len(docs)
+        for i, j, l in itertools.permutations(range(n), 3):
+            triples[x[i], x[j], x[l]] += 1 / (n * (n - 1) * (n - 2)) / len(docs)
+    _, product, count = moment_methods.pair_products(df, factor)
+    assert count == 3 and np.allclose(product, pairs @ factor)
+    assert np.allclose(moment_methods.triple_products(df, factor), np.einsum("abc,ai,bj,ck->ijk", triples, factor, factor, factor))
+
+
+def test_views_of_hundreds_of_coordinates(spark):
+    """d = 500: only thin factors come back."""
+    rng, d, k = np.random.default_rng(23), 500, 3
+    means = [rng.normal(size=(d, k)) for _ in range(3)]
+    h = rng.choice(k, 3000, p=[0.5, 0.3, 0.2])
+    x = [m.T[h] + 0.3 * rng.normal(size=(3000, d)) for m in means]
+    points = spark.createDataFrame([(i, *(v[i].tolist() for v in x), 1.0 + i % 3) for i in range(3000)], "id long, x1 array<double>, x2 array<double>, x3 array<double>, w double").repartition(4)
+    weights, found, spread = moment_methods.gmm_from_views(points, (d, d, d), k)
+    assert np.allclose(sorted(weights), [0.2, 0.3, 0.5], atol=0.05)
+    assert all(matched(found[v], means[v]) < 2.0 for v in range(3))
+    assert matched(moment_methods.simultaneous_diag(points, (d, d, d), k), means[2]) < 2.0
+    assert all(r["var"] < 0.3 for r in spread.collect())
