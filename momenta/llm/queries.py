@@ -169,5 +169,48 @@ chains AS (
     SELECT s.word, s.at AS root FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NULL)
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN chains USING (word)"""
 
+OP13_SQL = rf"""
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {CRC_SQL.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM raw WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM damaged),
+again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed),
+rows_ AS (
+    SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS ini,
+           CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM again),
+neighbours AS (SELECT conv_id, ini, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows_),
+facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+    FROM rows_ GROUP BY conv_id),
+wrong AS (SELECT conv_id, count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM neighbours GROUP BY conv_id),
+next_ AS (SELECT * FROM (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) v(p, q)),
+put AS (SELECT * FROM (VALUES ('', '', ''), ('', 'u', 'I'), ('', 'a', 'II'), ('s', 's', ''), ('s', 'u', 'I'), ('s', 'a', 'II'), ('u', 'u', ''), ('u', 'a', 'I'), ('a', 'a', ''), ('a', 'u', 'I')) v(p, q, w)),
+act AS (SELECT p, p AS q, 'D' AS w FROM (SELECT DISTINCT p FROM put) UNION ALL SELECT p, q, 'K' FROM next_ UNION ALL SELECT p, q, 'R' FROM next_ WHERE q <> 's'),
+step AS (
+    SELECT conv_id, 0::BIGINT AS i, '' AS last, {{'c': 0::BIGINT, 'a': ''}} AS best FROM facts
+    UNION ALL
+    SELECT s.conv_id, s.i + 1, act.q, min({{'c': s.best.c + 3 * length(put.w) + CASE act.w WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN act.w <> 'D' AND r.fault = 'truncated' THEN 3 ELSE 0 END, 'a': s.best.a || put.w || act.w}})
+    FROM step s JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i JOIN put ON put.p = s.last JOIN act ON act.p = put.q
+    WHERE act.w = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (act.w = 'R' OR act.q = r.ini)) GROUP BY s.conv_id, s.i, act.q),
+ends AS (
+    SELECT s.conv_id, min({{'c': s.best.c + 3 * length(put.w), 'a': s.best.a || put.w}}) AS best
+    FROM step s JOIN facts f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.i JOIN put ON put.p = s.last WHERE put.q IN ('', 'a') GROUP BY s.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(best.a, '')) AS w, generate_subscripts(string_split(best.a, ''), 1) AS j FROM ends WHERE best.a <> ''),
+aligned AS (SELECT *, sum(CASE WHEN w = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) - 1 AS i, sum(CASE WHEN w = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) - 1 AS place FROM letters),
+kept AS (
+    SELECT a.conv_id, a.j, a.w, a.place, r.role, CASE WHEN a.w = 'I' THEN '' ELSE r.text END AS text, max(CASE WHEN a.place = 0 AND a.w = 'K' AND r.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.conv_id) AS led
+    FROM aligned a LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.i WHERE a.w <> 'D'),
+digests AS (SELECT conv_id, sha256(string_agg(CASE WHEN w = 'K' THEN role WHEN (place - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS h FROM kept GROUP BY conv_id)
+SELECT c.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(w.illegal, 0) AS illegal,
+       coalesce(e.best.c, 0) AS cost, coalesce(e.best.a, '') AS audit, coalesce(h.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN wrong w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN digests h ON h.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_pii, op4_mixing, op5_token_counts, op6_html_text, op7_token_files, op8_decontamination, op9_quality_rules, op10_simhash, op11_spelling, op12_toxicity, op13_conversations)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_mixing": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling": OP11_SQL, "op13_conversations": OP13_SQL}
