@@ -13,6 +13,7 @@ looked up by every task while it has at most MOST_GRAMS entries, and by joins wi
 from __future__ import annotations
 
 import collections
+import math
 import re
 
 import numpy as np
@@ -35,6 +36,8 @@ HELD_OUT, CURVE = 2, 3
 CURVE_ROWS = 20_000
 #: Entries of a model that each task loads whole (12 bytes each).
 MOST_GRAMS = 6_000_000
+#: Bits of a mask over ids, at most (a power of two).
+MASK_BITS = 26
 #: Words longer than this count as their first and later pieces of so many letters.
 PIECE = 48
 
@@ -266,12 +269,26 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return known.withColumn("rest", remainder(F.col("id"))).where(F.col("rest") != HELD_OUT)
 
 
+def perhaps_among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts without most of those whose doc_id isn't among ids (id): hashes of ids set bits of a mask of bounded size (8 MB at most), a bit or
+    more for every id, and a text stays if its bit is set. Texts of ids all stay, so a join afterwards gives the same rows and moves fewer."""
+    bits = min(max(10, math.ceil(math.log2(16 * ids.count() + 1))), MASK_BITS)
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    found = ids.groupBy(F.shiftright(slot("id"), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), {64 - bits}) & 63 AS int))")).alias("bits")).toArrow()
+    mask = np.zeros(1 << (bits - 6), np.int64)
+    mask[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    row = texts.sparkSession.createDataFrame(pa.table({"mask_": pa.array([mask], pa.list_(pa.int64()))}))
+    bit = F.getbit(F.get("mask_", F.shiftright(slot("doc_id"), 6).cast("int")), slot("doc_id").bitwiseAND(F.lit(63)).cast("int"))
+    return texts.crossJoin(F.broadcast(row)).where(bit == 1).drop("mask_")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
     """The model of the counted rows and the curve of the others.
 
-    Only texts that can give counts meet labels in a shuffle; the rows that fit the curve are picked by id, and their bounded list goes to the texts."""
+    Only texts whose ids are (but for chance) among those that give counts meet labels in a shuffle; the rows that fit the curve are picked by id, and their bounded list goes to the texts."""
     known, texts = known_labels(labels), docs.select("doc_id", "text")
-    counted = texts.where(~remainder(F.col("doc_id")).isin(HELD_OUT, CURVE)).join(known.where(F.col("rest") != CURVE), F.col("doc_id") == F.col("id"))
+    given = saved(known.where(F.col("rest") != CURVE).select("id", "toxic"), "counted-labels")
+    counted = perhaps_among(texts.where(~remainder(F.col("doc_id")).isin(HELD_OUT, CURVE)), given).join(given, F.col("doc_id") == F.col("id"))
     words = counted.select("text", "toxic").mapInArrow(_word_counts, "word string, toxic int, n long")
     by_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     words = saved(words.groupBy("word").agg(*by_class), "class-words")

@@ -111,3 +111,12 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{large}/labels.parquet")
     got = toxicity.score(spark.read.parquet(f"{large}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").toPandas()
     assert got[got.toxic == 1].predicted.mean() > 0.9 and got[got.toxic == 0].predicted.mean() < 0.02
+
+
+def test_mask_keeps_all_texts_of_the_ids(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.createDataFrame([(None, "null")], "doc_id long, text string"))
+    ids = spark.range(0, 20_000, 40).select((F.col("id") - 400).alias("id"))
+    kept = [r.doc_id for r in toxicity.perhaps_among(docs, ids).collect()]
+    wanted = {r.id for r in ids.collect() if r.id >= 0}
+    assert wanted <= set(kept) and len(kept) < 4 * len(wanted) and toxicity.perhaps_among(docs, ids).columns == docs.columns
+    assert toxicity.perhaps_among(docs, ids.limit(0)).collect() == []
