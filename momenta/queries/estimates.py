@@ -566,3 +566,13 @@ def str_moment_window(spark, d):
 @query("str_transition_counts", "WITH w AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, event_type AS cur FROM events) SELECT prev, cur, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY ALL")
 def str_transition_counts(spark, d):
     return stream.run_to_table(stream.transitions(_stream(spark, d)), "append").groupBy("prev", "cur").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "str_transition_counts_idle",
+    "WITH w AS (SELECT ts, lag(ts) OVER w AS before, lag(event_type) OVER w AS prev, event_type AS cur FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT prev, cur, count(*) AS n FROM w WHERE prev IS NOT NULL AND epoch_ms(ts) - epoch_ms(before) <= 43200000 GROUP BY ALL",
+)
+def str_transition_counts_idle(spark, d):
+    """Pairs of events of a user no more than twelve hours apart; a user's state leaves the store when it can make none any more."""
+    pairs = stream.run_to_table(stream.expiring_transitions(_stream(spark, d), "12 hours"), "append", stream.ROCKSDB)
+    return pairs.groupBy("prev", "cur").agg(F.sum("n").alias("n"))
