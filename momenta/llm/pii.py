@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from momenta.llm.common import let, saved
 
 #: The session's setting that holds the key of the surrogates. Who knows the key can tell which surrogate a guessed value has.
-KEY_SETTING = "spark.momenta.pii.key"
+#: Its name is one that Spark's redaction of settings catches.
+KEY_SETTING = "spark.momenta.pii.secret"
 #: Attempts in a value's own format; each one after them draws a further syllable or character, so that room outgrows the values.
 OWN_FORMAT = 6
 
@@ -115,15 +116,33 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _mac(key: str, message: Column) -> Column:
-    """HMAC-SHA256 in hex."""
+#: The pads of the keyed hash: the key as text, or columns with both pads, so that no plan has it.
+Key = str | tuple[Column, Column]
+
+
+def _pads(key: str) -> tuple[bytes, bytes]:
+    """The inner and the outer pad of HMAC-SHA256."""
     raw = key.encode()
     raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
-    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    inner, outer = (bytes(b ^ pad for b in raw) for pad in (0x36, 0x5C))
+    return inner, outer
+
+
+def _mac(key: Key, message: Column) -> Column:
+    """HMAC-SHA256 in hex."""
+    inner, outer = map(F.lit, _pads(key)) if isinstance(key, str) else key
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
-def _stream(key: str, seed: Column, size: Column) -> Column:
+def drawn(values: DataFrame, key: str) -> DataFrame:
+    """values (type, value, attempt) with their surrogates. The key comes as a row beside them: plans, logs and the UI show names of columns, not what is in them."""
+    spark = values.sparkSession
+    row = F.broadcast(spark.createDataFrame([tuple(map(bytearray, _pads(key)))], "inner_ binary, outer_ binary"))
+    pads = (F.col("inner_"), F.col("outer_"))
+    return values.crossJoin(row).withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.col("attempt"), pads)).drop("inner_", "outer_")
+
+
+def _stream(key: Key, seed: Column, size: Column) -> Column:
     """Hex digits from the keyed hash of seed, two for each of size places."""
     return F.array_join(F.transform(F.sequence(F.lit(0), (size / 32).cast("int")), lambda b: _mac(key, F.concat_ws("|", seed, b.cast("string")))), "")
 
@@ -136,7 +155,7 @@ def _pick(options: list[str], byte: Column) -> Column:
     return F.element_at(_texts(options), byte % len(options) + 1)
 
 
-def _shaped(key: str, value: Column, seed: Column) -> Column:
+def _shaped(key: Key, value: Column, seed: Column) -> Column:
     """value with each letter and digit drawn anew from its class."""
     hex_only = value.rlike("^[0-9a-f]{6,}$") & value.rlike("[a-f]")
 
@@ -161,14 +180,14 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substring(number, F.lit(1), F.length(number) - 1), ((10 - total % 10) % 10).cast("string"))
 
 
-def _wider(key: str, options: Column, seed: Column, attempt: Column) -> Column:
+def _wider(key: Key, options: Column, seed: Column, attempt: Column) -> Column:
     """What a surrogate is widened by: one of options for each attempt beyond OWN_FORMAT."""
     more = F.greatest(attempt - (OWN_FORMAT - 1), F.lit(0))
     drawn = lambda stream: F.transform(F.sequence(F.lit(1), more), lambda i: F.element_at(options, _byte(stream, i) % F.size(options) + 1))
     return F.when(more > 0, F.array_join(let(_stream(key, F.concat_ws("|", seed, F.lit("wider")), more), drawn), "")).otherwise("")
 
 
-def _name(key: str, kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
+def _name(key: Key, kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
     """A name of the value's script and gender; one in capitals stays in capitals."""
 
     def drawn(stream: Column) -> Column:
@@ -187,7 +206,7 @@ def _name(key: str, kind: Column, value: Column, seed: Column, attempt: Column)
     return let(_stream(key, seed, F.lit(8)), drawn)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+def surrogate(kind: Column, value: Column, attempt: Column, key: Key) -> Column:
     """The surrogate of a value; another attempt gives another. An e-mail keeps its top-level domain, and one domain always becomes the same.
 
     From attempt OWN_FORMAT on it has that many more syllables (names), letters (e-mails, before the @) or digits.
@@ -215,7 +234,7 @@ def assign(values: DataFrame, key: str | None = None) -> DataFrame:
     """
     key = key or session_key(values.sparkSession)
     space = F.regexp_replace("type", "^name_.*", "name").alias("space")
-    draw = lambda df: df.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.col("attempt"), key))
+    draw = lambda df: drawn(df, key)
     state = saved(draw(values.select("type", "value").withColumn("attempt", F.lit(0))), "surrogates")
     taken = values.select(space, F.col("value").alias("surrogate"), F.lit(None).cast("struct<attempt:int,value:string,type:string>").alias("who"))
     while True:
@@ -248,10 +267,10 @@ def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     kinds = found.select("type", "value").distinct().join(first, "value", "left")
     kinds = kinds.select("type", "value", F.when(F.col("type") == "name_l", "name_l").otherwise(F.when(F.col("type").startswith("name_"), F.col("gender")).otherwise(F.col("type"))).alias("as"))
     kinds = saved(kinds, "values")
-    drawn = assign(kinds.select(F.col("as").alias("type"), "value").distinct(), key).withColumnRenamed("type", "as")
-    drawn = kinds.join(drawn, ["as", "value"]).drop("as")
+    found_for = assign(kinds.select(F.col("as").alias("type"), "value").distinct(), key).withColumnRenamed("type", "as")
+    found_for = kinds.join(found_for, ["as", "value"]).drop("as")
     name = F.concat_ws(":", "type", "value")
-    maps = found.distinct().join(drawn, ["type", "value"]).groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("surrogate")))).alias("to"))
+    maps = found.distinct().join(found_for, ["type", "value"]).groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct(name, F.col("surrogate")))).alias("to"))
     out = rows.join(maps.withColumnRenamed("row_key", "map_key"), rows["row_key"] == F.col("map_key"), "left")
 
     # mentions without a title of the names found in the text: last names before first names, longer ones first

@@ -496,6 +496,18 @@ def test_mac_is_hmac(spark):
         assert got == hmac.new(key.encode(), "é|x|0".encode(), "sha256").hexdigest()
 
 
+def test_no_plan_has_the_key(spark):
+    """Neither the key nor its pads, as text, bytes or hex, in any form of the plan; and the setting's name is one that Spark hides."""
+    key = "a very secret key"
+    rows = pii.drawn(spark.createDataFrame([("email", "a@b.org", 0)], "type string, value string, attempt int"), key)
+    run = rows._jdf.queryExecution()
+    text = " ".join([run.toString(), run.logical().toString(), run.analyzed().treeString(), run.optimizedPlan().toJSON(), run.executedPlan().toString()]).lower()
+    for secret in (key.encode(), *pii._pads(key)):
+        assert secret.hex() not in text and secret.decode("latin-1").lower() not in text and str(list(secret))[1:-1] not in text
+    assert rows.first().surrogate == spark.createDataFrame([("email", "a@b.org", 0)], "type string, value string, attempt int").select(pii.surrogate(*map(F.col, ("type", "value", "attempt")), key).alias("s")).first().s
+    assert re.search("(?i)secret|password|token|access[.]?key", pii.KEY_SETTING)
+
+
 def test_replaced_texts_against_a_plain_search(spark):
     """Every match of a plain search over all texts is replaced and nothing else; one surrogate a value, of its shape, distinct, and never a value itself."""
     regex = pytest.importorskip("regex")
