@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from momenta.functions import text as T
 from momenta.operators import ngrams as N
 from momenta.queries.registry import query
-from momenta.queries.sql import CLASS, ENC, EV, TOK, TRI, chains, encoded, packed, r6, table, tokens, top, trigram_counts
+from momenta.queries.sql import CLASS, ENC, EV, TOK, TOP, TRI, chains, encoded, packed, r6, table, tokens, top, trigram_counts
 
 VOCAB = TOK + ", cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word)"
 
@@ -221,7 +221,7 @@ def set_vocab_union(spark, d):
     return tokens(spark, d).select("word").union(talk).distinct()
 
 
-@query("set_remainder", f"WITH {ENC} SELECT word FROM cnt ANTI JOIN top USING (word)")
+@query("set_remainder", f"WITH {VOCAB} SELECT word FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS place FROM cnt) WHERE place > {TOP}")
 def set_remainder(spark, d):
     return N.word_counts(tokens(spark, d)).select("word").join(top(spark, d), "word", "left_anti")
 
