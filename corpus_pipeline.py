@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from momenta.llm import decontaminate, mixing, quality, simhash, token_files
+from momenta.llm import decontaminate, mixing, near_copies, quality, token_files
 from momenta.llm.common import saved, table
 from momenta.llm.queries import tokenizer_path
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group stays: of copies, and of texts whose five-word shingles have a similarity of 0.8 or more."""
+    return near_copies.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

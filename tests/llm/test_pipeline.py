@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from momenta.llm import decontaminate, mixing, quality, queries, simhash
+from momenta.llm import decontaminate, mixing, near_copies, quality, queries
 from tests.conftest import SMALL
 from tests.llm.cases import hard_docs
 
@@ -38,7 +38,7 @@ def test_stages_keep_the_columns_and_whole_texts(spark, stages):
 def test_decisions_take_effect(spark, stages):
     (d0, d1), (_, d2), (_, d3), (_, d4), (_, d5) = stages
     assert ids(d1) == {r.doc_id: 1 for r in quality.rate(d0).where("kept").collect()}
-    assert ids(d2) == {r.component_id: 1 for r in simhash.near_duplicates(d1).collect()}
+    assert ids(d2) == {r.component_id: 1 for r in near_copies.near_copies(d1).collect()}
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert ids(d3) == {r.doc_id: 1 for r in decontaminate.report(d2, bench).where("not contaminated").collect()}
     assert ids(d4) == {r.doc_id: r.copies for r in mixing.mix(d3).collect() if r.copies}
