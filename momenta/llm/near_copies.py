@@ -28,6 +28,10 @@ CHECK = 9
 MASK_BITS = 26
 #: Votes of a word in the print; a pair of words has one.
 WEIGHT = 3
+#: Runs of edges that are handed on at once.
+MANY = 1024
+#: Rounds of stars before all remaining meetings of a family are verified.
+ROUNDS = 2
 PRINT = [f"p{i}" for i in range((SEGMENTS + 1) // 2)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEPS = np.arange(1, len(PRINT) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -107,27 +111,38 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b) >> np.uint64(32)) <= CHECK
 
 
-def _forest(ids: np.ndarray, _: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the near ones, breadth first from the smallest."""
-    rest, queue = np.unique(ids), []
-    while len(rest) or queue:
-        if not queue:
-            queue, rest = [rest[0]], rest[1:]
-        at = queue.pop()
-        near = _near(rest, at)
-        for x in rest[near]:
-            yield at, x
-            queue.append(x)
-        rest = rest[~near]
-
-
-def _between(ids: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All near ones of different pieces."""
-    order = np.argsort(ids)
-    ids, roots = ids[order], roots[order]
+def _stars(seed: int) -> Callable:
+    """Edges among the near ids of a key, in steps: the first id in an order by seed meets all others that are not of its piece, the first of those
+    meets all of the first one's piece; what is near neither goes on to the next step. No more edges than ids for each step, and ids of one family share their first."""
+
+    def edges(ids: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+        mixed = (ids ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        order = np.argsort(mixed ^ (mixed >> np.uint64(32)))
+        ids, roots = ids[order], roots[order]
+        while len(ids) > 1:
+            other = roots != roots[0]
+            by_first = _near(ids, ids[0])
+            met_by = by_first & other
+            yield _edges(ids[met_by], ids[0])
+            if met_by.any():
+                second = ids[met_by][0]
+                by_second = ~other & _near(ids, second)
+                by_second[0] = False
+                yield _edges(ids[by_second], second)
+            rest = ~by_first
+            ids, roots = ids[rest], roots[rest]
+
+    return edges
+
+
+def _between(ids: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+    """All near ids of different pieces."""
     for i in range(len(ids) - 1):
-        for x in ids[i + 1 :][_near(ids[i + 1 :], ids[i]) & (roots[i + 1 :] != roots[i])]:
-            yield ids[i], x
+        yield _edges(ids[i + 1 :][_near(ids[i + 1 :], ids[i]) & (roots[i + 1 :] != roots[i])], ids[i])
+
+
+def _edges(ids: np.ndarray, at: np.uint64) -> np.ndarray:
+    return np.stack([np.minimum(ids, at), np.maximum(ids, at)], axis=1)
 
 
 def met(index: DataFrame, edges: Callable) -> DataFrame:
@@ -137,6 +152,10 @@ def met(index: DataFrame, edges: Callable) -> DataFrame:
         """Rows come sorted by key; the rows of the last key of a batch wait for the next."""
         kept: list[np.ndarray] = []
 
+        def as_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate([np.zeros((0, 2), np.uint64), *found])
+            return pa.record_batch([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+
         def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.diff(rows[0])) + 1
             start, end = np.r_[0, cut], np.r_[cut, rows.shape[1]]
@@ -145,10 +164,12 @@ def met(index: DataFrame, edges: Callable) -> DataFrame:
             pair = pair[_near(ids[pair], ids[pair + 1]) & (rows[2][pair] != rows[2][pair + 1])]
             found = [np.sort(np.stack([ids[pair], ids[pair + 1]], axis=1), axis=1)]
             for s, e in zip(start[end - start > 2], end[end - start > 2], strict=True):
-                if new := list(edges(ids[s:e], rows[2][s:e])):
-                    found.append(np.array(new, np.uint64))
-            both = np.concatenate(found)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+                for new in edges(ids[s:e], rows[2][s:e]):
+                    found.append(new)
+                    if len(found) == MANY:
+                        yield as_batch(found)
+                        found = []
+            yield as_batch(found)
 
         for batch in batches:
             if not batch.num_rows:
@@ -235,20 +256,24 @@ def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified edges (a, b) between ids that connect all that verified meetings connect.
 
-    A key first gives a spanning forest of what looks near. Where one of its edges fails, the forest may have left out an
-    edge that holds: among the texts that such a forest connects, all meetings between different pieces are verified.
+    A key first gives stars, not all pairs. Where an edge of a star fails, stars may have left out one that holds: what
+    such stars connect meets again, piece by piece, about other ids, and after ROUNDS all meetings between the pieces left are verified.
     """
-    edges = saved(met(variants(classes), _forest), "met")
+    edges = saved(met(variants(classes), _stars(0)), "met")
     seen = verified(edges, docs)
-    good, bad = seen.where("linked").select("a", "b"), seen.where("not linked")
-    if bad.isEmpty():
-        return good
-    whole, piece = components(edges), components(good)
-    again = bad.join(whole, F.col("a") == F.col("node")).select("root").distinct()
-    nodes = whole.join(again, "root", "left_semi").select(F.col("node").alias("id"))
-    some = classes.join(nodes, "id", "left_semi").join(piece.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    more = saved(met(variants(some, "root"), _between).join(edges, ["a", "b"], "left_anti"), "met-again")
-    return good.union(verified(more, docs).where("linked").select("a", "b"))
+    for step in range(1, ROUNDS + 1):
+        good, bad = seen.where("linked").select("a", "b"), seen.where("not linked")
+        if bad.isEmpty():
+            break
+        whole, piece = components(seen.select("a", "b")), components(good)
+        roots = whole.join(piece.withColumnRenamed("root", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+        open_ = roots.groupBy("root").agg((F.min("piece") != F.max("piece")).alias("open")).where("open").select("root")
+        nodes = roots.join(open_, "root", "left_semi").select(F.col("node").alias("id"), F.col("piece").alias("root"))
+        some = classes.join(nodes, "id")
+        more = met(variants(some, "root"), _between if step == ROUNDS else _stars(step))
+        more = saved(more.join(seen, ["a", "b"], "left_anti"), "met-again")
+        seen = seen.unionByName(verified(more, docs))
+    return seen.where("linked").select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
