@@ -30,8 +30,10 @@ MASK_BITS = 26
 WEIGHT = 3
 #: Runs of edges that are handed on at once.
 MANY = 1024
-#: Rounds of stars before all remaining meetings of a family are verified.
+#: Rounds in which the pieces of a family meet again; in the last one all that counts leave room for is verified.
 ROUNDS = 2
+#: Parts of the shingles, by hash, that a sketch counts.
+PARTS = 64
 PRINT = [f"p{i}" for i in range((SEGMENTS + 1) // 2)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEPS = np.arange(1, len(PRINT) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -107,65 +109,118 @@ def variants(classes: DataFrame, *more: str) -> DataFrame:
     return classes.select("id", *PRINT, *more, F.explode(F.expr(f"sequence(0, {SEGMENTS * SEGMENT - 1})")).alias("k")).select(key.alias("key"), "id", *more)
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b) >> np.uint64(32)) <= CHECK
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b) >> np.uint64(32)) > CHECK
+
+
+def _room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether counts leave room for a similarity of 4/5: no more shingles are common than the lesser counts of all parts make together."""
+    if not b.shape[-1]:
+        return np.ones(len(b), bool)
+    return 9 * np.minimum(a[..., 1:], b[..., 1:]).sum(axis=-1) >= 4 * (a[..., 0] + b[..., 0])
+
+
+def _near(ids: np.ndarray, counts: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
+    """Those of the places `among` that may be linked to place k."""
+    among = among[~_far(ids[among], ids[k])]
+    return among[_room(counts[k], counts[among])]
 
 
 def _stars(seed: int) -> Callable:
     """Edges among the near ids of a key, in steps: the first id in an order by seed meets all others that are not of its piece, the first of those
-    meets all of the first one's piece; what is near neither goes on to the next step. No more edges than ids for each step, and ids of one family share their first."""
+    meets all of the first one's piece; what only an id so reached is near to meets that one. No more edges than ids for each step, and ids of one
+    family share their first."""
 
-    def edges(ids: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+    def edges(ids: np.ndarray, roots: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
         mixed = (ids ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        order = np.argsort(mixed ^ (mixed >> np.uint64(32)))
-        ids, roots = ids[order], roots[order]
-        while len(ids) > 1:
-            other = roots != roots[0]
-            by_first = _near(ids, ids[0])
-            met_by = by_first & other
-            yield _edges(ids[met_by], ids[0])
-            if met_by.any():
-                second = ids[met_by][0]
-                by_second = ~other & _near(ids, second)
-                by_second[0] = False
-                yield _edges(ids[by_second], second)
-            rest = ~by_first
-            ids, roots = ids[rest], roots[rest]
+        rest, queue = np.argsort(mixed ^ (mixed >> np.uint64(32))), []
+        away = np.ones(len(ids), bool)
+        while len(rest):
+            if begins := not queue:
+                queue, rest = [rest[0]], rest[1:]
+            first = queue.pop(0)
+            near = _near(ids, counts, rest, first)
+            met_by = near[roots[near] != roots[first]]
+            yield _edges(ids[met_by], ids[first])
+            if begins and len(met_by):
+                yield _edges(ids[_near(ids, counts, rest[roots[rest] == roots[first]], met_by[0])], ids[met_by[0]])
+            queue.extend(near)
+            away[near] = False
+            rest = rest[away[rest]]
 
     return edges
 
 
-def _between(ids: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+def _between(ids: np.ndarray, roots: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
     """All near ids of different pieces."""
     for i in range(len(ids) - 1):
-        yield _edges(ids[i + 1 :][_near(ids[i + 1 :], ids[i]) & (roots[i + 1 :] != roots[i])], ids[i])
+        yield _edges(ids[_near(ids, counts, i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i]), i)], ids[i])
 
 
 def _edges(ids: np.ndarray, at: np.uint64) -> np.ndarray:
     return np.stack([np.minimum(ids, at), np.maximum(ids, at)], axis=1)
 
 
+def _sketch(held: np.ndarray, size: int) -> bytes:
+    """size, a unit, and how many units (rounded up) of the shingles in held fall in each part."""
+    counts = np.bincount((held.view(np.uint64) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+    unit = max(1, -(-int(counts.max()) // 255))
+    return np.array([size, unit], "<u4").tobytes() + (-(-counts // unit)).astype(np.uint8).tobytes()
+
+
+def _counts(sketches: np.ndarray) -> np.ndarray:
+    """From sketches, a row of bytes each: the size and the counts of the parts, none of them too small. Rows without bytes give none."""
+    if not sketches.shape[1]:
+        return np.zeros((len(sketches), 0), np.int64)
+    size, unit = np.ascontiguousarray(sketches[:, :8]).view("<u4").astype(np.int64).T
+    return np.column_stack([size, sketches[:, 8:].astype(np.int64) * unit[:, None]])
+
+
+def sketches(sets: DataFrame, family: DataFrame) -> DataFrame:
+    """(id, sketch) of those ids of family (id, family) that may be linked to another of theirs; sets has the shingles of all.
+
+    A shingle that no other id of the family has is common to no two of them. A sketch counts the others, so the lesser
+    counts of two sketches bound how many are common; who holds less than 4/5 of its shingles with others has no link.
+    """
+    of = sets.join(family, "id")
+    each = of.select("id", "family", F.explode("grams").alias("gram")).groupBy("family", "gram").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    lone = each.where("n = 1").groupBy("id").agg(F.collect_list("gram").alias("lone"))
+    held = F.array_except("grams", F.coalesce("lone", F.array().cast("array<bigint>")))
+    some = of.join(lone, "id", "left").select("id", F.size("grams").alias("size"), held.alias("held")).where(5 * F.size("held") >= 4 * F.col("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_sketch(np.array(h.values.to_numpy(), np.int64), n.as_py()) for h, n in zip(b["held"], b["size"], strict=True)]
+            yield pa.record_batch([b["id"], pa.array(found, pa.binary())], ["id", "sketch"])
+
+    return some.mapInArrow(run, "id long, sketch binary")
+
+
 def met(index: DataFrame, edges: Callable) -> DataFrame:
-    """(a, b) distinct: the edges among the ids of each key of index (key, id, root)."""
+    """(a, b) distinct: the edges among the ids of each key of index (key, id, root; sketch, if it has any)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the rows of the last key of a batch wait for the next."""
-        kept: list[np.ndarray] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
         def as_batch(found: list[np.ndarray]) -> pa.RecordBatch:
             both = np.concatenate([np.zeros((0, 2), np.uint64), *found])
             return pa.record_batch([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
 
-        def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(rows[0])) + 1
-            start, end = np.r_[0, cut], np.r_[cut, rows.shape[1]]
-            ids = rows[1].view(np.uint64)
+        def groups(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            (keys, ids, roots), sketch = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+            ids, cut = ids.view(np.uint64), np.flatnonzero(np.diff(keys)) + 1
+            start, end = np.r_[0, cut], np.r_[cut, len(keys)]
+            several = np.minimum.reduceat(roots, start) != np.maximum.reduceat(roots, start)
+            start, end = start[several], end[several]
             pair = start[end - start == 2]
-            pair = pair[_near(ids[pair], ids[pair + 1]) & (rows[2][pair] != rows[2][pair + 1])]
+            pair = pair[~_far(ids[pair], ids[pair + 1])]
+            pair = pair[_room(_counts(sketch[pair]), _counts(sketch[pair + 1]))]
             found = [np.sort(np.stack([ids[pair], ids[pair + 1]], axis=1), axis=1)]
             for s, e in zip(start[end - start > 2], end[end - start > 2], strict=True):
-                for new in edges(ids[s:e], rows[2][s:e]):
-                    found.append(new)
+                for new in edges(ids[s:e], roots[s:e], _counts(sketch[s:e])):
+                    if len(new):
+                        found.append(new)
                     if len(found) == MANY:
                         yield as_batch(found)
                         found = []
@@ -175,18 +230,21 @@ def met(index: DataFrame, edges: Callable) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch[c].to_numpy() for c in ("key", "id", "root")])
+            sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             last = np.searchsorted(rows[0], rows[0][-1])
-            if last or (kept and kept[-1][0][-1] != rows[0][-1]):
-                yield from groups(np.concatenate([*kept, rows[:, :last]], axis=1))
+            if last or (kept and kept[-1][0][0][-1] != rows[0][-1]):
+                yield from groups([*kept, (rows[:, :last], sketch[:last])])
                 kept = []
-            kept.append(rows[:, last:])
+            kept.append((rows[:, last:], sketch[last:]))
         if kept:
-            yield from groups(np.concatenate(kept, axis=1))
+            yield from groups(kept)
 
-    by_key = index.repartition("key").sortWithinPartitions("key")
     if "root" not in index.columns:
-        by_key = by_key.withColumn("root", F.col("id"))
-    return by_key.select("key", "id", "root").mapInArrow(run, "a long, b long").distinct()
+        index = index.withColumn("root", F.col("id"))
+    by_key = index.repartition("key").sortWithinPartitions("key")
+    if "sketch" not in index.columns:
+        by_key = by_key.withColumn("sketch", F.lit(b""))
+    return by_key.select("key", "id", "root", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def _slot(c: Column, bits: int) -> Column:
@@ -243,36 +301,49 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "id long, grams array<bigint>").join(need, "id", "left_semi").groupBy("id").agg(F.first("grams").alias("grams"))
 
 
-def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """edges (a, b) with `linked`: whether the five-word shingle sets have a similarity of 4/5 or more."""
+def sets_of(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, grams) of all ends of edges (a, b)."""
     need = saved(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "met-ids")
-    sets = saved(shingle_sets(docs, need), "shingle-sets")
+    return saved(shingle_sets(docs, need), "shingle-sets")
+
+
+def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """edges (a, b) with `linked`: whether the five-word shingle sets have a similarity of 4/5 or more."""
     a, b = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
     common = F.size(F.array_intersect("ga", "gb"))
     linked = (common > 0) & (9 * common >= 4 * (F.size("ga") + F.size("gb")))
     return saved(edges.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked")), "verified")
 
 
+def verified(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    return compared(edges, sets_of(edges, docs))
+
+
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified edges (a, b) between ids that connect all that verified meetings connect.
 
     A key first gives stars, not all pairs. Where an edge of a star fails, stars may have left out one that holds: what
-    such stars connect meets again, piece by piece, about other ids, and after ROUNDS all meetings between the pieces left are verified.
+    such stars connect meets again, piece by piece, about other ids, and in the last of ROUNDS all meetings between the
+    pieces left. Only meetings that the sketches leave room for are verified; the others are no links for certain.
     """
     edges = saved(met(variants(classes), _stars(0)), "met")
-    seen = verified(edges, docs)
+    sets = sets_of(edges, docs)
+    seen = compared(edges, sets)
+    if seen.where("not linked").isEmpty():
+        return seen.select("a", "b")
+    family = components(seen.select("a", "b")).select(F.col("node").alias("id"), F.col("root").alias("family"))
+    some = None
     for step in range(1, ROUNDS + 1):
-        good, bad = seen.where("linked").select("a", "b"), seen.where("not linked")
-        if bad.isEmpty():
-            break
-        whole, piece = components(seen.select("a", "b")), components(good)
-        roots = whole.join(piece.withColumnRenamed("root", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
-        open_ = roots.groupBy("root").agg((F.min("piece") != F.max("piece")).alias("open")).where("open").select("root")
-        nodes = roots.join(open_, "root", "left_semi").select(F.col("node").alias("id"), F.col("piece").alias("root"))
-        some = classes.join(nodes, "id")
-        more = met(variants(some, "root"), _between if step == ROUNDS else _stars(step))
+        piece = components(seen.where("linked").select("a", "b")).withColumnRenamed("node", "id")
+        roots = family.join(piece, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = roots.groupBy("family").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("family")
+        nodes = saved(roots.join(open_, "family", "left_semi"), "open")
+        if some is None:
+            some = saved(classes.join(sketches(sets, nodes.select("id", "family")), "id"), "sketches")
+        index = variants(some.join(nodes.select("id", "root"), "id"), "root", "sketch")
+        more = met(index, _between if step == ROUNDS else _stars(step))
         more = saved(more.join(seen, ["a", "b"], "left_anti"), "met-again")
-        seen = seen.unionByName(verified(more, docs))
+        seen = seen.unionByName(compared(more, sets))
     return seen.where("linked").select("a", "b")
 
 

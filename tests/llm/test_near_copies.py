@@ -119,3 +119,63 @@ def test_hard_rows_and_drop(spark):
     kept = near_copies.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, 0, 1, 3, 3, 4, 7, 8, 9, 10]
+
+
+def test_edges_of_a_family_grow_with_its_texts(spark, monkeypatch):
+    """A family of 300 texts, half of them below the threshold from all others: no met link is lost, and few of the 44,850 pairs are written."""
+    rng = np.random.default_rng(3)
+    base = [f"v{x}" for x in range(150)]
+    texts = {}
+    for i in range(300):
+        w = list(base)
+        for k in rng.choice(150, 1 + i % 6, replace=False):
+            w[k] = f"n{i}x{k}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_copies.prints(docs).cache()
+    classes = rows.groupBy("id").agg(*(F.min(p).alias(p) for p in near_copies.PRINT))
+    every = near_copies.verified(near_copies.met(near_copies.variants(classes), near_copies._between), docs).collect()
+    made, saved = [], near_copies.saved
+
+    def counted(df, what):
+        out = saved(df, what)
+        if what in ("met-again", "verified"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "saved", counted)
+    found = near_copies.links(classes, docs).collect()
+    ids = sorted(r.id for r in rows.collect())
+    assert parts(ids, [], [(r.a, r.b) for r in found]) == parts(ids, [], [(r.a, r.b) for r in every if r.linked])
+    assert len(every) > 10_000 and len(made) == 1 + 2 * near_copies.ROUNDS
+    assert max(made[1:]) < 2 * len(texts)
+
+
+def test_sketches_bound_what_is_common(spark):
+    """Counts never leave less room than two texts need, also where a part has more than a byte counts; lone shingles are left out."""
+    rng = np.random.default_rng(9)
+    for size in (0, 1, 40, 3000, 60_000):
+        pool = rng.integers(-(2**63), 2**63 - 1, size + size // 8, np.int64)
+        a, b = pool[:size], pool[len(pool) - size :]
+        x, y = (near_copies._counts(np.frombuffer(near_copies._sketch(s, size), np.uint8)[None, :]) for s in (a, b))
+        assert x.shape == (1, 1 + near_copies.PARTS) and x[0, 0] == size and x[0, 1:].sum() >= size
+        assert np.minimum(x[0, 1:], y[0, 1:]).sum() >= len(np.intersect1d(a, b))
+        assert near_copies._room(x, x).all()
+    sets = spark.createDataFrame([(1, list(range(10))), (2, list(range(8)) + [20, 21]), (3, list(range(7)) + [30, 31, 32]), (4, list(range(10)))], "id long, grams array<bigint>")
+    family = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2)], "id long, family long")
+    got = {r.id: near_copies._counts(np.frombuffer(bytes(r.sketch), np.uint8)[None, :])[0] for r in near_copies.sketches(sets, family).collect()}
+    assert sorted(got) == [1, 2] and got[1][0] == got[2][0] == 10 and (got[1] == got[2]).all()
+
+
+def test_chains_within_a_key_are_connected(spark):
+    """Of three ids the middle one is near to both others, which are far from each other: all are connected, whichever comes first."""
+    rng = np.random.default_rng(1)
+    rows, chains = [], []
+    for key in range(40):
+        start = int(rng.integers(0, 2**32)) << 32
+        chain = [start, start ^ (0xFF << 32), start ^ (0xFFFF << 32)]
+        chains.append([int(np.uint64(c).view(np.int64)) for c in chain])
+        rows += [(key, c) for c in chains[-1]]
+    edges = near_copies.met(spark.createDataFrame(rows, "key long, id long"), near_copies._stars(0)).collect()
+    root = parts(sorted(c for chain in chains for c in chain), [], [(r.a, r.b) for r in edges])
+    assert all(len({root[c] for c in chain}) == 1 for chain in chains)
