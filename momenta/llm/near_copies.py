@@ -92,9 +92,11 @@ def prints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [words_of(t.as_py()) for t in b["text"]]
-            found = np.array([long_print(w) for w in split], np.uint64).reshape(len(split), len(PRINT))
-            ids = _id(found, np.fromiter(map(text_hash, split), np.uint64, len(split)))
+            found, hashes = np.zeros((len(b), len(PRINT)), np.uint64), np.zeros(len(b), np.uint64)
+            for i, t in enumerate(b["text"]):
+                w = words_of(t.as_py())
+                found[i], hashes[i] = long_print(w), text_hash(w)
+            ids = _id(found, hashes)
             yield pa.record_batch([b["doc_id"], *(pa.array(c.view(np.int64)) for c in (ids, *np.ascontiguousarray(found.T)))], ["doc_id", "id", *PRINT])
 
     schema = ", ".join(f"{c} long" for c in ("doc_id", "id", *PRINT))
@@ -291,9 +293,11 @@ def shingle_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = dict(zip(b["text"].to_pylist(), b["h"].to_pylist(), strict=True))
-            split = [words_of(t) for t in hashes]
-            ids = [int(_id(long_print(w), np.uint64(h)).view(np.int64)) for w, h in zip(split, hashes.values(), strict=True)]
-            grams = [shingles(w).view(np.int64) for w in split]
+            ids, grams = [], []
+            for t, h in hashes.items():
+                w = words_of(t)
+                ids.append(int(_id(long_print(w), np.uint64(h)).view(np.int64)))
+                grams.append(shingles(w).view(np.int64))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
 
     texts = docs.select(F.col("text").cast("string")).mapInArrow(hashed, "text string, h long")
