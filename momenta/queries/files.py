@@ -78,10 +78,7 @@ def _runs(spark, d):
     level = (F.col("run") % 3).cast("string")
     rows = [("options", "exp.level", level), ("options", "model\tname", F.col("kind")), ("output", "events", F.col("n").cast("string")), ("output", "clicks", F.when(F.col("clicks") > 12, F.col("clicks").cast("string")))]
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.concat(F.lit(key.split("\t")[0] + "\t"), v).alias("value")) for k, key, v in rows))
-    out = users.select("run", F.explode(pairs).alias("p")).select("run", "p.kind", "p.value").where("value IS NOT NULL")
-    path = folder(spark, "runs")
-    out.repartition("run").write.partitionBy("run", "kind").text(path)
-    return path
+    return S.write_runs(users.select("run", F.explode(pairs).alias("p")).select("run", "p.kind", "p.value"))
 
 
 RUNS = """r AS (SELECT user_id AS run, count(*) AS n, min(event_type) AS kind, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY 1)"""
