@@ -6,11 +6,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momenta.functions import vectors as V
 from momenta.operators import mixtures as X
+from momenta.sources.row_files import RowFiles, write_rows
 from momenta.sources.scratch import saved
 
 OnStep = Callable[[int, object, float], None]
@@ -159,28 +160,45 @@ def fit_gmm(points: DataFrame, k: int, steps: int = 10, seed: int = 0, on_step:
         points.unpersist()
 
 
+def regression_step(spark: SparkSession, rows: RowFiles, b: np.ndarray, w: np.ndarray, sigma2: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The weighted Gram matrices of rows (x, y) by component (k, d + 1, d + 1), the sums of responsibilities and the log-likelihood, in one pass."""
+    k, d = b.shape
+    const = (np.log(w) - 0.5 * np.log(2 * np.pi * sigma2))[:, None]
+
+    def update(z: np.ndarray) -> np.ndarray:
+        lp = z[d] - b @ z[:d]
+        lp *= lp
+        lp *= -0.5 / sigma2
+        lp += const
+        top = lp.max(axis=0)
+        lp -= top
+        r = np.exp(lp, out=lp)
+        total = r.sum(axis=0)
+        r /= total
+        return np.concatenate([*(((z * r[c]) @ z.T).ravel() for c in range(k)), r.sum(axis=1), [top.sum() + np.log(total).sum()]])
+
+    found = rows.sums(spark, update, k * (d + 1) ** 2 + k + 1)
+    return found[: -k - 1].reshape(k, d + 1, d + 1), found[-k - 1 : -1], float(found[-1])
+
+
 def fit_regressions(df: DataFrame, k: int, steps: int = 10, seed: int = 0, betas: list[list[float]] | None = None, on_step: OnStep | None = None, gain: float = 0.0) -> tuple[np.ndarray, np.ndarray, float, list[float]]:
     """(betas, weights, variance, log-likelihoods) of a mixture of linear regressions over (y, x), until a step gains less than that part of the log-likelihood."""
-    df = df.select("y", "x").persist()
-    try:
-        d = len(df.select("x").first().x)
-        b = np.array(betas) if betas is not None else np.random.default_rng(seed).standard_normal((k, d))
-        w, sigma2, history = np.full(k, 1 / k), float(df.agg(F.var_pop("y")).first()[0] or 1.0), []
-        for step in range(steps):
-            history.append(X.regression_loglik(df, b.tolist(), w.tolist(), sigma2).first().loglik)
-            if _settled(history, gain):
-                break
-            g, n = np.zeros((k, d + 1, d + 1)), np.zeros(k)
-            for r in X.regression_gram(df, b.tolist(), w.tolist(), sigma2).collect():
-                g[r.k, r.i, r.j], n[r.k] = r.v, r.n
-            b = np.array([np.linalg.lstsq(m[:d, :d], m[:d, d], rcond=None)[0] for m in g])
-            error = sum(m[d, d] - 2 * c @ m[:d, d] + c @ m[:d, :d] @ c for m, c in zip(g, b, strict=True))
-            w, sigma2 = np.maximum(n / n.sum(), 1e-9), max(error / n.sum(), 1e-9)
-            if on_step:
-                on_step(step, (b, w, sigma2), history[-1])
-        return b, w, sigma2, history
-    finally:
-        df.unpersist()
+    df = df.select("y", "x")
+    d = len(df.select("x").first().x)
+    b = np.array(betas, float) if betas is not None else np.random.default_rng(seed).standard_normal((k, d))
+    w, sigma2, history = np.full(k, 1 / k), float(df.agg(F.var_pop("y")).first()[0] or 1.0), []
+    rows = write_rows(df.where(F.size("x") == d), *(F.get("x", F.lit(i)) for i in range(d)), F.col("y"))
+    for step in range(steps):
+        g, n, loglik = regression_step(df.sparkSession, rows, b, w, sigma2)
+        history.append(loglik)
+        if _settled(history, gain):
+            break
+        b = np.array([np.linalg.lstsq(m[:d, :d], m[:d, d], rcond=None)[0] for m in g])
+        error = sum(m[d, d] - 2 * c @ m[:d, d] + c @ m[:d, :d] @ c for m, c in zip(g, b, strict=True))
+        w, sigma2 = np.maximum(n / n.sum(), 1e-9), max(error / n.sum(), 1e-9)
+        if on_step:
+            on_step(step, (b, w, sigma2), history[-1])
+    return b, w, sigma2, history
 
 
 def categorical_step(bags: DataFrame, w: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
